@@ -17,8 +17,10 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Da
     return a.join(b, keys, how)
 
 
-def numbered(df: DataFrame, keys: list[str], block: Column, order: list, out: str) -> DataFrame:
-    """1-based position of each row in its key.
+def numbered(
+    df: DataFrame, keys: list[str], block: Column, order: list, out: str, total: str | None = None
+) -> DataFrame:
+    """1-based position of each row in its key, optionally with the key's row count.
 
     ``block`` must be monotone in the sort order and cut a key into pieces of a
     size one task can sort (a minute of a week, a hash prefix, ...).
@@ -26,7 +28,10 @@ def numbered(df: DataFrame, keys: list[str], block: Column, order: list, out: st
     tagged = df.withColumn("_block", block)
     sizes = tagged.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    cols = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")]
+    if total:
+        cols.append(F.sum("_n").over(Window.partitionBy(*keys)).alias(total))
+    starts = sizes.select(*keys, "_block", *cols)
     local = tagged.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)))
     return (
         _same(local, starts, [*keys, "_block"])
@@ -35,7 +40,9 @@ def numbered(df: DataFrame, keys: list[str], block: Column, order: list, out: st
     )
 
 
-def hash_numbered(df: DataFrame, keys: list[str], seed, id_col: str, out: str) -> DataFrame:
+def hash_numbered(
+    df: DataFrame, keys: list[str], seed, id_col: str, out: str, total: str | None = None
+) -> DataFrame:
     """1-based position in the seeded hash order of an id column.
 
     Hash prefixes are uniform, so 4096 of them cut any key into even blocks.
@@ -43,7 +50,7 @@ def hash_numbered(df: DataFrame, keys: list[str], seed, id_col: str, out: str) -
     from branchwise.functions.ids import order_hash
 
     tagged = df.withColumn("_h", order_hash(seed, F.col(id_col)))
-    return numbered(tagged, keys, F.substring("_h", 1, 3), ["_h", id_col], out).drop("_h")
+    return numbered(tagged, keys, F.substring("_h", 1, 3), ["_h", id_col], out, total).drop("_h")
 
 
 def running_sums(df: DataFrame, keys: list[str], pos: str, sums: dict[str, Column], block_size: int = 1024) -> DataFrame:
@@ -76,7 +83,14 @@ def previous(df: DataFrame, keys: list[str], pos: str, cols: list[str], prefix:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """Exact linearly interpolated quantiles per key: (keys..., prob, quantile).
+    """Exact linearly interpolated quantiles per key: (keys..., prob, quantile)."""
+    return exact_positions(df, keys, value, {p: F.lit(float(p)) * (F.col("_n") - 1) for p in probs})
+
+
+def exact_positions(df: DataFrame, keys: list[str], value: str, positions: dict[float, Column]) -> DataFrame:
+    """Values at 0-based sorted positions (columns over the row count ``_n``), by label.
+
+    Labels are the approximate probabilities the sketch should look near.
 
     A quantile sketch brackets each target rank; one counting pass gives the exact
     rank of every bracket, and only the few rows inside brackets are ordered,
@@ -86,9 +100,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     what bounds the broadcast bracket table: one row per group.
     """
     if not keys:
-        one = exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs)
+        one = exact_positions(df.withColumn("_all", F.lit(1)), ["_all"], value, positions)
         return one.drop("_all")
-    eps = 0.001
+    eps, probs = 0.001, list(positions)
     v = F.col(value).cast("double")
     rows = df.where(F.col(value).isNotNull()).select(*keys, v.alias("_v"))
     lows = [max(0.0, p - eps) for p in probs]
@@ -108,8 +122,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     upto = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.withColumn("_start", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
     targets = (
-        bounds.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-        .withColumn("_at", F.col("prob") * (F.col("_n") - 1))
+        bounds.select(
+            *keys,
+            "_n",
+            F.explode(
+                F.array(*[F.struct(F.lit(float(p)).alias("prob"), positions[p].cast("double").alias("_at")) for p in probs])
+            ).alias("_t"),
+        )
+        .select(*keys, "_n", "_t.*")
         .withColumn("_k", F.floor("_at"))
         .select(*keys, "prob", "_at", F.explode(F.array(F.col("_k"), F.least(F.col("_k") + 1, F.col("_n") - 1))).alias("_rank"))
         .distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space and line ends as the reference results treat them.
@@ -105,33 +105,40 @@ def contains_marker(text: Column, marker: str = NOTHING_HAPPENS) -> Column:
     return F.lower(text).contains(marker)
 
 
-def prefix_features(
-    step_index: Column,
-    history_length: Column,
-    task_desc: Column,
-    observation: Column,
-    response: Column,
-    n_commands: Column,
-    action: Column,
-    task_type: Column,
-    confidence: Column,
-) -> dict[str, Column]:
-    """The 26 prefix features. ``history_length`` is a running sum the caller supplies."""
-    kind, task = classify_action(action), normalise_task_type(task_type)
+def with_prefix_features(
+    df: DataFrame,
+    keys: list[str],
+    step_index: str,
+    history_length: str,
+    task_desc: str,
+    observation: str,
+    response: str,
+    commands: str,
+    action: str,
+    task_type: str,
+    confidence: str,
+) -> DataFrame:
+    """The 26 prefix features by column name.
+
+    ``history_length`` is a running sum the caller supplies. The action class and
+    task type are their own step, so each regular expression runs once per row.
+    """
+    named = df.withColumns({"_kind": classify_action(F.col(action)), "_task": normalise_task_type(F.col(task_type))})
+    conf = F.coalesce(F.col(confidence), F.lit(0.5))
     out = {
-        "step_index": step_index,
-        "history_length": history_length,
+        "step_index": F.col(step_index),
+        "history_length": F.col(history_length),
         "task_desc_length": F.length(task_desc),
         "observation_length": F.length(observation),
         "response_length": F.length(response),
-        "n_admissible_commands": n_commands,
-        "action_word_count": word_count(action),
-        "nothing_happens": contains_marker(observation),
-        "confidence": F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(confidence, F.lit(0.5)))),
+        "n_admissible_commands": F.size(commands),
+        "action_word_count": word_count(F.col(action)),
+        "nothing_happens": contains_marker(F.col(observation)),
+        "confidence": F.least(F.lit(1.0), F.greatest(F.lit(0.0), conf)),
     }
-    out |= {f"action_type_{a}": F.coalesce(kind == a, F.lit(False)) for a in ACTION_TYPES}
-    out |= {f"task_type_{t}": task == t for t in TASK_TYPES}
-    return {name: out[name].cast("double").alias(name) for name in FEATURE_NAMES}
+    out |= {f"action_type_{a}": F.coalesce(F.col("_kind") == a, F.lit(False)) for a in ACTION_TYPES}
+    out |= {f"task_type_{t}": F.col("_task") == t for t in TASK_TYPES}
+    return named.select(*keys, *[out[n].cast("double").alias(n) for n in FEATURE_NAMES])
 
 
 def feature_vector(feature_map: Column) -> Column:

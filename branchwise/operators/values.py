@@ -158,10 +158,14 @@ def census(selected: DataFrame, n_replicates: dict[str, int]) -> DataFrame:
         .when(over != "", F.concat(F.lit("DUPLICATE_RECORDS:"), over))
         .otherwise(F.lit("ok"))
     )
+    # Stated on the counts, so a filter on it never evaluates the reason text.
+    full = (F.col("n_unverified") == 0) & (F.col("n_quit") == 1)
+    for a in RUN:
+        full = full & (have[a] == want)
     return (
         selected.withColumn("verified", F.col("n_unverified") == 0)
         .withColumn("reason", reason)
-        .withColumn("complete", F.col("reason") == "ok")
+        .withColumn("complete", full)
         .withColumn("cohort", cohort_of(F.col("src")))
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from branchwise.operators import values as V
 from branchwise.plans import views
+from branchwise.session import stored
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -40,6 +41,28 @@ def plain_values(spark: SparkSession, sf: str) -> DataFrame:
     return V.derive(views.branches(spark, sf), views.N_REPLICATES)
 
 
+def stored_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Values as a written table, for queries that pass over them more than once."""
+    cols = [
+        "checkpoint_id",
+        "arm",
+        "cohort",
+        "value_continue",
+        "value_intervene",
+        "tau",
+        "tau_se",
+        "n_continue",
+        "s_continue",
+        "m_continue",
+        "p_success_continue",
+        "p_success_intervene",
+        "p_fail_continue",
+        "oracle_action",
+        "oracle_value",
+    ]
+    return stored(plain_values(spark, sf).select(*cols), "values")
+
+
 def full_values(spark: SparkSession, sf: str) -> DataFrame:
     return V.derive(
         views.branches(spark, sf),

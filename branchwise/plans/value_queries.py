@@ -9,7 +9,7 @@ from branchwise.operators import bins as B
 from branchwise.operators import summaries as S
 from branchwise.operators import values as V
 from branchwise.plans import views
-from branchwise.plans.common import full_values, groups, plain_values, tidy, tidy_sql
+from branchwise.plans.common import full_values, groups, plain_values, stored_values, tidy, tidy_sql
 from branchwise.plans.views import with_views
 
 ACTS = O.ACTIONS
@@ -129,14 +129,14 @@ def cost_sweep(spark, sf):
 def action_margin_deciles(spark, sf):
     from branchwise.functions.ordered import exact_quantiles
 
-    v = plain_values(spark, sf).withColumn("margin", O.action_margin(F.col("value_continue"), F.col("value_intervene")))
+    v = stored_values(spark, sf).withColumn("margin", O.action_margin(F.col("value_continue"), F.col("value_intervene")))
     return tidy(exact_quantiles(v, ["arm"], "margin", [i / 10 for i in range(1, 10)]))
 
 
 def margin_decile_table(spark, sf):
     from branchwise.operators.policies import with_deciles
 
-    v = plain_values(spark, sf).withColumn("margin", O.action_margin(F.col("value_continue"), F.col("value_intervene")))
+    v = stored_values(spark, sf).withColumn("margin", O.action_margin(F.col("value_continue"), F.col("value_intervene")))
     d = with_deciles(v, ["arm"], "margin")
     return tidy(
         d.groupBy("arm", "decile").agg(F.count(F.lit(1)).alias("n"), F.avg("margin").alias("mean"), F.avg("tau").alias("tau"))
@@ -149,15 +149,15 @@ def progress_quartiles(spark, sf):
 
 
 def pinned_band_rows(spark, sf):
-    top = B.top_band(plain_values(spark, sf), ["arm"])
-    pin = B.pinned_band(plain_values(spark, sf), ["arm"], 1.0)
+    v = stored_values(spark, sf)
+    top, pin = B.top_band(v, ["arm"]), B.pinned_band(v, ["arm"], 1.0)
     a = top.groupBy("arm").agg(F.count(F.lit(1)).alias("n_top"), F.max("p_fail_continue").alias("top_level"))
     b = pin.groupBy("arm").agg(F.count(F.lit(1)).alias("n_pinned"), F.max("p_fail_continue").alias("pinned_level"))
     return tidy(a.join(b, "arm"))
 
 
 def summary(spark, sf):
-    return tidy(S.summary(plain_values(spark, sf)))
+    return tidy(S.summary(stored_values(spark, sf)))
 
 
 def tau_by_task_type(spark, sf):
@@ -406,7 +406,7 @@ ORACLE = {
     "quantile_bands": with_views(
         "vals",
         tidy_sql(
-            """SELECT arm, len(list_filter(q, x -> x < m_continue)) AS bin, count(*) AS n, avg(tau) AS tau_mean,
+            """SELECT arm, len(list_filter(q, lambda x: x < m_continue)) AS bin, count(*) AS n, avg(tau) AS tau_mean,
             count(*) FILTER (tau > 0) AS n_positive, min(m_continue) AS score_min, max(m_continue) AS score_max
             FROM vals, (SELECT quantile_cont(m_continue::DOUBLE, [.1, .2, .3, .4, .5, .6, .7, .8, .9]) AS q FROM vals WHERE arm = 'B_montecarlo')
             WHERE arm = 'B_montecarlo' GROUP BY ALL""",
@@ -439,7 +439,7 @@ ORACLE = {
     "margin_decile_table": with_views(
         "vals",
         tidy_sql(
-            """SELECT arm, len(list_filter(q, x -> x < margin)) AS decile, count(*) AS n, avg(margin) AS mean, avg(tau) AS tau
+            """SELECT arm, len(list_filter(q, lambda x: x < margin)) AS decile, count(*) AS n, avg(margin) AS mean, avg(tau) AS tau
             FROM m JOIN e USING (arm) GROUP BY ALL""",
             "mean tau",
             "decile n",
