@@ -7,8 +7,6 @@ ordered per key.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,11 +111,8 @@ def exact_positions(df: DataFrame, keys: list[str], value: str, positions: dict[
     bounds = sketch.select(*keys, "_n", F.array_sort(F.array_distinct("_cuts")).alias("_cuts"))
     # slot = 2 * (cuts below v) + (v equals a cut): monotone in v, so counts per slot give ranks.
     marked = rows.join(F.broadcast(bounds), keys)
-    terms = []
-    for i in range(2 * len(probs)):
-        cut = F.get("_cuts", F.lit(i))
-        terms.append(F.when(F.col("_v") > cut, 2).when(F.col("_v") == cut, 1).otherwise(0))
-    marked = marked.withColumn("_slot", reduce(lambda a, b: a + b, terms))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    marked = marked.select(*keys, "_v", (below * 2 + F.array_contains("_cuts", F.col("_v")).cast("int")).alias("_slot"))
     slots = marked.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.withColumn("_start", F.coalesce(F.sum("_c").over(upto), F.lit(0)))

@@ -378,16 +378,16 @@ off AS (SELECT *, coalesce(lag(commands) OVER (PARTITION BY trace ORDER BY t), [
 _VERDICT = """
 pairs AS (
   SELECT coalesce(e.trace, a.trace) AS trace, e.t AS et, a.t AS obt, e.action, e.reward AS er, a.reward AS ar,
-    e.trace IS NOT NULL AND a.trace IS NOT NULL AS both,
+    e.trace IS NOT NULL AND a.trace IS NOT NULL AS paired,
     e.obs IS DISTINCT FROM a.obs OR e.done IS DISTINCT FROM a.done OR e.commands IS DISTINCT FROM a.commands AS other,
     e.reward IS DISTINCT FROM a.reward AS rew
   FROM steps e FULL JOIN observed a ON e.trace = a.trace AND e.t = a.t),
 verdict AS (
-  SELECT trace, count(et) AS n_expected, count(obt) AS n_observed, count(*) FILTER (NOT both) > 0 AS length_error,
-    count(*) FILTER (both AND (other OR rew)) = 0 AND count(*) FILTER (NOT both) = 0 AS verified,
-    min(et) FILTER (both AND (other OR rew)) - 1 AS step_index, arg_min(action, et) FILTER (both AND (other OR rew)) AS action,
-    arg_min(er, et) FILTER (both AND (other OR rew)) AS er, arg_min(ar, et) FILTER (both AND (other OR rew)) AS ar,
-    count(*) FILTER (both AND other) = 0 AS verified_other
+  SELECT trace, count(et) AS n_expected, count(obt) AS n_observed, count(*) FILTER (NOT paired) > 0 AS length_error,
+    count(*) FILTER (paired AND (other OR rew)) = 0 AND count(*) FILTER (NOT paired) = 0 AS verified,
+    min(et) FILTER (paired AND (other OR rew)) - 1 AS step_index, arg_min(action, et) FILTER (paired AND (other OR rew)) AS action,
+    arg_min(er, et) FILTER (paired AND (other OR rew)) AS er, arg_min(ar, et) FILTER (paired AND (other OR rew)) AS ar,
+    count(*) FILTER (paired AND other) = 0 AS verified_other
   FROM pairs GROUP BY trace)"""
 
 _verbs = "[" + ", ".join(f"'{v}'" for v in VERBS) + "]"
