@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from branchwise.operators.splits import balanced_folds, grouped_holdout
+from branchwise.session import stored
 
 # The penalty grid of the reference results.
 ALPHAS = (1e0, 1e1, 1e2, 1e3, 1e4, 1e5, 1e6)
@@ -268,6 +269,7 @@ def group_ceiling(rows: DataFrame, game: str, y: str, alphas=ALPHAS) -> DataFram
     stats = rows.groupBy("seed_ix", "fold", game).agg(
         F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy")
     )
+    stats = stored(stats, "game-stats")  # read five times below
     held = F.array(*[F.lit(h) for h in range(-1, 5)])
     train = (
         stats.where("fold >= 0")
