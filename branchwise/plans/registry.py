@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["value_queries", "text_queries", "source_queries", "model_queries", "policy_queries"]
+MODULES = ["value_queries", "text_queries", "source_queries", "model_queries", "policy_queries", "learner_queries"]
 
 
 def collect(kind: str) -> dict:
