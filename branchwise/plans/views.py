@@ -16,8 +16,28 @@ from branchwise.functions.text import TASK_TYPES
 N_REPLICATES = {ARM_A: 1, ARM_B: 3}
 
 
+SPREAD_KEYS = {
+    "lineitem": "l_orderkey",
+    "events": "event_id",
+    "documents": "doc_id",
+    "pages": "page_id",
+    "conversations": "conv_id",
+}
+SMALL_INPUT = 1 << 30
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One driver table.
+
+    A small file often is a single row group, which one core would read and process
+    alone, so small inputs are spread over the cores right after the scan. Inputs
+    above a gigabyte have splits of their own and are left as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = SPREAD_KEYS.get(name)
+    if key is None or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_INPUT:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism, key)
 
 
 # ---------------------------------------------------------------- outcomes
