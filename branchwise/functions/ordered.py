@@ -7,6 +7,9 @@ ordered per key.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +83,12 @@ def previous(df: DataFrame, keys: list[str], pos: str, cols: list[str], prefix:
     return df.join(earlier, [*keys, pos], "left")
 
 
+def side_by_side(rows: list[DataFrame]) -> DataFrame:
+    """Several one-row results as one row, without joining them."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key: (keys..., prob, quantile)."""
     return exact_positions(df, keys, value, {p: F.lit(float(p)) * (F.col("_n") - 1) for p in probs})
@@ -98,8 +107,7 @@ def exact_positions(df: DataFrame, keys: list[str], value: str, positions: dict[
     what bounds the broadcast bracket table: one row per group.
     """
     if not keys:
-        one = exact_positions(df.withColumn("_all", F.lit(1)), ["_all"], value, positions)
-        return one.drop("_all")
+        return _overall_positions(df, value, positions)
     eps, probs = 0.001, list(positions)
     v = F.col(value).cast("double")
     rows = df.where(F.col(value).isNotNull()).select(*keys, v.alias("_v"))
@@ -153,6 +161,51 @@ def exact_positions(df: DataFrame, keys: list[str], value: str, positions: dict[
     )
 
 
+def _overall_positions(df: DataFrame, value: str, positions: dict[float, Column]) -> DataFrame:
+    """The same over the whole table: cut points and slot counts are a few numbers, held as literals."""
+    eps, probs = 0.001, list(positions)
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
+    around = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
+    at = [positions[p].cast("double").alias(f"_at{i}") for i, p in enumerate(probs)]
+    info = (
+        rows.agg(F.percentile_approx("_v", around, 20000).alias("_cuts"), F.count(F.lit(1)).alias("_n")).select("*", *at).first()
+    )
+    out = "prob double, quantile double"
+    if not info["_n"]:
+        return df.sparkSession.createDataFrame([], out)
+    cuts = F.array(*[F.lit(float(c)) for c in sorted(set(info["_cuts"]))])
+    slot = F.size(F.filter(cuts, lambda c: c < F.col("_v"))) * 2 + F.array_contains(cuts, F.col("_v")).cast("int")
+    marked = rows.select("_v", slot.alias("_slot"))
+    start, found = 0, []
+    for s, c in sorted((r["_slot"], r["count"]) for r in marked.groupBy("_slot").count().collect()):
+        for i, p in enumerate(probs):
+            pos = info[f"_at{i}"]
+            for k in {math.floor(pos), min(math.floor(pos) + 1, info["_n"] - 1)}:
+                if start <= k < start + c:
+                    found.append((float(p), float(pos), int(k - start), int(s)))
+        start += c
+    targets = F.array(
+        *[F.struct(F.lit(p).alias("prob"), F.lit(a).alias("at"), F.lit(k).alias("k"), F.lit(s).alias("slot")) for p, a, k, s in found]
+    )
+    inside = marked.where(F.col("_slot").isin(*{f[3] for f in found}))
+    merged = inside.groupBy("_slot", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    within = Window.partitionBy("_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = (
+        merged.withColumn("_to", F.sum("_m").over(within))
+        .withColumn(
+            "_t",
+            F.filter(
+                targets,
+                lambda t: (t["slot"] == F.col("_slot")) & (t["k"] < F.col("_to")) & (t["k"] >= F.col("_to") - F.col("_m")),
+            ),
+        )
+        .select("_v", F.explode("_t").alias("_t"))
+        .groupBy("_t.prob", "_t.at")
+        .agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    )
+    return hit.select("prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("quantile"))
+
+
 def quantile_columns(df: DataFrame, keys: list[str], value: str, named: dict[str, float]) -> DataFrame:
     """Quantiles as one row per key with a column per name."""
     q = exact_quantiles(df, keys, value, sorted(set(named.values())))

@@ -346,9 +346,7 @@ def average_ranks(df: DataFrame, keys: list[str], col: str, out: str) -> DataFra
     cnt = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_m"))
     cuts = cnt.groupBy(*keys).agg(F.percentile_approx(col, [i / 64 for i in range(1, 64)], 2000).alias("_cuts"))
     # One row of 63 numbers per key.
-    tagged = cnt.join(F.broadcast(cuts), keys) if keys else cnt.withColumn("_k", F.lit(1)).join(
-        F.broadcast(cuts.withColumn("_k", F.lit(1))), "_k"
-    ).drop("_k")
+    tagged = cnt.join(F.broadcast(cuts), keys)
     tagged = tagged.withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col(col)))).drop("_cuts")
     tot = tagged.groupBy(*keys, "_block").agg(F.sum("_m").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from branchwise.functions.ordered import numbered
+from branchwise.functions.ordered import numbered, side_by_side
 from branchwise.functions.outcomes import nano
 from branchwise.session import stored
 
@@ -122,17 +122,16 @@ def pair_totals(nd: DataFrame) -> DataFrame:
 
     def within(keys: list[str], out: str) -> DataFrame:
         c = nd.groupBy("game", *keys).agg(F.count(F.lit(1)).cast("bigint").alias("c"))
-        return c.agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0)).cast("bigint").alias(out), F.lit(1).alias("k"))
+        return c.agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0)).cast("bigint").alias(out))
 
     sizes = nd.groupBy("game").agg(F.count(F.lit(1)).alias("c"))
     base = sizes.agg(
         F.count(F.lit(1)).alias("n_games"),
         F.count_if(F.col("c") >= 2).alias("n_games_with_pairs"),
         F.sum(F.when(F.col("c") >= 2, F.col("c")).otherwise(0)).alias("n_rows_in_pairs"),
-        F.lit(1).alias("k"),
     )
-    j = base.join(within([], "n_pairs"), "k").join(within(["rollout"], "n_same_rollout"), "k").join(within(["oracle"], "same"), "k")
-    return j.withColumn("n_opposite", F.col("n_pairs") - F.col("same")).drop("k", "same")
+    j = side_by_side([base, within([], "n_pairs"), within(["rollout"], "n_same_rollout"), within(["oracle"], "same")])
+    return j.withColumn("n_opposite", F.col("n_pairs") - F.col("same")).drop("same")
 
 
 def threshold_choice(grid: DataFrame, gap: float = MATCH_GAP, need: int = MIN_PAIRS) -> DataFrame:

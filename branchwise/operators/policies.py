@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from branchwise.functions.ordered import exact_quantiles, quantile_columns
+from branchwise.functions.ordered import exact_quantiles, quantile_columns, side_by_side
 from branchwise.functions.outcomes import ACTIONS, CONTINUE, best_action, regret_of, value_of
 from branchwise.operators.resample import cluster_bootstrap, sign_stability
 
@@ -19,6 +19,11 @@ def with_deciles(df: DataFrame, keys: list[str], value: str, probs: list[float]
     The edge table has one row per key group, which is what makes it broadcastable.
     """
     probs = probs or [i / 10 for i in range(1, 10)]
+    if not keys:
+        # A fixed handful of numbers.
+        cuts = sorted(r["quantile"] for r in exact_quantiles(df, [], value, probs).collect())
+        below = sum((F.when(F.lit(c) < F.col(value), 1).otherwise(0) for c in cuts), F.lit(0))
+        return df.withColumn(out, below.cast("bigint"))
     edges = exact_quantiles(df, keys, value, probs).groupBy(*keys).agg(F.array_sort(F.collect_list("quantile")).alias("_e"))
     j = df.join(F.broadcast(edges), keys)
     return j.withColumn(out, F.size(F.filter("_e", lambda e: e < F.col(value))).cast("bigint")).drop("_e")
@@ -188,9 +193,9 @@ def _shares(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("dregret").alias("mean_dregret"),
         F.avg("flip").alias("flip_rate"),
     )
-    # One row of totals over a handful of category rows.
-    tot = g.agg(F.sum("n").alias("tn"), F.sum("ss").alias("ts"), F.lit(1).alias("k"))
-    j = g.withColumn("k", F.lit(1)).join(F.broadcast(tot), "k")
+    # The window runs over a handful of category rows.
+    every = Window.partitionBy()
+    j = g.withColumns({"tn": F.sum("n").over(every), "ts": F.sum("ss").over(every)})
     return j.select(
         *keys,
         "n",
@@ -238,6 +243,6 @@ def paired_endpoint(rows: DataFrame, cluster: str, n_boot: int = 2000, seed: int
     """Mean regret difference with an interval that resamples whole clusters."""
     r = rows.withColumn("grp", F.lit("all"))
     m = r.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("dregret").alias("mean_dregret"))
-    return m.join(cluster_bootstrap(r, cluster, "dregret", ["grp"], n_boot, seed), "grp").drop("grp")
+    return side_by_side([m.drop("grp"), cluster_bootstrap(r, cluster, "dregret", ["grp"], n_boot, seed).drop("grp")])
 
 

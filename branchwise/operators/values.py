@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from branchwise.functions.ordered import side_by_side
 from branchwise.functions.outcomes import (
     ACTIONS,
     ARMS,
@@ -118,8 +119,7 @@ def attempt_report(stats: DataFrame) -> DataFrame:
         F.count_if(F.col("n_src") > 1).alias("checkpoints_with_multiple_sources"),
         F.sum(F.col("total") - F.col("kept")).alias("records_superseded"),
     )
-    # Both sides are one global aggregate row.
-    return over.withColumn("k", F.lit(1)).join(won.withColumn("k", F.lit(1)), "k").drop("k")
+    return side_by_side([over, won])
 
 
 def records_per_source(stats: DataFrame) -> DataFrame:
@@ -318,7 +318,7 @@ def flip_rate(branches: DataFrame, groups: DataFrame, arm: str, params: Utility
         F.count_if((s > 0) & (s < n)).alias("n_varying"),
         F.avg(sd).alias("mean_success_sd"),
     )
-    both = trials.withColumn("k", F.lit(1)).join(spread.withColumn("k", F.lit(1)), "k").drop("k")
+    both = side_by_side([trials, spread])
     return both.withColumn("flip_rate", F.col("flips") / F.greatest(F.col("trials"), F.lit(1))).withColumn(
         "varying_share", F.col("n_varying") / F.greatest(F.col("n_checkpoints"), F.lit(1))
     )

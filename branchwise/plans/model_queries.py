@@ -270,25 +270,23 @@ def transfer_calibration(spark, sf):
     # One pair of coefficient rows per seed.
     d = L.seeded_rows(rows.where("cohort <> 'original'")).join(F.broadcast(pair), "seed_ix")
     d = d.withColumns({"pf": L.dot(F.col("z"), F.col("frozen")), "pr": L.dot(F.col("z"), F.col("refit"))})
-    cal = d.where("fold >= 0").agg(F.regr_slope("qi", "pf").alias("slope"), F.regr_intercept("qi", "pf").alias("icpt"))
-    t = d.where("fold = -1").withColumn("k", F.lit(1)).join(F.broadcast(cal.withColumn("k", F.lit(1))), "k")
+    cal = d.where("fold >= 0").groupBy("seed_ix").agg(F.regr_slope("qi", "pf").alias("slope"), F.regr_intercept("qi", "pf").alias("icpt"))
+    t = d.where("fold = -1").join(F.broadcast(cal), "seed_ix")
     t = t.withColumn("pc", F.col("slope") * F.col("pf") + F.col("icpt"))
     sst = F.var_pop("qi") * F.count(F.lit(1))
 
     def r2(p):
         return 1 - F.sum((F.col("qi") - F.col(p)) * (F.col("qi") - F.col(p))) / F.when(sst > 0, sst)
 
-    scores = t.agg(
+    scores = t.groupBy("seed_ix").agg(
         F.count(F.lit(1)).alias("n_test"),
         r2("pf").alias("frozen_r2"),
         r2("pr").alias("refit_r2"),
         r2("pc").alias("recalibrated_r2"),
         F.first("slope").alias("slope"),
     )
-    shape = pair.select(
-        L.cosine(F.slice("frozen", 2, Y.N_OBS), F.slice("refit", 2, Y.N_OBS)).alias("coef_cosine"), F.lit(1).alias("k")
-    )
-    return tidy(scores.withColumn("k", F.lit(1)).join(shape, "k").drop("k"))
+    shape = pair.select("seed_ix", L.cosine(F.slice("frozen", 2, Y.N_OBS), F.slice("refit", 2, Y.N_OBS)).alias("coef_cosine"))
+    return tidy(scores.join(shape, "seed_ix"))
 
 
 def difference_of_models(spark, sf):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from branchwise.functions.outcomes import ARM_A, ARM_B, action_margin, progress_quartile
-from branchwise.functions.ordered import exact_quantiles
 from branchwise.operators import bins as B
 from branchwise.operators import linear as L
 from branchwise.operators import pairs as PR
@@ -86,7 +85,7 @@ def _seeded(spark, sf):
         {"h_qc": F.coalesce("h_qc", F.lit(0.0)), "h_qi": F.coalesce("h_qi", F.lit(0.0))}
     )
     # Margin deciles are fixed over all rows before any split.
-    rows = PO.with_deciles(stored(rows.withColumn("grp", F.lit(1)), "rows"), ["grp"], "margin").drop("grp")
+    rows = PO.with_deciles(stored(rows, "rows"), [], "margin")
     hold = P.grouped_holdout(views.checkpoints(spark, sf), "task_id", Y.SEEDS)
     return rows.join(hold, "task_id")
 
@@ -173,14 +172,11 @@ def paired_endpoint(spark, sf):
 
 
 def error_strata(spark, sf):
-    rows = _moves(spark, sf).withColumn("grp", F.lit(1))
-    edges = exact_quantiles(rows, ["grp"], "err_o", [0.25, 0.5, 0.75])
-    e = edges.groupBy("grp").agg(F.array_sort(F.collect_list("quantile")).alias("e"))
-    # Three edges.
-    r = rows.join(F.broadcast(e), "grp").withColumns(
+    rows = PO.with_deciles(_moves(spark, sf), [], "err_o", [0.25, 0.5, 0.75], "below")
+    r = rows.withColumns(
         {
             "quartile": F.concat(F.lit("Q"), progress_quartile(F.col("progress")).cast("string")),
-            "error_quartile": F.concat(F.lit("E"), (1 + F.size(F.filter("e", lambda x: x < F.col("err_o")))).cast("string")),
+            "error_quartile": F.concat(F.lit("E"), (1 + F.col("below")).cast("string")),
             "tau_sign": F.when(F.col("tau") > 0, "tau>0").otherwise("tau<=0"),
             "improvement": F.col("derr"),
         }
