@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
-from branchwise.functions.outcomes import ARM_A, ARM_B, CONTINUE
+from branchwise.functions import ids as I
+from branchwise.functions.outcomes import ARM_A, ARM_B
 from branchwise.operators import quality as Q
 from branchwise.operators import splits as P
-from branchwise.operators import summaries as S
 from branchwise.operators import values as V
 from branchwise.plans import views
 from branchwise.plans.common import full_values, tidy, tidy_sql
-from branchwise.plans.text_queries import _OFFERED, STEP_FIELDS  # noqa: F401
+from branchwise.plans.text_queries import STEP_FIELDS
 from branchwise.plans.views import table, with_views
 from branchwise.session import scratch_path, stored
 from branchwise.sources import corpus, shards, vectors
@@ -25,12 +23,11 @@ SEEDS = [0, 1, 2, 3, 4]
 # ----------------------------------------------------------------- sources
 
 
-@lru_cache(maxsize=8)
-def _shard_root(app: str, sf: str) -> str:
-    """Shards written once per session: data lines, a header per shard, one cut line."""
-    from pyspark.sql import SparkSession
+_WRITTEN: dict[tuple[str, str], str] = {}
+
 
-    spark = SparkSession.getActiveSession()
+def _write_shards(spark, sf) -> str:
+    """Data lines, a header per shard and one cut line."""
     b = views.branches(spark, sf)
     root = scratch_path(spark, "shards")
     named = spark.createDataFrame([("branches.s000.jsonl",), ("branches.s001.r1.jsonl",)], "src string")
@@ -41,7 +38,11 @@ def _shard_root(app: str, sf: str) -> str:
 
 
 def _root(spark, sf):
-    return _shard_root(spark.sparkContext.applicationId, sf)
+    """Shards of this session, written on first use."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = _write_shards(spark, sf)
+    return _WRITTEN[key]
 
 
 def _records(spark, sf):
@@ -279,14 +280,19 @@ def quality_suite(spark, sf):
     ranked = P.fraction_split(cps, "task_id", seed=11).withColumnRenamed("split", "split_task")
     ps = P.count_split(cps, "rollout_id", (40, 20, 40), 3).select("rollout_id", F.col("split").alias("split_paper"))
     labelled = cps.join(ranked, "task_id").join(ps, "rollout_id")
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("ids"))
     again = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("ids"))
+    c = stored(again, "ids")
     s = stored(views.steps(spark, sf), "steps")
-    hashed = s.select("trace", "t", F.sha2(F.concat_ws("|", "obs", F.array_join("commands", ",")), 256).alias("h"))
+
+    def hashed(d):
+        sig = I.state_signature(F.col("obs"), F.col("commands"), F.col("reward"), F.col("done"), F.lit(False), F.array("action"))
+        return d.select("trace", "t", I.signature_hash(sig).alias("h"))
+
+    kept = stored(hashed(s), "hashes")
     checks = [
         Q.verified_rows(b),
         Q.planted_corruption(s, ["trace"], "t", STEP_FIELDS),
-        Q.stored_hashes(hashed, hashed, ["trace", "t"], "h"),
+        Q.stored_hashes(kept, hashed(views.steps(spark, sf)), ["trace", "t"], "h"),
         Q.deterministic_arm(b),
         Q.stochastic_arm(b),
         Q.takeover_success(b, cps, views.tasks(spark, sf)),
