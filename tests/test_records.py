@@ -71,7 +71,8 @@ def test_vector_store_prunes_layers(spark):
 def test_fixed_split_classifier(spark):
     rows = [([float(i % 10), 1.0], int(i % 10 > 4), ("train", "val", "test")[i % 3]) for i in range(120)]
     pred, c = M.fixed_split_logistic(spark.createDataFrame(rows, "x array<double>, y int, split string"), "y", cs=(1e-4, 1.0))
-    assert c == 1.0 and pred.where("pred <> y").count() == 0 and pred.count() == 40
+    # Both penalties separate the validation rows, and a tie keeps the first.
+    assert c == 1e-4 and pred.where("pred <> y").count() == 0 and pred.count() == 40
 
 
 def test_schemas_cover_every_entity():
