@@ -78,6 +78,41 @@ def mixed(rows: DataFrame, id_col: str, source_col: str, size_col: str, seed: in
     return at.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def _first_words(text, n) -> F.Column:
+    """The first n words, joined by single spaces."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_join(F.slice(words, F.lit(1), n.cast("int")), " ")
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row as often as it is taken. A row cut by the budget comes once more with its first words,
+    up to the cut; rows that are not taken do not come. Other columns are unchanged, but ``n_chars`` follows the text."""
+    columns = docs.columns
+    sized = docs.withColumn("_size", n_words(F.col(text_col))).withColumn("_mark", F.xxhash64(text_col))
+    # The random key is drawn from id and text, so rows with one id are told apart; alike rows share what they take.
+    rows = stored(sized.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).alias("_source"), "_size", "_mark"), "mix-sizes")
+    got = mixed(rows.withColumn("_key", F.xxhash64("_id", "_mark")), "_key", "_source", "_size")
+    per_key = got.groupBy("doc_id", "source").agg(F.sum("taken").alias("_taken"), F.count(F.lit(1)).alias("_times"))
+    keyed = sized.withColumn("_key", F.xxhash64(F.col(id_col).cast("long"), "_mark"))
+    joined = keyed.join(per_key, (keyed["_key"] == per_key["doc_id"]) & keyed[source_col].eqNullSafe(per_key["source"]))
+    joined = joined.select(*[keyed[c] for c in columns], "_size", "_taken", "_times", "_key")
+    alone = joined.where("_times = 1").withColumn("_own", F.col("_taken"))
+    # Rows alike in id, text and source: all share evenly, the first ones one word more.
+    alike = joined.where("_times > 1")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_size"))
+    alike = alike.withColumn("_own", F.floor(F.col("_taken") / F.col("_times")) + (nth <= F.pmod("_taken", "_times")).cast("long"))
+    both = alone.unionByName(alike).where("_own > 0")
+    copies = F.ceil(F.col("_own") / F.col("_size")).cast("long")
+    out = both.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    words = F.least(F.col("_size"), F.col("_own") - (F.col("_nth") - 1) * F.col("_size"))
+    out = out.withColumn("_words", words)
+    text = F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(_first_words(F.col(text_col), F.col("_words")))
+    out = out.withColumn(text_col, text)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col("_words") == F.col("_size"), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
+    return out.select(*columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))

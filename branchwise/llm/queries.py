@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from branchwise.llm import exact_dedup, mixing, simhash, sketch
+from branchwise.llm import exact_dedup, huffman, mixing, packing, repeats, secrets, simhash, sketch, toxicity, warc
 
 
 def _exact(spark, sf_dir):
@@ -10,9 +10,15 @@ def _exact(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_retrieval_packing": packing.query,
+    "op2_secret_scan": secrets.query,
+    "op3_warc_round_trip": warc.query,
     "op4_sketch_fingerprints": sketch.query,
+    "op5_toxicity_severity": toxicity.query,
     "op6_exact_dedup": _exact,
+    "op7_huffman_ids": huffman.query,
     "op8_source_mixing": mixing.query,
     "op9_simhash_groups": simhash.query,
+    "op10_repeated_passages": repeats.query,
 }
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE}
