@@ -220,7 +220,8 @@ def _cut(hot: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame,
 
     Returns the smaller groups (grp, c1, c2, left, right) and the coverage of the single windows.
     """
-    items = stored(hot.withColumn("lo", -F.least(F.length("left"), F.lit(length - gram))).withColumn("hi", F.lit(0)), "repeat-hot")
+    # All contexts share one grid of windows, so that equal windows meet; a context lacks those past its text's ends.
+    items = stored(hot.withColumn("lo", F.lit(gram - length)).withColumn("hi", F.lit(0)), "repeat-hot")
     small, covers = None, []
     while not items.isEmpty():
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
@@ -228,10 +229,8 @@ def _cut(hot: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame,
         child = (
             items.withColumn("half", F.explode(halves))
             .select("c1", "c2", "left", "right", "half.lo", "half.hi")
-            .where((F.col("lo") <= F.col("hi")) & (F.col("lo") + length <= F.length("right")) & (-F.col("lo") <= F.length("left")))
+            .where((F.col("lo") <= F.col("hi")) & (F.col("lo") + length <= F.length("right")) & (-F.col("hi") <= F.length("left")))
         )
-        # windows past the end of the text are no windows
-        child = child.withColumn("hi", F.least("hi", F.length("right") - length))
         child = child.withColumn("core", F.md5(F.concat(F.encode(F.concat_ws(":", "lo", "hi"), "UTF-8"), _between(F.col("hi"), F.col("lo") + length))))
         child = stored(child, "repeat-cut")
         sizes = child.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
