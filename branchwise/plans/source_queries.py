@@ -23,11 +23,8 @@ SEEDS = [0, 1, 2, 3, 4]
 # ----------------------------------------------------------------- sources
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
-
-
-def _write_shards(spark, sf) -> str:
-    """Data lines, a header per shard and one cut line."""
+def _root(spark, sf) -> str:
+    """Shards written for this call: data lines, a header per shard and one cut line."""
     b = views.branches(spark, sf)
     root = scratch_path(spark, "shards")
     named = spark.createDataFrame([("branches.s000.jsonl",), ("branches.s001.r1.jsonl",)], "src string")
@@ -37,14 +34,6 @@ def _write_shards(spark, sf) -> str:
     return root
 
 
-def _root(spark, sf):
-    """Shards of this session, written on first use."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = _write_shards(spark, sf)
-    return _WRITTEN[key]
-
-
 def _records(spark, sf):
     return shards.read_records(spark, _root(spark, sf), "branches", BRANCH_CORE)
 
@@ -163,8 +152,7 @@ def corpus_sample(spark, sf):
 
 def _audit(spark, sf):
     """Plan: all orders not pending. Observed: order-level branches of arm A."""
-    o = table(spark, sf, "orders").where("o_orderstatus <> 'P'")
-    planned = o.select(F.concat(F.lit("cp"), "o_orderkey").alias("checkpoint_id"), (F.col("o_custkey")).alias("task_id"))
+    planned = views.planned_orders(spark, sf)
     b = views.branches(spark, sf, "order").where(F.col("arm") == ARM_A)
     return planned, V.census(V.select_attempts(V.attempt_stats(b)), views.N_REPLICATES)
 
@@ -317,11 +305,11 @@ def worst_task_type(spark, sf):
 
 
 def evaluation_guard(spark, sf):
-    """Guard against its own counts, taken from the part table by plain aggregates."""
-    cps = views.checkpoints(spark, sf)
-    n = table(spark, sf, "part").count()
-    g = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 8)).distinct().count()
-    return tidy(Q.evaluation_guard(cps, "task_id", n, g))
+    """Guard of the checkpoint view against counts taken from the order lines and parts alone."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("key"))
+    have = part.join(views.blocks(spark, sf), "key", "left")
+    n, g = have.agg(F.sum(F.coalesce("n_blocks", F.lit(1))), F.countDistinct(F.floor(F.col("key") / 8))).first()
+    return tidy(Q.evaluation_guard(views.checkpoints(spark, sf), "task_id", n, g))
 
 
 def paths_agree(spark, sf):
@@ -376,7 +364,7 @@ QUERIES = {
 # ------------------------------------------------------------------ oracle
 
 _AUDIT = """
-planned AS (SELECT 'cp' || o_orderkey AS checkpoint_id, o_custkey AS task_id FROM orders WHERE o_orderstatus <> 'P'),
+planned AS (SELECT * FROM planned_orders),
 seen AS (SELECT checkpoint_id, reason, reason = 'ok' AS complete FROM order_census WHERE arm = 'A_replication'),
 classes AS (
   SELECT coalesce(p.checkpoint_id, s.checkpoint_id) AS checkpoint_id,
@@ -471,8 +459,8 @@ ORACLE = {
     "records_per_source": with_views("vals", "SELECT src, sum(n_kept)::BIGINT AS records FROM pick GROUP BY src"),
     "cohort_labels": with_views("vals", "SELECT arm, cohort, count(*) AS n FROM census GROUP BY ALL"),
     "incomplete_reissue": with_views(
-        "branches",
-        """SELECT checkpoint_id FROM (SELECT 'cp' || p_partkey AS checkpoint_id FROM part) WHERE checkpoint_id NOT IN (
+        "branches checkpoints",
+        """SELECT checkpoint_id FROM checkpoints WHERE checkpoint_id NOT IN (
           SELECT checkpoint_id FROM branches WHERE arm = 'B_montecarlo' AND src = 'branches.s000.jsonl' GROUP BY checkpoint_id
           HAVING count(*) FILTER (action = 'continue') = 3 AND count(*) FILTER (action = 'intervene') = 3 AND count(*) FILTER (action = 'quit') = 1 AND bool_and(replay_verified))""",
     ),
@@ -480,25 +468,25 @@ ORACLE = {
       FROM embeddings, (VALUES (1), (3)) l(layer) GROUP BY layer""",
     "corpus_manifest": "WITH" + _MANIFEST + " SELECT * FROM games",
     "corpus_sample": "WITH" + _MANIFEST + " SELECT * FROM games QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY folder) <= 3",
-    "audit_classes": with_views("order_vals", "SELECT * FROM classes", _AUDIT),
-    "audit_class_counts": with_views("order_vals", "SELECT class, count(*) AS n FROM classes GROUP BY class", _AUDIT),
+    "audit_classes": with_views("order_vals planned_orders", "SELECT * FROM classes", _AUDIT),
+    "audit_class_counts": with_views("order_vals planned_orders", "SELECT class, count(*) AS n FROM classes GROUP BY class", _AUDIT),
     "audit_partial_reasons": with_views(
-        "order_vals",
+        "order_vals planned_orders",
         "SELECT reason, count(*) AS n FROM classes WHERE class = 'partial' GROUP BY reason ORDER BY n DESC, reason LIMIT 10",
         _AUDIT,
     ),
-    "rerun_list": with_views("order_vals", "SELECT checkpoint_id FROM classes WHERE class IN ('partial', 'absent')", _AUDIT),
+    "rerun_list": with_views("order_vals planned_orders", "SELECT checkpoint_id FROM classes WHERE class IN ('partial', 'absent')", _AUDIT),
     "remaining_units": with_views(
-        "order_vals", "SELECT checkpoint_id FROM planned WHERE checkpoint_id NOT IN (SELECT checkpoint_id FROM seen WHERE complete)", _AUDIT
+        "order_vals planned_orders", "SELECT checkpoint_id FROM planned WHERE checkpoint_id NOT IN (SELECT checkpoint_id FROM seen WHERE complete)", _AUDIT
     ),
     "lost_games": with_views(
-        "order_vals",
+        "order_vals planned_orders",
         """SELECT task_id, count(*) AS n FROM planned LEFT JOIN (SELECT checkpoint_id, 1 AS ok FROM seen WHERE complete) USING (checkpoint_id)
         GROUP BY task_id HAVING count(ok) = 0""",
         _AUDIT,
     ),
     "set_differences": with_views(
-        "order_vals",
+        "order_vals planned_orders",
         """SELECT 'planned_only' AS part, count(*) AS n FROM (SELECT checkpoint_id FROM planned EXCEPT SELECT checkpoint_id FROM seen)
         UNION ALL SELECT 'seen_only', count(*) FROM (SELECT checkpoint_id FROM seen EXCEPT SELECT checkpoint_id FROM planned)
         UNION ALL SELECT 'shared', count(*) FROM (SELECT checkpoint_id FROM seen INTERSECT SELECT checkpoint_id FROM planned)

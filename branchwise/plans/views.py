@@ -16,67 +16,66 @@ from branchwise.functions.text import TASK_TYPES
 N_REPLICATES = {ARM_A: 1, ARM_B: 3}
 
 
-SPREAD_KEYS = {
-    "lineitem": "l_orderkey",
-    "events": "event_id",
-    "documents": "doc_id",
-    "pages": "page_id",
-    "conversations": "conv_id",
-}
-SMALL_INPUT = 1 << 30
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table.
+# ---------------------------------------------------------------- outcomes
 
-    A small file often is a single row group, which one core would read and process
-    alone, so small inputs are spread over the cores right after the scan. Inputs
-    above a gigabyte have splits of their own and are left as they are.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    key = SPREAD_KEYS.get(name)
-    if key is None or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_INPUT:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism, key)
 
+ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+UNITS = {"part": "l_partkey", "order": "l_orderkey"}
+PER_BLOCK = 3
 
-# ---------------------------------------------------------------- outcomes
+
+def _unit_id(key, block):
+    return F.concat(F.lit("cp"), key, F.lit("b"), block)
+
+
+def blocks(spark: SparkSession, sf_dir: str, unit: str = "part") -> DataFrame:
+    """(key, n_blocks): how many checkpoints the order lines of a part or an order fill, from counts alone."""
+    key = UNITS[unit]
+    n = table(spark, sf_dir, "lineitem").groupBy(key, "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+    per = F.when(F.col("l_returnflag").isin("A", "N"), F.ceil(F.col("n") / PER_BLOCK)).otherwise(F.col("n"))
+    return n.groupBy(F.col(key).alias("key")).agg(F.max(per.cast("long")).alias("n_blocks"))
+
+
+def _in_blocks(units: DataFrame, key: str, n_blocks: DataFrame) -> DataFrame:
+    """Each unit once per block of its order lines; a unit without lines has one."""
+    have = units.join(n_blocks, units[key] == n_blocks["key"], "left").drop("key")
+    return have.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n_blocks", F.lit(1)) - 1))).drop("n_blocks")
 
 
 def branches(spark: SparkSession, sf_dir: str, unit: str = "part") -> DataFrame:
-    """Raw outcomes from order lines, one row per executed branch and arm.
+    """Raw outcomes from order lines, one row per executed branch and arm; every line is the outcome of one branch.
 
-    The replicate filter is a top-k per group, which Spark cuts to three rows per
-    group before the shuffle, so a hot part never travels whole.
+    Lines of a part (or order), action and shard are numbered in order. Three in a row are the replicates of one
+    checkpoint, the block; of the quit action each is a checkpoint's only one. Numbering runs in ranges of keys, so a
+    hot part is never ordered in one task.
     """
-    key = {"part": "l_partkey", "order": "l_orderkey"}[unit]
-    li = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy(key, "l_returnflag", "l_linestatus").orderBy(
-        "l_orderkey",
-        "l_partkey",
-        "l_suppkey",
-        "l_linenumber",
-        "l_shipdate",
-        "l_quantity",
-        "l_extendedprice",
-        "l_discount",
-        "l_tax",
-    )
-    ranked = li.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 3)
+    key = UNITS[unit]
+    li = table(spark, sf_dir, "lineitem").select(*ORDER, "l_returnflag", "l_linestatus")
+    cut = F.floor(F.col("l_orderkey" if unit == "part" else "l_partkey") / 4096)
+    ranked = numbered(li, [key, "l_returnflag", "l_linestatus"], cut, ORDER, "rn")
+    single = ~F.col("l_returnflag").isin("A", "N")
+    nth = F.col("rn") - 1
+    ranked = ranked.withColumn("block", F.when(single, nth).otherwise(F.floor(nth / PER_BLOCK)).cast("long"))
+    ranked = ranked.withColumn("replicate", F.when(single, 0).otherwise(nth % PER_BLOCK).cast("int"))
     cents = F.round(F.col("l_discount") * 100).cast("int")
     action = (
         F.when(F.col("l_returnflag") == "A", "continue").when(F.col("l_returnflag") == "N", "intervene").otherwise("quit")
     )
     rows = ranked.select(
-        F.concat(F.lit("cp"), F.col(key)).alias("checkpoint_id"),
+        _unit_id(F.col(key), F.col("block")).alias("checkpoint_id"),
         F.col(key).alias("unit_key"),
         action.alias("action"),
         F.when(F.col("l_linestatus") == "O", "branches.s000.jsonl").otherwise("branches.s001.r1.jsonl").alias("src"),
-        (F.col("rn") - 1).cast("int").alias("replicate"),
+        "replicate",
         cents.alias("cents"),
         F.col("l_quantity").cast("int").alias("qty"),
         ((F.col("l_suppkey") % 40 == 0) & (F.col("l_linenumber") == 7)).alias("broken"),
-    ).where((F.col("action") != "quit") | (F.col("replicate") < 1))
+    )
     is_quit = F.col("action") == "quit"
     success = (
         F.when(is_quit, F.lit(False))
@@ -103,10 +102,10 @@ def task_type_of(task_id):
 
 
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = _in_blocks(table(spark, sf_dir, "part"), "p_partkey", blocks(spark, sf_dir))
     key = F.col("p_partkey")
     return p.select(
-        F.concat(F.lit("cp"), key).alias("checkpoint_id"),
+        _unit_id(key, F.col("block")).alias("checkpoint_id"),
         key.alias("part_id"),
         F.floor(key / 4).cast("bigint").alias("rollout_id"),
         F.floor(key / 8).cast("bigint").alias("task_id"),
@@ -117,6 +116,13 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned order checkpoints: every block of the orders that are not pending."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
+    o = _in_blocks(o, "o_orderkey", blocks(spark, sf_dir, "order"))
+    return o.select(_unit_id(F.col("o_orderkey"), F.col("block")).alias("checkpoint_id"), F.col("o_custkey").alias("task_id"))
+
+
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 4).cast("bigint").alias("rollout_id"))
     return p.distinct().select(
@@ -192,24 +198,36 @@ _TASKS = "[" + ", ".join(f"'{t}'" for t in TASK_TYPES[:6]) + "]"
 
 def _branch_sql(key: str, prefix: str) -> str:
     return f"""
+{prefix}00 AS (
+  SELECT *, row_number() OVER (PARTITION BY {key}, l_returnflag, l_linestatus ORDER BY l_orderkey, l_partkey,
+      l_suppkey, l_linenumber, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS nth
+  FROM lineitem),
 {prefix}0 AS (
   SELECT {key} AS unit_key,
     CASE l_returnflag WHEN 'A' THEN 'continue' WHEN 'N' THEN 'intervene' ELSE 'quit' END AS action,
     CASE l_linestatus WHEN 'O' THEN 'branches.s000.jsonl' ELSE 'branches.s001.r1.jsonl' END AS src,
-    CAST(row_number() OVER (PARTITION BY {key}, l_returnflag, l_linestatus ORDER BY l_orderkey, l_partkey,
-      l_suppkey, l_linenumber, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS INTEGER) AS replicate,
+    CAST(CASE WHEN l_returnflag IN ('A', 'N') THEN nth // {PER_BLOCK} ELSE nth END AS BIGINT) AS block,
+    CAST(CASE WHEN l_returnflag IN ('A', 'N') THEN nth % {PER_BLOCK} ELSE 0 END AS INTEGER) AS replicate,
     CAST(round(l_discount * 100) AS INTEGER) AS cents, CAST(l_quantity AS INTEGER) AS qty,
     (l_suppkey % 40 = 0 AND l_linenumber = 7) AS broken
-  FROM lineitem),
+  FROM {prefix}00),
 {prefix} AS (
-  SELECT 'cp' || unit_key AS checkpoint_id, a.arm, action, src, replicate,
-    'cp' || unit_key || '::' || action || '::' || replicate AS branch_id,
+  SELECT 'cp' || unit_key || 'b' || block AS checkpoint_id, a.arm, action, src, replicate,
+    'cp' || unit_key || 'b' || block || '::' || action || '::' || replicate AS branch_id,
     CASE WHEN action = 'quit' THEN false WHEN action = 'continue' THEN cents <= 1 + 2 * (unit_key % 4)
       ELSE 2 * cents <= 6 + 3 * (unit_key % 6) END AS success,
     CASE WHEN action = 'quit' THEN 0 ELSE qty END AS n_steps_in_branch,
     (action = 'quit' OR NOT broken) AS replay_verified
   FROM {prefix}0, (VALUES ('A_replication'), ('B_montecarlo')) a(arm)
-  WHERE replicate < 3 AND (action <> 'quit' OR replicate < 1) AND (a.arm = 'B_montecarlo' OR replicate = 0))"""
+  WHERE a.arm = 'B_montecarlo' OR replicate = 0)"""
+
+
+def _blocks_sql(key: str, name: str) -> str:
+    return f"""
+{name} AS (
+  SELECT key, max(CASE WHEN flag IN ('A', 'N') THEN (n + {PER_BLOCK} - 1) // {PER_BLOCK} ELSE n END) AS n_blocks
+  FROM (SELECT {key} AS key, l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY {key}, l_returnflag, l_linestatus)
+  GROUP BY key)"""
 
 
 def _derive_sql(b: str, p: str) -> str:
@@ -273,15 +291,25 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "order_branches": ((), _branch_sql("l_orderkey", "order_branches")),
     "vals": (("branches",), _derive_sql("branches", "")),
     "order_vals": (("order_branches",), _derive_sql("order_branches", "order_")),
+    "part_blocks": ((), _blocks_sql("l_partkey", "part_blocks")),
+    "order_blocks": ((), _blocks_sql("l_orderkey", "order_blocks")),
+    "planned_orders": (
+        ("order_blocks",),
+        """
+planned_orders AS (
+  SELECT 'cp' || o_orderkey || 'b' || block AS checkpoint_id, o_custkey AS task_id
+  FROM (SELECT o_orderkey, o_custkey, unnest(range(0, coalesce(n_blocks, 1)::BIGINT)) AS block
+    FROM orders LEFT JOIN order_blocks ON o_orderkey = key WHERE o_orderstatus <> 'P'))""",
+    ),
     "checkpoints": (
-        (),
+        ("part_blocks",),
         """
 checkpoints AS (
-  SELECT 'cp' || p_partkey AS checkpoint_id, p_partkey AS part_id, p_partkey // 4 AS rollout_id, p_partkey // 8 AS task_id,
+  SELECT 'cp' || p_partkey || 'b' || block AS checkpoint_id, p_partkey AS part_id, p_partkey // 4 AS rollout_id, p_partkey // 8 AS task_id,
     CAST(1 + p_partkey % 4 AS INTEGER) AS t,
     CASE WHEN p_size % 7 <> 0 THEN (p_size % 11) / 10e0 END AS confidence,
     p_size::DOUBLE AS size, p_retailprice AS price
-  FROM part)""",
+  FROM (SELECT part.*, unnest(range(0, coalesce(n_blocks, 1)::BIGINT)) AS block FROM part LEFT JOIN part_blocks ON p_partkey = key))""",
     ),
     "rollouts": (
         (),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -23,6 +25,7 @@ def local_session(cpus: int = 8, app: str = "branchwise") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.files.minPartitionNum", str(cpus))
         .getOrCreate()
     )
 
@@ -30,27 +33,37 @@ def local_session(cpus: int = 8, app: str = "branchwise") -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only where the setting is missing, which is
-    the single-machine test case.
+    On one machine a temporary folder may stand in for the missing setting. On a cluster it may not: each executor would
+    write to a disk of its own, and later reads would miss those files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(tempfile.gettempdir(), f"branchwise-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not is_local(spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _OWN_ROOTS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="branchwise-"))
     return root
 
 
+_OWN_ROOTS: dict[str, str] = {}
+
+
+@atexit.register
+def _clean_up() -> None:
+    """Temporary folders of this process go with it; a named shared folder is its owner's to clean."""
+    for root in _OWN_ROOTS.values():
+        shutil.rmtree(root, ignore_errors=True)
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process; ``local-cluster`` is not."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; never reused between runs."""
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def enable_checkpoints(spark: SparkSession) -> None:
-    """Point ``DataFrame.checkpoint`` at the shared folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_root(spark))
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a derived table to the shared folder and read it back.
 

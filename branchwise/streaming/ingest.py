@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,7 @@ def shard_stream(spark: SparkSession, root: str, stem: str, schema: T.StructType
 
 
 def running_counts(records: DataFrame) -> DataFrame:
-    """Counts per (checkpoint, arm, attempt); works on a stream and on a table."""
+    """Counts per (checkpoint, arm, attempt); repeated branch ids count once."""
     once = records.dropDuplicates([*KEY, "branch_id"])
     verified = F.coalesce("replay_verified", F.lit(False))
     return once.groupBy(*KEY).agg(
@@ -40,19 +40,15 @@ def running_counts(records: DataFrame) -> DataFrame:
 
 
 def ingest(records: DataFrame, out: str, checkpoint: str) -> None:
-    """Process everything available and stop.
+    """Append every new record to the table at ``out`` and stop.
 
-    Each micro-batch writes its changed rows to a folder named after the batch, so
-    a replayed batch overwrites itself.
+    The stream keeps no state besides the list of files it has read: the file sink commits each batch once, and the same
+    checkpoint makes the next run read new files only. Records are deduplicated and counted from the table.
     """
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/batch_{batch_id:06d}")
-
     q = (
-        running_counts(records)
-        .writeStream.outputMode("update")
-        .foreachBatch(upsert)
+        records.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", out)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -61,10 +57,8 @@ def ingest(records: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def current_counts(spark: SparkSession, out: str) -> DataFrame:
-    """Latest counts per key over all ingested batches."""
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(out)
-    w = Window.partitionBy(*KEY).orderBy(F.col("batch").desc())
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "batch")
+    """Counts per key over all records ingested so far."""
+    return running_counts(spark.read.parquet(out))
 
 
 def missing_units(planned: DataFrame, counts: DataFrame, n_replicates: int) -> DataFrame:

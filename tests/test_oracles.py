@@ -65,10 +65,37 @@ def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 
 
-def test_raw_rows_never_meet_a_hot_group_whole(spark):
-    """The top-k view cuts groups before its shuffle, and only needed columns are read."""
+def test_every_order_line_is_an_outcome(spark):
+    from branchwise.plans import views
+
+    lines = views.table(spark, SF, "lineitem").count()
+    for unit in ("part", "order"):
+        b = views.branches(spark, SF, unit).where("arm = 'B_montecarlo'")
+        assert b.count() == lines
+    planned = views.checkpoints(spark, SF).select("checkpoint_id")
+    assert b is not None and views.branches(spark, SF).join(planned, "checkpoint_id", "left_anti").isEmpty()
+    assert planned.distinct().count() == planned.count()
+
+
+def test_no_hot_group_is_ordered_in_one_task(spark):
+    """Numbering windows run per range of a key, and only needed columns are read."""
     from branchwise.plans import views
 
     plan = views.branches(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") >= 2 and "Partial" in plan
-    assert "l_shipdate" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "_block" in plan and "l_shipmode" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from branchwise.session import is_local, scratch_root
+
+    assert is_local("local[4]") and is_local("local") and not is_local("local-cluster[2,1,512]") and not is_local("yarn")
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Far:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(Far())
