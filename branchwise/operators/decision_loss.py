@@ -1,22 +1,24 @@
-"""Linear value models trained on the decision-focused surrogate loss.
+"""Linear value models trained on the decision-focused surrogate loss (``outcomes.spo_plus_loss``).
 
-All penalties and folds train in the same passes: every step is one distributed
-sum of subgradients for the whole stack of models, and the driver only updates
-d x 2 weights per model.
+One Spark job trains a whole stack of models: every task of a barrier stage holds its share of the rows, and in each
+step the tasks exchange one d x 2 gradient per model and make the same update. Nothing returns to the driver before the
+last step, and a step is one matrix product over all models.
 """
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchwise.operators.linear import TEST, fold_grams, scaler
+from branchwise.functions.outcomes import spo_plus_loss
+from branchwise.operators.linear import TEST, dot, fold_grams, scaler
 from branchwise.session import stored
 
 # Penalty grid and optimiser settings of the reference results.
@@ -33,98 +35,116 @@ class Job:
     held_out: int | None
 
 
-def losses(q_hat: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Surrogate loss per row; the third column of both arguments is the quit value."""
-    star = q.argmax(1)
-    return (2 * q_hat - q).max(1) + q.max(1) - 2 * q_hat[np.arange(len(q)), star]
-
-
-def _stack(z: np.ndarray, coef: np.ndarray) -> np.ndarray:
-    """(models, rows, 3) predictions with quit fixed at 0."""
-    p = np.einsum("nd,mdk->mnk", z, coef)
-    return np.concatenate([p, np.zeros((*p.shape[:2], 1))], axis=2)
-
-
-def _pass(rows: DataFrame, coef: np.ndarray, jobs: list[Job], targets: tuple[int, int], grad: bool) -> np.ndarray:
-    """One distributed sum: subgradients and loss on the training folds, or loss on the held-out ones."""
-    m, d = coef.shape[0], coef.shape[1]
-    width = m * (2 * d if grad else 0) + 2 * m
-
-    def partial(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, loss, count = np.zeros((m, d, 2)), np.zeros(m), np.zeros(m)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            full = np.stack(pdf["z"].to_numpy()).astype(float)
-            fold = pdf["fold"].to_numpy()
-            q = np.column_stack([full[:, targets[0]], full[:, targets[1]], np.zeros(len(full))])
-            z = full[:, :d]
-            hat = _stack(z, coef)
-            star = q.argmax(1)
-            at = np.arange(len(q))
-            for i, job in enumerate(jobs):
-                inside = (fold >= 0) if job.held_out is None else (fold >= 0) & (fold != job.held_out)
-                use = inside if grad or job.held_out is None else fold == job.held_out
-                loss[i] += losses(hat[i][use], q[use]).sum()
-                count[i] += use.sum()
-                if grad:
-                    s = np.zeros_like(q)
-                    s[at, (2 * hat[i] - q).argmax(1)] += 2.0
-                    s[at, star] -= 2.0
-                    g[i] += z[use].T @ s[use, :2]
-        flat = np.concatenate([g.ravel() if grad else np.zeros(0), loss, count])
-        yield pd.DataFrame({"salt": [TaskContext.get().partitionId() % 16], "v": [flat]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"v": [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)]})
-
-    part = rows.select("z", "fold").mapInPandas(partial, "salt int, v array<double>")
-    parts = part.groupBy("salt").applyInPandas(add, "v array<double>").collect()
-    total = np.sum([np.asarray(r["v"]) for r in parts], axis=0)
-    assert total.shape == (width,)
-    return total
+@dataclass(frozen=True)
+class Scale:
+    """Rows, means and deviations of a job's training folds, which standardise its features."""
+
+    n: float
+    mean: np.ndarray
+    sd: np.ndarray
+
+    def to_raw(self, weights: np.ndarray) -> np.ndarray:
+        """Standardised (d, 2) weights, intercept first, as coefficients on raw features."""
+        slopes = weights[1:] / self.sd[:, None]
+        return np.vstack([weights[:1] - self.mean @ slopes, slopes])
+
+    def gradient(self, raw: np.ndarray) -> np.ndarray:
+        """Mean gradient in standardised weights from the summed one in raw coefficients."""
+        slopes = (raw[1:] - np.outer(self.mean, raw[0])) / self.sd[:, None]
+        return np.vstack([raw[:1], slopes]) / self.n
+
+
+def pull(predicted: np.ndarray, true: np.ndarray) -> np.ndarray:
+    """Direction in which the loss grows: (rows, models, 2) for (rows, models, 2) predictions and (rows, 2) values.
+
+    The loss is a maximum over the three actions minus a linear term, so its slope is twice the difference of two
+    indicators: of the action that is best under 2 * predicted - true, and of the action that is truly best. Quitting
+    is worth 0; earlier actions win ties.
+    """
+
+    def best(values: np.ndarray) -> np.ndarray:
+        first, second = values[..., 0], values[..., 1]
+        take_first = (first >= second) & (first >= 0)
+        return np.stack([take_first, ~take_first & (second >= 0)], axis=-1).astype(float)
+
+    return 2.0 * (best(2 * predicted - true[:, None, :]) - best(true)[:, None, :])
+
+
+class Averaged:
+    """Adam whose result is the mean of the weights over the later half of the steps."""
+
+    def __init__(self, shape: tuple[int, ...], rate: float, steps: int):
+        self.rate, self.steps, self.done = rate, steps, 0
+        self.weights, self.mean = np.zeros(shape), np.zeros(shape)
+        self.first, self.second = np.zeros(shape), np.zeros(shape)
+
+    def update(self, gradient: np.ndarray) -> None:
+        self.done += 1
+        self.first += (1 - BETA1) * (gradient - self.first)
+        self.second += (1 - BETA2) * (gradient**2 - self.second)
+        size = np.sqrt(self.second / (1 - BETA2**self.done)) + EPS
+        self.weights = self.weights - self.rate * self.first / (1 - BETA1**self.done) / size
+        late = self.done - self.steps // 2
+        if late > 0:
+            self.mean += (self.weights - self.mean) / late
+
+
+def _everyone(ctx: BarrierTaskContext, part: np.ndarray) -> np.ndarray:
+    """Sum of an array over the tasks of the stage, in task order."""
+    texts = ctx.allGather(base64.b64encode(part.tobytes()).decode())
+    return np.sum([np.frombuffer(base64.b64decode(t)) for t in texts], axis=0).reshape(part.shape)
 
 
 def train_stack(
-    rows: DataFrame, d: int, targets: tuple[int, int], jobs: list[Job], grams: dict[int, np.ndarray], steps: int = STEPS, rate: float = RATE
+    rows: DataFrame, d: int, targets: tuple[int, int], jobs: list[Job], scales: list[Scale], steps: int = STEPS, rate: float = RATE
 ) -> np.ndarray:
-    """Full-batch Adam on every job at once; returns the mean of the back half of the path.
+    """(jobs, d, 2) raw coefficients of all jobs, from (z, fold) rows spread over the session's slots."""
+
+    def train(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ctx = BarrierTaskContext.get()
+        parts = [b for b in batches if len(b)]
+        z = np.concatenate([np.stack(b["z"].to_numpy()) for b in parts]).astype(float) if parts else np.zeros((0, max(targets) + 1))
+        fold = np.concatenate([b["fold"].to_numpy() for b in parts]) if parts else np.zeros(0, int)
+        x, true = z[:, :d], z[:, list(targets)]
+        used = np.stack([(fold >= 0) & (fold != (-1 if j.held_out is None else j.held_out)) for j in jobs], axis=1)
+        fit = Averaged((len(jobs), d, 2), rate, steps)
+        shrink = np.array([j.lam for j in jobs])[:, None, None] * (np.arange(d) > 0)[None, :, None]
+        for _ in range(steps):
+            coef = np.stack([s.to_raw(w) for s, w in zip(scales, fit.weights)], axis=1)  # (d, jobs, 2)
+            slope = pull(np.tensordot(x, coef, 1), true) * used[:, :, None]
+            total = _everyone(ctx, np.tensordot(x.T, slope, 1))
+            fit.update(np.stack([s.gradient(total[:, i]) for i, s in enumerate(scales)]) + shrink * fit.weights)
+        if ctx.partitionId() == 0:
+            yield pd.DataFrame({"coef": [np.stack([s.to_raw(w) for s, w in zip(scales, fit.mean)]).ravel()]})
+
+    # A barrier stage starts when all its tasks have a slot.
+    slots = max(1, rows.sparkSession.sparkContext.defaultParallelism // 2)
+    (got,) = rows.select("z", "fold").repartition(slots).mapInPandas(train, "coef array<double>", barrier=True).collect()
+    return np.asarray(got["coef"]).reshape(len(jobs), d, 2)
+
+
+def with_predictions(rows: DataFrame, coef: np.ndarray, d: int, names: tuple[str, str]) -> DataFrame:
+    """Prediction columns from fitted coefficients."""
+    z = F.slice("z", 1, d)
+    for k, name in enumerate(names):
+        rows = rows.withColumn(name, dot(z, F.array(*[F.lit(float(x)) for x in coef[:, k]])))
+    return rows
 
-    Weights live in standardised units of each job's own training folds and are
-    turned into coefficients on raw ``z`` for the passes.
-    """
-    cols = list(range(1, d))
-    scales = []
-    for job in jobs:
-        g = sum(v for f, v in grams.items() if f >= 0 and f != job.held_out)
-        mu, sd = scaler(g, cols)
-        scales.append((g[0, 0], mu, sd))
-    m = len(jobs)
-    w, b = np.zeros((m, d - 1, 2)), np.zeros((m, 2))
-    mom = [np.zeros_like(x) for x in (w, w, b, b)]
-    acc_w, acc_b, n_acc = np.zeros_like(w), np.zeros_like(b), 0
-
-    def raw(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        out = np.zeros((m, d, 2))
-        for i, (_, mu, sd) in enumerate(scales):
-            c = weights[i] / sd[:, None]
-            out[i, 1:], out[i, 0] = c, bias[i] - mu @ c
-        return out
-
-    for t in range(1, steps + 1):
-        total = _pass(rows, raw(w, b), jobs, targets, True)
-        g = total[: m * d * 2].reshape(m, d, 2)
-        gw, gb = np.empty_like(w), np.empty_like(b)
-        for i, (n, mu, sd) in enumerate(scales):
-            gb[i] = g[i, 0] / n
-            gw[i] = (g[i, 1:] - np.outer(mu, g[i, 0])) / sd[:, None] / n + jobs[i].lam * w[i]
-        for x, gx, k in ((w, gw, 0), (b, gb, 2)):
-            mom[k] = BETA1 * mom[k] + (1 - BETA1) * gx
-            mom[k + 1] = BETA2 * mom[k + 1] + (1 - BETA2) * gx * gx
-            x -= rate * (mom[k] / (1 - BETA1**t)) / (np.sqrt(mom[k + 1] / (1 - BETA2**t)) + EPS)
-        if t > steps // 2:
-            acc_w, acc_b, n_acc = acc_w + w, acc_b + b, n_acc + 1
-    return raw(acc_w / n_acc, acc_b / n_acc)
+
+def held_out_losses(rows: DataFrame, d: int, targets: tuple[int, int], jobs: list[Job], coef: np.ndarray) -> dict[float, float]:
+    """Mean over folds of the mean loss on each job's left-out fold, per penalty."""
+    true = [F.element_at("z", t + 1) for t in targets]
+    parts = []
+    for fold in sorted({j.held_out for j in jobs}):
+        scored, losses = rows.where(F.col("fold") == fold), []
+        for i, j in enumerate(jobs):
+            if j.held_out == fold:
+                scored = with_predictions(scored, coef[i], d, (f"c{i}", f"i{i}"))
+                losses.append(F.avg(spo_plus_loss(F.col(f"c{i}"), F.col(f"i{i}"), *true)).alias(str(i)))
+        parts.append(scored.agg(*losses).first().asDict())
+    found = {int(k): v for p in parts for k, v in p.items()}
+    lams = dict.fromkeys(j.lam for j in jobs)
+    return {lam: float(np.mean([found[i] for i, j in enumerate(jobs) if j.lam == lam])) for lam in lams}
 
 
 def fit_cv(
@@ -134,34 +154,23 @@ def fit_cv(
 
     ``rows``: z (features first, d of them with the constant) and fold (-1 = test).
     """
-    one = rows.select("z", F.array("fold").alias("folds"))
     grams = {}
-    for r in fold_grams(one).collect():  # one d x d matrix per fold
+    for r in fold_grams(rows.select("z", F.array("fold").alias("folds"))).collect():  # one d x d matrix per fold
         k = int(round(len(r["g"]) ** 0.5))
         grams[r["fold"]] = np.asarray(r["g"]).reshape(k, k)
     grams.pop(TEST, None)
     folds = sorted(grams)
-    data = stored(rows.select("z", "fold"), "decision-rows").cache()
-    try:
-        pick, scores = lambdas[len(lambdas) // 2], {}
-        if len(folds) > 1 and len(lambdas) > 1:
-            jobs = [Job(lam, f) for lam in lambdas for f in folds]
-            coef = train_stack(data, d, targets, jobs, grams, steps)
-            tail = _pass(data, coef, jobs, targets, False)[-2 * len(jobs) :]
-            mean = tail[: len(jobs)] / np.maximum(tail[len(jobs) :], 1)
-            scores = {lam: float(np.mean([mean[i] for i, j in enumerate(jobs) if j.lam == lam])) for lam in lambdas}
-            pick = min(lambdas, key=lambda lam: (scores[lam], lambdas.index(lam)))
-        final = train_stack(data, d, targets, [Job(pick, None)], grams, steps)
-    finally:
-        data.unpersist()
-    return final[0], pick, scores
 
-
-def with_predictions(rows: DataFrame, coef: np.ndarray, d: int, names: tuple[str, str]) -> DataFrame:
-    """Prediction columns from fitted coefficients."""
-    from branchwise.operators.linear import dot
-
-    z = F.slice("z", 1, d)
-    for k, name in enumerate(names):
-        rows = rows.withColumn(name, dot(z, F.array(*[F.lit(float(x)) for x in coef[:, k]])))
-    return rows
+    def scale(held_out: int | None) -> Scale:
+        g = sum(v for f, v in grams.items() if f != held_out)
+        return Scale(g[0, 0], *scaler(g, list(range(1, d))))
+
+    data = stored(rows.select("z", "fold"), "decision-rows")
+    pick, scores = lambdas[len(lambdas) // 2], {}
+    if len(folds) > 1 and len(lambdas) > 1:
+        jobs = [Job(lam, f) for lam in lambdas for f in folds]
+        coef = train_stack(data, d, targets, jobs, [scale(j.held_out) for j in jobs], steps)
+        scores = held_out_losses(data, d, targets, jobs, coef)
+        pick = min(scores, key=scores.get)
+    final = train_stack(data, d, targets, [Job(pick, None)], [scale(None)], steps)
+    return final[0], pick, scores

@@ -62,19 +62,26 @@ def planted_corruption(recorded: DataFrame, keys: list[str], pos: str, fields: l
     return _row(a, "V2", "negative control", ok, C("n"), C("missed"), C("false_alarms"))
 
 
-def stored_hashes(stored: DataFrame, recomputed: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """A stored hash column equals the recomputed one on the same key."""
-    j = stored.select(*keys, C(col).alias("s")).join(recomputed.select(*keys, C(col).alias("r")), keys, "left")
-    a = j.agg(F.count(F.lit(1)).alias("n"), F.count_if(~C("s").eqNullSafe(C("r"))).alias("bad"))
-    return _row(a, "V3", "stored state hash", (C("n") > 0) & (C("bad") == 0), C("n"), C("bad"), C("bad"))
+def _against(stored: DataFrame, recomputed: DataFrame, keys: list[str], col: str, damaged: Column | None) -> DataFrame:
+    """(n, off, bad) of stored rows: differing from the recomputed value, and differing where no damage was planted or
+    not differing where some was."""
+    hit = F.lit(False) if damaged is None else damaged
+    s = stored.select(*keys, C(col).alias("s"), hit.alias("hit"))
+    j = s.join(recomputed.select(*keys, C(col).alias("r")), keys, "left")
+    off = ~C("s").eqNullSafe(C("r"))
+    return j.agg(F.count(F.lit(1)).alias("n"), F.count_if(off).alias("off"), F.count_if(off != C("hit")).alias("bad"))
+
+
+def stored_hashes(stored: DataFrame, recomputed: DataFrame, keys: list[str], col: str, damaged: Column | None = None) -> DataFrame:
+    """A stored hash column equals the recomputed one on the same key, but exactly where damage was planted."""
+    a = _against(stored, recomputed, keys, col, damaged)
+    return _row(a, "V3", "stored state hash", (C("n") > 0) & (C("bad") == 0), C("n"), C("bad"), C("off"))
 
 
 def _outcome_kinds(branches: DataFrame, arm: str) -> DataFrame:
     """Rows and spread of (success, length) per checkpoint, continue rows of one arm."""
     rows = branches.where((C("arm") == arm) & (C("action") == CONTINUE) & C("replay_verified"))
-    o = F.struct("success", "n_steps_in_branch")
     packed = C("n_steps_in_branch") * 2 + C("success").cast("int")
-    del o
     return rows.groupBy("checkpoint_id").agg(
         F.count(F.lit(1)).alias("n"), (F.min(packed) < F.max(packed)).alias("varies")
     )
@@ -168,12 +175,10 @@ def order_free(branches: DataFrame, n_replicates: dict[str, int]) -> DataFrame:
     return _row(a, "V9", "derivation purity", C("bad") == 0, C("n"), C("bad"), C("bad"))
 
 
-def stored_arrays(stored: DataFrame, recomputed: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """A stored array column equals the recomputed one; missing arrays are skipped."""
-    s = stored.where(C(col).isNotNull()).select(*keys, C(col).alias("s"))
-    j = s.join(recomputed.select(*keys, C(col).alias("r")), keys, "left")
-    a = j.agg(F.count(F.lit(1)).alias("n"), F.count_if(~C("s").eqNullSafe(C("r"))).alias("bad"))
-    return _row(a, "V10", "stored column round trip", C("bad") == 0, C("n"), C("bad"), C("bad"), C("n") == 0)
+def stored_arrays(stored: DataFrame, recomputed: DataFrame, keys: list[str], col: str, damaged: Column | None = None) -> DataFrame:
+    """A stored array column equals the recomputed one, but exactly where damage was planted; missing arrays are skipped."""
+    a = _against(stored.where(C(col).isNotNull()), recomputed, keys, col, damaged)
+    return _row(a, "V10", "stored column round trip", C("bad") == 0, C("n"), C("bad"), C("off"), C("n") == 0)
 
 
 def evaluation_guard(rows: DataFrame, group: str, n_rows: int, n_groups: int) -> DataFrame:

@@ -83,16 +83,21 @@ def verify(
 
 
 def rejected_branches(branches: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
-    """Flag branches whose trace diverged; they are kept but never valued."""
+    """Flag branches whose trace diverged; they are kept with no steps, but never valued.
+
+    Only a negative verdict rejects. A branch without a verdict keeps what it says and is not verified (null).
+    """
     v = verdicts.select(key, F.col("verified").alias("_ok"))
     j = branches.join(v, key, "left")
-    bad = ~F.coalesce("_ok", F.lit(False))
-    return (
-        j.withColumn("replay_verified", ~bad)
+    bad = F.coalesce(~F.col("_ok"), F.lit(False))
+    out = (
+        j.withColumn("replay_verified", F.col("_ok"))
         .withColumn("terminal_reason", F.when(bad, "replay_mismatch").otherwise(F.col("terminal_reason")))
         .withColumn("success", F.when(bad, F.lit(False)).otherwise(F.col("success")))
-        .drop("_ok")
     )
+    if "n_steps_in_branch" in branches.columns:
+        out = out.withColumn("n_steps_in_branch", F.when(bad, 0).otherwise(F.col("n_steps_in_branch")))
+    return out.drop("_ok")
 
 
 def pick_checkpoints(rollouts: DataFrame, k: int = 4, id_col: str = "rollout_id") -> DataFrame:

@@ -15,14 +15,13 @@ from branchwise.plans.views import table, with_views
 from branchwise.session import stored
 
 N_BOOT = 2000
-ORACLE_BOOT = 200
 
 
 # --------------------------------------------------------------- resampling
 
 
 def row_bootstrap_tau(spark, sf):
-    return tidy(R.row_bootstrap(plain_values(spark, sf), "checkpoint_id", "tau", ["arm"], ORACLE_BOOT, 0))
+    return tidy(R.row_bootstrap(plain_values(spark, sf), "checkpoint_id", "tau", ["arm"], N_BOOT, 0))
 
 
 def paired_r2_bootstrap(spark, sf):
@@ -32,7 +31,7 @@ def paired_r2_bootstrap(spark, sf):
     a = v.where(F.col("arm") == ARM_A).select(
         "checkpoint_id", (F.col("m_continue") * -0.01).alias("steps"), F.col("value_continue").alias("draw")
     )
-    return tidy(R.r2_bootstrap(a.join(b, "checkpoint_id"), "checkpoint_id", "y", ["steps", "draw"], ORACLE_BOOT, 1))
+    return tidy(R.r2_bootstrap(a.join(b, "checkpoint_id"), "checkpoint_id", "y", ["steps", "draw"], N_BOOT, 1))
 
 
 def cluster_bootstrap_tau(spark, sf):
@@ -51,7 +50,7 @@ def _cohorts(spark, sf):
 def cohort_drift(spark, sf):
     """Raw and stratified cohort differences for five metrics."""
     v = _cohorts(spark, sf)
-    strat = R.stratified_difference(v, "checkpoint_id", "cohort", "task_type", METRICS, "original", ORACLE_BOOT, 0)
+    strat = R.stratified_difference(v, "checkpoint_id", "cohort", "task_type", METRICS, "original", N_BOOT, 0)
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS])
     means = v.select("cohort", F.explode(rows).alias("r")).groupBy("cohort", "r.metric").agg(F.avg("r.x").alias("m"))
     a = means.where("cohort = 'original'").select("metric", F.col("m").alias("ref_mean"))
@@ -63,7 +62,7 @@ def cohort_drift(spark, sf):
 def cohort_drift_by_game(spark, sf):
     """The stricter form: strata are games. Work is strata x replicates."""
     v = _cohorts(spark, sf)
-    return tidy(R.stratified_difference(v, "checkpoint_id", "cohort", "task_id", ["tau"], "original", 100, 0))
+    return tidy(R.stratified_difference(v, "checkpoint_id", "cohort", "task_id", ["tau"], "original", N_BOOT, 0))
 
 
 def cohort_sizes(spark, sf):
@@ -461,7 +460,7 @@ ORACLE = {
     "row_bootstrap_tau": with_views(
         "vals",
         f"SELECT arm, {_CI} FROM (SELECT arm, rep, sum(wt * tau) / sum(wt) AS s FROM bw GROUP BY ALL) GROUP BY arm",
-        boot_sql(f"SELECT arm, tau, {h_sql('checkpoint_id')} AS h FROM vals", 0, ORACLE_BOOT),
+        boot_sql(f"SELECT arm, tau, {h_sql('checkpoint_id')} AS h FROM vals", 0, N_BOOT),
     ),
     "paired_r2_bootstrap": with_views(
         "vals",
@@ -472,7 +471,7 @@ ORACLE = {
             f"SELECT b.value_continue AS y, a.m_continue * -1e-2 AS steps, a.value_continue AS draw, {h_sql('checkpoint_id')} AS h "
             "FROM vals a JOIN vals b USING (checkpoint_id) WHERE a.arm = 'A_replication' AND b.arm = 'B_montecarlo'",
             1,
-            ORACLE_BOOT,
+            N_BOOT,
         ),
     ),
     "cluster_bootstrap_tau": with_views(
@@ -488,9 +487,9 @@ ORACLE = {
             for m in METRICS
         )
         + ") USING (metric)",
-        _strat_sql("task_type", METRICS, ORACLE_BOOT),
+        _strat_sql("task_type", METRICS, N_BOOT),
     ),
-    "cohort_drift_by_game": with_views("cpvals", "SELECT * FROM ci", _strat_sql("task_id", ["tau"], 100)),
+    "cohort_drift_by_game": with_views("cpvals", "SELECT * FROM ci", _strat_sql("task_id", ["tau"], N_BOOT)),
     "cohort_sizes": with_views(
         "cpvals",
         """SELECT cohort, count(*) AS n, count(*) >= 25 AS compared, row_number() OVER (ORDER BY count(*) DESC, cohort) = 1 AS is_reference

@@ -168,7 +168,7 @@ def error_reduction_subsets(spark, sf):
 
 
 def paired_endpoint(spark, sf):
-    return tidy(PO.paired_endpoint(_moves(spark, sf), "task_id", 500, 0))
+    return tidy(PO.paired_endpoint(_moves(spark, sf), "task_id", 2000, 0))
 
 
 def error_strata(spark, sf):
@@ -391,7 +391,7 @@ ORACLE = {
         "cpvals",
         f"""SELECT *, (SELECT count(*) FROM mv) AS n, (SELECT round(avg(dregret), 6) + 0e0 FROM mv) AS mean_dregret FROM (
           SELECT {_CI} FROM (SELECT rep, sum(wt * s0) / sum(wt * m) AS s FROM bw GROUP BY rep))""",
-        _POLICY + "," + boot_sql(f"SELECT task_id, count(*) AS m, sum(dregret) AS s0, {h_sql('task_id')} AS h FROM mv GROUP BY task_id", 0, 500),
+        _POLICY + "," + boot_sql(f"SELECT task_id, count(*) AS m, sum(dregret) AS s0, {h_sql('task_id')} AS h FROM mv GROUP BY task_id", 0, 2000),
     ),
     "error_strata": with_views(
         "cpvals",

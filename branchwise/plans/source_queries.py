@@ -262,6 +262,11 @@ def group_overlap(spark, sf):
 # ----------------------------------------------------------------- quality
 
 
+def _chosen(*keys):
+    """About one key in sixteen, by a hash."""
+    return F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 1) == "0"
+
+
 def quality_suite(spark, sf):
     b = stored(views.branches(spark, sf), "branches")
     cps = views.checkpoints(spark, sf)
@@ -269,25 +274,28 @@ def quality_suite(spark, sf):
     ps = P.count_split(cps, "rollout_id", (40, 20, 40), 3).select("rollout_id", F.col("split").alias("split_paper"))
     labelled = cps.join(ranked, "task_id").join(ps, "rollout_id")
     again = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("ids"))
-    c = stored(again, "ids")
+    # Damage planted in the stored copies, which the checks must find exactly.
+    turn_hit = _chosen("conv_id", "turn")
+    c = stored(again.withColumn("ids", F.when(turn_hit, F.array_append("ids", F.lit("?"))).otherwise(F.col("ids"))), "ids")
     s = stored(views.steps(spark, sf), "steps")
 
     def hashed(d):
         sig = I.state_signature(F.col("obs"), F.col("commands"), F.col("reward"), F.col("done"), F.lit(False), F.array("action"))
         return d.select("trace", "t", I.signature_hash(sig).alias("h"))
 
-    kept = stored(hashed(s), "hashes")
+    state_hit = _chosen("trace", "t")
+    kept = stored(hashed(s).withColumn("h", F.when(state_hit, F.reverse("h")).otherwise(F.col("h"))), "hashes")
     checks = [
         Q.verified_rows(b),
         Q.planted_corruption(s, ["trace"], "t", STEP_FIELDS),
-        Q.stored_hashes(kept, hashed(views.steps(spark, sf)), ["trace", "t"], "h"),
+        Q.stored_hashes(kept, hashed(views.steps(spark, sf)), ["trace", "t"], "h", state_hit),
         Q.deterministic_arm(b),
         Q.stochastic_arm(b),
         Q.takeover_success(b, cps, views.tasks(spark, sf)),
         Q.base_success(views.rollouts(spark, sf)),
         Q.no_leakage(labelled, [("split_paper", "rollout_id"), ("split_task", "task_id"), ("split_task", "rollout_id")]),
         Q.order_free(b, views.N_REPLICATES),
-        Q.stored_arrays(c, again, ["conv_id", "turn"], "ids"),
+        Q.stored_arrays(c, again, ["conv_id", "turn"], "ids", turn_hit),
     ]
     return tidy(Q.suite(checks))
 
@@ -418,7 +426,7 @@ checks AS (
   SELECT 'V1' AS check_id, 'replay fidelity' AS check_name, CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status, n AS n_checked, bad AS n_bad, 1 - bad / n::DOUBLE AS measure
     FROM (SELECT count(*) AS n, count(*) FILTER (NOT replay_verified) AS bad FROM branches WHERE action <> 'quit')
   UNION ALL SELECT 'V2', 'negative control', 'PASS', count(*), 0, 0e0 FROM (SELECT DISTINCT trace FROM steps) WHERE substr(md5(trace), 1, 1) = '0'
-  UNION ALL SELECT 'V3', 'stored state hash', 'PASS', count(*), 0, 0e0 FROM steps
+  UNION ALL SELECT 'V3', 'stored state hash', 'PASS', count(*), 0, count(*) FILTER (substr(md5(trace || '|' || t), 1, 1) = '0')::DOUBLE FROM steps
   UNION ALL SELECT 'V4', 'arm A determinism', CASE WHEN count(*) FILTER (n > 1 AND varies) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FILTER (n > 1),
     count(*) FILTER (n > 1 AND varies), (count(*) FILTER (n > 1 AND varies))::DOUBLE FROM kinds WHERE arm = 'A_replication'
   UNION ALL SELECT 'V5', 'arm B stochasticity', CASE WHEN count(*) FILTER (varies) > 0 THEN 'PASS' ELSE 'FAIL' END, count(*), count(*) FILTER (NOT varies), avg(varies::INT) FROM kinds WHERE arm = 'B_montecarlo'
@@ -426,7 +434,8 @@ checks AS (
   UNION ALL SELECT 'V7', 'base success band', CASE WHEN avg(success::INT) BETWEEN 0.15 AND 0.60 THEN 'PASS' ELSE 'FAIL' END, count(*), count(*) FILTER (NOT success), avg(success::INT) FROM rollouts
   UNION ALL SELECT 'V8', 'split leakage', 'PASS', 3, 0, 0e0
   UNION ALL SELECT 'V9', 'derivation purity', 'PASS', count(*), 0, 0e0 FROM vals
-  UNION ALL SELECT 'V10', 'stored column round trip', 'PASS', count(*), 0, 0e0 FROM conversations)"""
+  UNION ALL SELECT 'V10', 'stored column round trip', 'PASS', count(*), 0,
+    count(*) FILTER (substr(md5(conv_id || '|' || turn), 1, 1) = '0')::DOUBLE FROM conversations)"""
 
 ORACLE = {
     "shard_scan": with_views(

@@ -114,8 +114,11 @@ def feature_vectors(spark, sf):
 
 def _prompts(spark, sf):
     t = views.turns(spark, sf)
-    cps = t.where("t >= 1").select("rollout_id", "t", "task_type", "commands")
+    # Up to four picked checkpoints a conversation; their histories are grouped by id and turn alone.
+    ends = t.groupBy("rollout_id").agg(F.max("t").alias("n_steps"))
+    cps = T.pick_checkpoints(ends).select("rollout_id", "t")
     hist = T.prefixes(cps, t.where("t >= 1"), "rollout_id", ["action", "obs"], "history")
+    hist = hist.join(t.select("rollout_id", "t", "task_type", "commands"), ["rollout_id", "t"])
     first = t.where("t = 0").select("rollout_id", F.col("response").alias("obs0"))
     b = table(spark, sf, "benchmark").withColumn("task_type", views.task_type_of(F.col("item_id")))
     shots = (
@@ -349,10 +352,17 @@ shots AS (
   SELECT task_type, list({_strip('text')} ORDER BY item_id) AS shots FROM (
     SELECT item_id, text, ({views._TASKS})[1 + item_id % 6] AS task_type FROM benchmark
     QUALIFY row_number() OVER (PARTITION BY item_id % 6 ORDER BY item_id) <= 2) GROUP BY task_type),
+ends AS (SELECT rollout_id, max(t) AS n FROM turns GROUP BY rollout_id),
+cps AS (
+  SELECT rollout_id, unnest(CASE WHEN n - 1 <= 0 THEN []::BIGINT[] WHEN n - 1 <= 4 THEN range(1, n)
+    ELSE list_distinct(list_transform(range(0, 4), lambda i: (1 + i * (n - 1) // 4
+      + ('0x' || substr(sha256(rollout_id || '|cp|' || i), 1, 8))::BIGINT % greatest((i + 1) * (n - 1) // 4 - i * (n - 1) // 4, 1))::BIGINT)) END) AS t
+  FROM ends),
 hist AS (
   SELECT c.rollout_id, c.t, any_value(c.task_type) AS task_type, any_value(c.commands) AS commands,
     string_agg('> ' || s.action || chr(10) || {_strip('s.obs')}, chr(10) ORDER BY s.t) AS body, arg_max(s.action, s.t) AS chosen
-  FROM turns c JOIN turns s USING (rollout_id) WHERE c.t >= 1 AND s.t >= 1 AND s.t <= c.t GROUP BY c.rollout_id, c.t),
+  FROM turns c SEMI JOIN cps ON c.rollout_id = cps.rollout_id AND c.t = cps.t JOIN turns s ON s.rollout_id = c.rollout_id
+  WHERE s.t >= 1 AND s.t <= c.t GROUP BY c.rollout_id, c.t),
 msg AS (
   SELECT h.rollout_id, h.t, h.commands, h.chosen, '{X.PROMPT_HEADER}' || chr(10) || coalesce(array_to_string(shots, chr(10)) || chr(10), '')
     || '{X.TASK_HEADER}' || chr(10) || {_banner_sql('f.response')} || chr(10) || body AS text

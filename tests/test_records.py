@@ -38,10 +38,13 @@ def test_nested_rollouts_become_steps(spark, tmp_path):
 
 
 def test_rejected_units_are_kept_and_flagged(spark):
-    b = spark.createDataFrame([("c1", "goal", True), ("c2", "goal", True)], "cp string, terminal_reason string, success boolean")
+    b = spark.createDataFrame(
+        [("c1", "goal", True, 4), ("c2", "goal", True, 5), ("c3", "step_cap", False, 6)],
+        "cp string, terminal_reason string, success boolean, n_steps_in_branch int",
+    )
     v = spark.createDataFrame([("c1", True), ("c2", False)], "cp string, verified boolean")
-    got = {r["cp"]: (r["replay_verified"], r["terminal_reason"], r["success"]) for r in T.rejected_branches(b, v, "cp").collect()}
-    assert got == {"c1": (True, "goal", True), "c2": (False, "replay_mismatch", False)}
+    got = {r["cp"]: tuple(r[1:]) for r in T.rejected_branches(b, v, "cp").select("cp", "replay_verified", "terminal_reason", "success", "n_steps_in_branch").collect()}
+    assert got == {"c1": (True, "goal", True, 4), "c2": (False, "replay_mismatch", False, 0), "c3": (None, "step_cap", False, 6)}
 
 
 def test_sinks(spark):
