@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from branchwise.llm.common import slices
-from branchwise.llm.tokens import default_vocabulary, token_table
+from branchwise.llm.tokens import default_vocabulary, distinct, token_table
 from branchwise.session import stored
 
-WINDOW, SHARD_IDS, SHARD_DOCS, K1, B = 1024, 1 << 20, 2048, 1.2, 0.75
+WINDOW, SHARD_IDS, SHARD_DOCS, K1, B = 1024, 1 << 19, 2048, 1.2, 0.75
 
 
 def document_frequencies(tokens: DataFrame) -> np.ndarray:
@@ -37,7 +37,7 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
         total = np.zeros(1 << 16, np.int64)
         for b in slices(batches, 500):
             for ids in b.column(0).to_pylist():
-                total[np.unique(np.frombuffer(ids, "<u2"))] += 1
+                total[distinct(np.frombuffer(ids, "<u2"))[0]] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -52,7 +52,7 @@ class Index:
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
         self.n = len(ids)
-        found = [np.unique(d, return_counts=True) for d in ids]
+        found = [distinct(d) for d in ids]
         sizes = np.array([len(t) for t, _ in found])
         term, tf = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found]).astype(np.float64)
         doc = np.repeat(np.arange(self.n), sizes)
@@ -165,7 +165,7 @@ def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         if rows:
             yield shard(rows, nxt)[0]
 
-    parts = max(1, -(-(total or 0) // (4 * SHARD_IDS)))
+    parts = max(1, -(-(total or 0) // (8 * SHARD_IDS)))
     # The signature may be shared by very many copies; id and a hash of the row cut such a run too.
     tie = F.xxhash64("doc_id", "n_tokens")
     placed = tokens.select("doc_id", "ids", "route", tie.alias("tie")).repartitionByRange(parts, "route", "tie")

@@ -1,27 +1,40 @@
 """Token ids of whole texts, as little-endian unsigned 16-bit bytes.
 
-The vocabulary is a parameter (a file path every worker can open). Byte-level BPE never merges across the end of
-a run of non-space characters, so a text is cut there and equal pieces are encoded once per worker; the pieces'
-ids joined are exactly the ids of the whole text (``tests/llm/test_tokens.py`` compares them with a direct call).
+The vocabulary is a parameter (a file path every worker can open). The byte-level pattern of such vocabularies always
+cuts a text where a space is followed by something else than white space, and words repeat, so a text is cut there and
+the ids of equal parts are looked up. A part seen for the first time is cut further, at places where the pattern always
+cuts too, and only words never met before reach the library's merge model. The parts' ids joined are exactly the ids of
+the whole text (``tests/llm`` compares them with direct calls). Both tables have a fixed capacity and start anew beyond.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one Spark task is one core
 
-#: Unicode white space, as the byte-level pattern's \s has it.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-WHITE = re.compile(f"[{SPACE}]")
-PIECES = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]")
+#: Unicode white space, as the byte-level pattern's \s has it; ASCII marks; letters of one or two bytes.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+MARKS = r"!-/:-@\[-`{-~"
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+#: White space but for its last character; letters before a mark or the end; digits likewise; else all to the next space.
+PIECES = re.compile(
+    f"[{SPACE}]+(?![^{SPACE}])| ?[{LETTERS}]+(?![^{SPACE}{MARKS}])| ?[0-9]+(?![^{SPACE}{MARKS}])"
+    rf"| ?[!-&(-/:-@\[-`{{-~]+(?![^{SPACE}{LETTERS}0-9])| ?[^{SPACE}]+|[{SPACE}]"
+)
+#: Pieces that the pattern leaves whole.
+WHOLE = re.compile(rf" ?(?:[{LETTERS}]+|[0-9]+|[!-&(-/:-@\[-`{{-~]+)\Z")
+NAME = re.compile(rf"[{LETTERS}]+\Z")
+#: A space that does not begin a word.
+LOOSE = re.compile(rf" (?:[{SPACE}]|\Z)")
 END_ID = 0
-CACHE_ENTRIES = 700_000
-LONG_PIECE = 64
+PARTS, WORDS, LONG = 700_000, 150_000, 64
 
 
 def default_vocabulary() -> str:
@@ -30,61 +43,110 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte: itself where it prints, else the next from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+class Table(dict):
+    """Look-up table in two generations: a full one becomes the older one, and what is used from it moves on."""
+
+    def __init__(self, entries: int):
+        self.entries, self.older = entries, {}
+
+    def keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= LONG:
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+
+class Words(Table):
+    """Piece to ids; asks the library for pieces not met before."""
+
+    def __init__(self, tokenizer, letters: list[str]):
+        super().__init__(WORDS)
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.letters = {i: c for i, c in enumerate(letters) if chr(i) != c}
+
+    def shown(self, piece: str) -> str:
+        return piece if piece.isascii() and " " not in piece else piece.encode().decode("latin-1").translate(self.letters)
+
+    def merged(self, shown: str) -> bytes:
+        """Ids of one piece that the pattern leaves whole, given in the characters that stand for its bytes."""
+        return array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            if WHOLE.match(piece):
+                ids = self.merged(self.shown(piece))
+            else:
+                ids = array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        return self.keep(piece, ids)
+
+
+class Parts(Table):
+    """What follows a space, up to the next one, to ids (of the space too)."""
+
+    def __init__(self, words: Words):
+        super().__init__(PARTS)
+        self.words, self.space = words, words.letters[32]
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            if NAME.match(part):
+                ids = self.words.merged(self.space + self.words.shown(part))
+            elif part[-1] in ",.;:!?" and NAME.match(part[:-1]):
+                ids = self[part[:-1]] + self.words[part[-1]]
+            else:
+                ids = b"".join(map(self.words.__getitem__, PIECES.findall(" " + part)))
+        return self.keep(part, ids)
+
+
 class Encoder:
-    """Whole texts to ids; remembers the ids of short pieces, up to a fixed number of them."""
+    """Whole texts to ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        self.size = self.tokenizer.get_vocab_size()
+        if self.size > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
+        with open(path, encoding="utf-8") as f:
+            plan = json.load(f)
+        cut = plan.get("pre_tokenizer") or {}
+        #: Whether the file has the pattern that the cuts above rely on, and nothing that changes texts before it.
+        self.splits = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not plan.get("normalizer")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        names = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.opens = np.zeros(max(names.values()) + 1, bool)  # ids whose text starts with a space
-        self.opens[[i for t, i in names.items() if t.startswith("\u0120")]] = True
+        self.tokenizer.model._resize_cache(0)  # the tables below take its place
+        self.words = Words(self.tokenizer, byte_letters())
+        self.parts = Parts(self.words)
 
     def direct(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u2").tobytes() for e in got]
-
-    def pieces(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces. Those that start with a space go to the library many at a time: each is one run of
-        non-space characters, so every id that starts with a space begins the next piece."""
-        spaced = [p for p in new if p[0] == " " and len(p) > 1 and not WHITE.match(p, 1)]
-        other = list(set(new).difference(spaced))
-        out = dict(zip(other, self.direct(other))) if other else {}
-        if spaced:
-            lines = ["".join(spaced[i : i + 256]) for i in range(0, len(spaced), 256)]
-            ids = np.frombuffer(b"".join(self.direct(lines)), "<u2")
-            at = (2 * np.append(np.flatnonzero(self.opens[ids]), len(ids))).tolist()
-            if len(at) != len(spaced) + 1:
-                return out | dict(zip(spaced, self.direct(spaced)))
-            raw = ids.tobytes()
-            out.update(zip(spaced, [raw[a:b] for a, b in zip(at, at[1:])]))
-        return out
+        return [array("H", e.ids).tobytes() for e in got]
+
+    def one(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if not self.splits or any(s in text for s in self.special):
+            return self.direct([text])[0]
+        if LOOSE.search(text):
+            return b"".join(map(self.words.__getitem__, PIECES.findall(text)))
+        first, *rest = text.split(" ")
+        head = b"".join(map(self.words.__getitem__, PIECES.findall(first)))
+        return head + b"".join(map(self.parts.__getitem__, rest))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null counts as empty. Texts holding a special token's string go whole to the library."""
-        texts = [t or "" for t in texts]
-        cut = [None if any(s in t for s in self.special) else PIECES.findall(t) for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        new = list(set().union(*[c for c in cut if c is not None]).difference(self.known))
-        ids = self.pieces(new) if new else {}
-        kept = {p: b for p, b in ids.items() if len(p) <= LONG_PIECE}
-        self.known.update(kept)
-        long = ids if len(kept) < len(ids) else None
-        out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(self.direct([text])[0])
-            elif long is None:
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
-            else:
-                out.append(b"".join([long[p] if p in long else self.known[p] for p in pieces]))
-        return out
+        return [self.one(t or "") for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -97,6 +159,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 16-bit ids, ascending, and how often each occurs."""
+    s = np.sort(ids, kind="stable")  # a radix sort for 16 bits
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    return s[first], np.diff(np.append(first, len(s)))
+
+
 def token_table(docs, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", signature: bool = False):
     """(doc_id, n_tokens, ids) of every whole text, the end id appended; null text counts as empty.
 
@@ -111,14 +180,14 @@ def token_table(docs, vocabulary: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         enc = encoder(vocabulary)
-        signs = np.random.default_rng(42).integers(0, 2, (len(enc.opens), 32), np.int8) * 2 - 1 if signature else None
+        signs = np.random.default_rng(42).integers(0, 2, (enc.size, 32), np.int8) * 2 - 1 if signature else None
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
                 ids = [b + end for b in enc.encode(part.column(1).to_pylist())]
                 cols = [part.column(0), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(ids, pa.binary())]
                 if signature:
-                    marks = [signs[np.unique(np.frombuffer(b, "<u2"))].sum(axis=0, dtype=np.int32) > 0 for b in ids]
+                    marks = [signs[distinct(np.frombuffer(b, "<u2"))[0]].sum(axis=0, dtype=np.int32) > 0 for b in ids]
                     packed = np.packbits(np.array(marks), axis=1).view(">u4").ravel() if marks else np.zeros(0)
                     cols.append(pa.array(packed.astype(np.int64)))
                 names = ["doc_id", "n_tokens", "ids", "route"][: len(cols)]
