@@ -126,7 +126,8 @@ def best_value(v_continue: Column, v_intervene: Column) -> Column:
 
 
 def value_of(action: Column, v_continue: Column, v_intervene: Column) -> Column:
-    return F.when(action == CONTINUE, v_continue).when(action == INTERVENE, v_intervene).otherwise(F.lit(0.0))
+    """Value of an action; null where no action was taken."""
+    return F.when(action == CONTINUE, v_continue).when(action == INTERVENE, v_intervene).when(action.isNotNull(), F.lit(0.0))
 
 
 def regret_of(action: Column, v_continue: Column, v_intervene: Column) -> Column:

@@ -48,7 +48,8 @@ def with_risk_choice(rows: DataFrame, level: str = "s_continue") -> DataFrame:
 
 
 def chosen(predicted_c: Column, predicted_i: Column) -> Column:
-    return best_action(predicted_c, predicted_i)
+    """Action that the predictions favour; null, so unscored, where a prediction is missing."""
+    return F.when(predicted_c.isNotNull() & predicted_i.isNotNull(), best_action(predicted_c, predicted_i))
 
 
 def choices(test: DataFrame, policies: dict[str, Column], keep: list[str]) -> DataFrame:
@@ -133,17 +134,22 @@ def marginal_by_level(scored_rows: DataFrame, poor: str, rich: str, level: str =
     return sign_stability(per.withColumn("delta", F.col("a") - F.col("b")), [level], "delta")
 
 
-def error_strata(rows: DataFrame) -> DataFrame:
-    """Error improvement by five groupings in one grouping-sets pass.
+STRATA = ("task_type", "quartile", "error_quartile", "oracle_action", "tau_sign")
 
-    Needs task_type, quartile, error_quartile, oracle_action, tau_sign, improvement.
+
+def error_strata(rows: DataFrame, dims: tuple[str, ...] = STRATA) -> DataFrame:
+    """Error improvement by each of the given columns, in one grouping-sets pass over merged cells.
+
+    Needs the columns and ``improvement``; rows without an improvement count in n only.
     """
-    dims = ["task_type", "quartile", "error_quartile", "oracle_action", "tau_sign"]
     cells = rows.groupBy(*dims).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("improvement").alias("s"), F.count_if(F.col("improvement") > 0).alias("up")
+        F.count(F.lit(1)).alias("n"),
+        F.count("improvement").alias("k"),
+        F.sum("improvement").alias("s"),
+        F.count_if(F.col("improvement") > 0).alias("up"),
     )
     g = cells.groupingSets([[d] for d in dims], *dims).agg(
-        F.grouping_id().alias("gid"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("up").alias("up")
+        F.grouping_id().alias("gid"), F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("up").alias("up")
     )
     full = (1 << len(dims)) - 1
     stratum = F.lit(None).cast("string")
@@ -153,7 +159,7 @@ def error_strata(rows: DataFrame) -> DataFrame:
         stratum = F.when(F.col("gid") == code, d).otherwise(stratum)
         value = F.when(F.col("gid") == code, F.col(d).cast("string")).otherwise(value)
     return g.select(
-        stratum.alias("stratum"), value.alias("value"), "n", (F.col("s") / F.col("n")).alias("mean_improvement"), (F.col("up") / F.col("n")).alias("share_improved")
+        stratum.alias("stratum"), value.alias("value"), "n", (F.col("s") / F.col("k")).alias("mean_improvement"), (F.col("up") / F.col("k")).alias("share_improved")
     )
 
 
@@ -165,7 +171,8 @@ def transitions(rows: DataFrame) -> DataFrame:
     best = best_action(F.col("qc"), F.col("qi"))
     ok_o, ok_a = F.col("choice_o") == best, F.col("choice_a") == best
     cat = (
-        F.when(F.col("choice_o") == F.col("choice_a"), "unchanged")
+        F.when(F.col("choice_o").isNull() | F.col("choice_a").isNull(), "unscored")
+        .when(F.col("choice_o") == F.col("choice_a"), "unchanged")
         .when(ok_a, "fixed")
         .when(ok_o, "broken")
         .otherwise("wrong_to_wrong")

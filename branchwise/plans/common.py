@@ -71,3 +71,9 @@ def full_values(spark: SparkSession, sf: str) -> DataFrame:
         views.tasks(spark, sf),
         views.rollouts(spark, sf),
     )
+
+
+def top_level(rows: DataFrame) -> DataFrame:
+    """Rows of the top risk band: the lowest number of successes that occurs (one number at the driver)."""
+    top = rows.agg(F.min("s_continue")).first()[0]
+    return rows.where(F.col("s_continue") == F.lit(top))

@@ -10,7 +10,7 @@ from branchwise.operators import resample as R
 from branchwise.operators import splits as P
 from branchwise.plans import study as Y
 from branchwise.plans import views
-from branchwise.plans.common import full_values, plain_values, tidy, tidy_sql
+from branchwise.plans.common import full_values, plain_values, tidy, tidy_sql, top_level
 from branchwise.plans.views import table, with_views
 from branchwise.session import stored
 
@@ -164,19 +164,19 @@ def _banded(spark, sf):
 
 
 def band_models(spark, sf):
-    """Separate fits inside each risk band that is large enough (floors 40 / 25 / 10)."""
+    """Separate fits inside each risk band; a band below the floors (40 / 25 / 10) has a null score."""
     models = [
         L.Model("observables", Y.OBS_IX, Y.TAU_IX),
         L.Model("obs_vectors", Y.OBS_IX + Y.VEC_IX, Y.TAU_IX),
     ]
     fits = L.fit_models(_banded(spark, sf), models, ["seed_ix", "s_continue"])
-    ok = fits.where("n_train + n_test >= 40 AND n_train >= 25 AND n_test >= 10")
+    ok = fits.withColumn("r2", F.expr("CASE WHEN n_train + n_test >= 40 AND n_train >= 25 AND n_test >= 10 THEN r2 END"))
     return tidy(ok.select("seed_ix", "s_continue", "model", "alpha", "n_train", "n_test", "var_test", "r2"))
 
 
 def conflict_set_models(spark, sf):
     """The top risk band, cut out after splitting the full cohort; floors 100 / 40."""
-    top = _banded(spark, sf).where("s_continue = 0")
+    top = L.fold_grams(top_level(Y.study_rows(spark, sf)))
     models = [
         L.Model("observables", Y.OBS_IX, Y.QI_IX),
         L.Model("vectors", Y.VEC_IX, Y.QI_IX),
@@ -189,7 +189,7 @@ def conflict_set_models(spark, sf):
 
 
 def layer_sweep(spark, sf):
-    """Every layer, two targets, plus best and first useful layer."""
+    """Gain of every layer over the observables, for the intervene value."""
     rows = Y.study_rows(spark, sf)
     models = [L.Model("base", Y.OBS_IX, Y.QI_IX)]
     models += [L.Model(f"layer{i}", Y.OBS_IX + Y.LAYER_IX[i], Y.QI_IX) for i in range(Y.LAYERS)]

@@ -81,9 +81,8 @@ def _seeded(spark, sf):
     a = plain_values(spark, sf).where(F.col("arm") == ARM_A).select(
         "checkpoint_id", F.col("value_continue").alias("h_qc"), F.col("value_intervene").alias("h_qi")
     )
-    rows = rows.join(a, "checkpoint_id", "left").withColumns(
-        {"h_qc": F.coalesce("h_qc", F.lit(0.0)), "h_qi": F.coalesce("h_qi", F.lit(0.0))}
-    )
+    # A checkpoint without an arm-A draw has no values of it, and stays unscored.
+    rows = rows.join(a, "checkpoint_id", "left")
     # Margin deciles are fixed over all rows before any split.
     rows = PO.with_deciles(stored(rows, "rows"), [], "margin")
     hold = P.grouped_holdout(views.checkpoints(spark, sf), "task_id", Y.SEEDS)
@@ -94,8 +93,8 @@ def _predicted(spark, sf):
     """Add the train mean of each task type as a prediction."""
     rows = stored(_seeded(spark, sf), "seeded")
     means = rows.where(~F.col("is_test")).groupBy("seed", "task_type").agg(F.avg("qc").alias("m_qc"), F.avg("qi").alias("m_qi"))
-    # Seeds times task types rows.
-    return rows.join(F.broadcast(means), ["seed", "task_type"])
+    # Seeds times task types rows; a type never seen in train has no prediction.
+    return rows.join(F.broadcast(means), ["seed", "task_type"], "left")
 
 
 def _decisions(spark, sf):
@@ -150,10 +149,13 @@ def margin_deciles(spark, sf):
 
 
 def error_reduction_subsets(spark, sf):
+    moves = _moves(spark, sf)
+    # The top risk band is the lowest level of successes that occurs; one number.
+    top = moves.agg(F.min("s_continue")).first()[0]
     same = F.col("choice_o") == F.col("choice_a")
     return tidy(
         PO.subset_table(
-            _moves(spark, sf),
+            moves,
             {
                 "agree": same,
                 "differ": ~same,
@@ -161,7 +163,7 @@ def error_reduction_subsets(spark, sf):
                 "obs_right": F.col("obs_right"),
                 "tau<=0": F.col("tau") <= 0,
                 "tau>0": F.col("tau") > 0,
-                "top_band": F.col("s_continue") == 0,
+                "top_band": F.col("s_continue") == F.lit(top),
             },
         )
     )
@@ -271,23 +273,23 @@ _POLICY = (
 am AS (SELECT checkpoint_id, value_continue AS h_qc, value_intervene AS h_qi FROM vals WHERE arm = 'A_replication'),
 b0 AS (
   SELECT c.checkpoint_id, task_id, task_type, progress, s_continue, value_continue AS qc, value_intervene AS qi, tau, oracle_action,
-    coalesce(h_qc, 0e0) AS h_qc, coalesce(h_qi, 0e0) AS h_qi, list_sort([value_continue, value_intervene, 0e0]) AS r3
+    h_qc, h_qi, list_sort([value_continue, value_intervene, 0e0]) AS r3
   FROM cpvals c LEFT JOIN am USING (checkpoint_id) WHERE arm = 'B_montecarlo'),
 b1 AS (SELECT *, len(list_filter((SELECT quantile_cont(r3[3] - r3[2], [.1, .2, .3, .4, .5, .6, .7, .8, .9]) FROM b0), lambda x: x < r3[3] - r3[2])) AS decile FROM b0),
 sd AS (SELECT b1.*, seed, is_test FROM b1 JOIN hold USING (task_id)),
 tm AS (SELECT seed, task_type, avg(qc) AS m_qc, avg(qi) AS m_qi FROM sd WHERE NOT is_test GROUP BY ALL),
 rm AS (SELECT seed, s_continue, CASE WHEN sum(qc) >= sum(qi) AND sum(qc) >= 0 THEN 'continue' WHEN sum(qi) >= 0 THEN 'intervene' ELSE 'quit' END AS mapped FROM sd WHERE NOT is_test GROUP BY ALL),
 te AS (SELECT sd.*, m_qc, m_qi, coalesce(mapped, 'continue') AS mapped,
-    CASE WHEN m_qc >= m_qi AND m_qc >= 0 THEN 'continue' WHEN m_qi >= 0 THEN 'intervene' ELSE 'quit' END AS c_type,
-    CASE WHEN h_qc >= h_qi AND h_qc >= 0 THEN 'continue' WHEN h_qi >= 0 THEN 'intervene' ELSE 'quit' END AS c_draw
-  FROM sd JOIN tm USING (seed, task_type) LEFT JOIN rm USING (seed, s_continue) WHERE is_test),
+    CASE WHEN m_qc IS NULL OR m_qi IS NULL THEN NULL WHEN m_qc >= m_qi AND m_qc >= 0 THEN 'continue' WHEN m_qi >= 0 THEN 'intervene' ELSE 'quit' END AS c_type,
+    CASE WHEN h_qc IS NULL OR h_qi IS NULL THEN NULL WHEN h_qc >= h_qi AND h_qc >= 0 THEN 'continue' WHEN h_qi >= 0 THEN 'intervene' ELSE 'quit' END AS c_draw
+  FROM sd LEFT JOIN tm USING (seed, task_type) LEFT JOIN rm USING (seed, s_continue) WHERE is_test),
 dec0 AS (SELECT te.*, unnest(['floor_continue', 'floor_intervene', 'floor_quit', 'risk_only', 'type_mean', 'draw', 'ceiling']) AS policy,
   unnest(['continue', 'intervene', 'quit', mapped, c_type, c_draw, oracle_action]) AS choice FROM te),
-dec AS (SELECT *, CASE choice WHEN 'continue' THEN qc WHEN 'intervene' THEN qi ELSE 0e0 END AS utility,
-  greatest(qc, qi, 0e0) - CASE choice WHEN 'continue' THEN qc WHEN 'intervene' THEN qi ELSE 0e0 END AS regret, choice = oracle_action AS agrees FROM dec0),
+dec AS (SELECT *, CASE WHEN choice = 'continue' THEN qc WHEN choice = 'intervene' THEN qi WHEN choice IS NOT NULL THEN 0e0 END AS utility,
+  greatest(qc, qi, 0e0) - CASE WHEN choice = 'continue' THEN qc WHEN choice = 'intervene' THEN qi WHEN choice IS NOT NULL THEN 0e0 END AS regret, choice = oracle_action AS agrees FROM dec0),
 mv AS (
-  SELECT *, CASE WHEN c_type = c_draw THEN 'unchanged' WHEN c_draw = oracle_action THEN 'fixed' WHEN c_type = oracle_action THEN 'broken' ELSE 'wrong_to_wrong' END AS category,
-    (CASE c_type WHEN 'continue' THEN qc WHEN 'intervene' THEN qi ELSE 0e0 END) - (CASE c_draw WHEN 'continue' THEN qc WHEN 'intervene' THEN qi ELSE 0e0 END) AS dregret,
+  SELECT *, CASE WHEN c_type IS NULL OR c_draw IS NULL THEN 'unscored' WHEN c_type = c_draw THEN 'unchanged' WHEN c_draw = oracle_action THEN 'fixed' WHEN c_type = oracle_action THEN 'broken' ELSE 'wrong_to_wrong' END AS category,
+    (CASE WHEN c_type = 'continue' THEN qc WHEN c_type = 'intervene' THEN qi WHEN c_type IS NOT NULL THEN 0e0 END) - (CASE WHEN c_draw = 'continue' THEN qc WHEN c_draw = 'intervene' THEN qi WHEN c_draw IS NOT NULL THEN 0e0 END) AS dregret,
     abs(qi - m_qi) AS err_o, abs(qi - h_qi) AS err_a, (qi - m_qi) ** 2 - (qi - h_qi) ** 2 AS dsse, abs(qi - m_qi) - abs(qi - h_qi) AS derr,
     c_type = oracle_action AS obs_right, (c_type <> c_draw)::INT AS flip FROM te)"""
 )
@@ -371,7 +373,7 @@ ORACLE = {
         "cpvals",
         tidy_sql(
             " UNION ALL ".join(
-                f"""SELECT '{name}' AS subset, count(*) FILTER ({c}) AS n, avg(({c})::INT) AS share, sum(dsse) FILTER ({c}) / sum(dsse) AS sse_share,
+                f"""SELECT '{name}' AS subset, count(*) FILTER ({c}) AS n, count(*) FILTER ({c}) / count(*)::DOUBLE AS share, sum(dsse) FILTER ({c}) / sum(dsse) AS sse_share,
                 avg(dregret) FILTER ({c}) AS mean_dregret FROM mv"""
                 for name, c in (
                     ("agree", "c_type = c_draw"),
@@ -380,7 +382,7 @@ ORACLE = {
                     ("obs_right", "obs_right"),
                     ("tau<=0", "tau <= 0"),
                     ("tau>0", "tau > 0"),
-                    ("top_band", "s_continue = 0"),
+                    ("top_band", "s_continue = (SELECT min(s_continue) FROM mv)"),
                 )
             ),
             "share sse_share mean_dregret",
