@@ -9,9 +9,9 @@ needs only the bytes that its windows can reach (its context).
 * The other contexts of a gram are sorted by what follows the anchor: a piece of an enhanced suffix array. A stack scan
   of the longest-common-prefix array visits its intervals (the common-prefix tree) from the deepest up. An interval's
   members share ``p`` bytes to the right; those that also share ``l`` bytes to the left, with p + l >= length, form a
-  repeat. The members are kept in the order of their left contexts, in which the best partner is a neighbour; an
-  interval where all members extend to the left alike has nothing that its parent's other members could change.
-  All occurrences of a repeat are given, not only neighbours in the array.
+  repeat. Left extensions are tested in the order of the members' left contexts: members that extend alike stand
+  together, and how far two groups extend alike shows where they meet, so every pair that becomes neighbours when
+  intervals join is compared, and no other. Each repeat reaches all its occurrences, not only neighbours in the array.
 * A gram with very many different contexts is first cut: its windows are halved, and each half regroups by the longer
   string that all its windows share. Strings found once go; at one window the group is the repeat. So no group above
   ``MOST`` contexts is ever gathered in one task, whatever it holds.
@@ -152,11 +152,13 @@ def _scan(groups: DataFrame, length: int) -> DataFrame:
     import pyarrow as pa
 
     def solve(rows):
+        """Each repeat covers its anchor, so all repeats of a context cover one run: the farthest either way."""
         rights, lefts = [r[4] for r in rows], [r[3][::-1] for r in rows]
-        best: dict = {}
+        far: dict = {}
         for x, left, right, _ in interval_repeats(rights, lefts, length):
-            best.setdefault(x, set()).add((left, right))
-        return [(rows[x][1], rows[x][2], left, right) for x, found in best.items() for left, right in found]
+            a, b = far.get(x, (0, 0))
+            far[x] = (max(a, left), max(b, right))
+        return [(rows[x][1], rows[x][2], left, right) for x, (left, right) in far.items()]
 
     def batch(out):
         cols = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int32(), pa.int32()])]
@@ -265,18 +267,20 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
             for c in more:
                 covers = covers.unionByName(c)
         covers = covers.unionByName(_scan(groups, length))
-    found = rows.select("doc_id", "mark", "pos", "c1", "c2").join(covers, ["c1", "c2"])
+    # Every cover holds its anchor, so those of one context are one run.
+    runs = covers.groupBy("c1", "c2").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    found = rows.select("doc_id", "mark", "pos", "c1", "c2").join(runs, ["c1", "c2"])
     return found.select("doc_id", "mark", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("stop"))
 
 
-def _union(spans: list[tuple[int, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+def _union(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs covered by spans."""
+    if not len(starts):
+        return starts, stops
+    order = np.argsort(starts, kind="stable")
+    start, far = starts[order], np.maximum.accumulate(stops[order])
+    new = np.concatenate([[True], start[1:] > far[:-1]])
+    return start[new], far[np.append(np.flatnonzero(new)[1:] - 1, len(far) - 1)]
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int = MOST) -> DataFrame:
@@ -285,7 +289,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     docs = two_columns(docs, id_col, text_col)
     spans = covered(docs, length, min(GRAM, length), most)
-    per_doc = spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    per_doc = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    per_doc = stored(per_doc, "repeat-spans")
     rows = docs.select("doc_id", F.hash("text").alias("mark"), "text")
     same = rows["doc_id"].eqNullSafe(per_doc["doc_id"]) & (rows["mark"] == per_doc["mark"])
     joined = rows.join(per_doc, same, "left").select(rows["doc_id"], "text", "spans")
@@ -294,15 +299,19 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     def run(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for b in slices(batches):
-            out = []
-            for data, marks in zip(utf8(b.column(1)), b.column(2).to_pylist()):
-                runs = _union([(m["start"], m["stop"]) for m in marks or []])
-                sha, at = hashlib.sha256(), 0
-                for s, e in runs:
-                    sha.update(data[at:s])
-                    at = e
-                sha.update(data[at:])
-                out.append((len(data), sum(e - s for s, e in runs), len(runs), sha.hexdigest(), [{"start": s, "stop": e} for s, e in runs]))
+            out, lists = [], b.column(2)
+            starts, stops = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            offsets, there = lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+            for k, data in enumerate(utf8(b.column(1))):
+                at = slice(offsets[k], offsets[k + 1]) if there[k] else slice(0, 0)
+                s, e = (x.tolist() for x in _union(starts[at], stops[at]))
+                sha, done = hashlib.sha256(), 0
+                for i, j in zip(s, e):
+                    sha.update(data[done:i])
+                    done = j
+                sha.update(data[done:])
+                runs = [{"start": i, "stop": j} for i, j in zip(s, e)]
+                out.append((len(data), sum(e) - sum(s), len(s), sha.hexdigest(), runs))
             types = [pa.int64()] * 3 + [pa.string(), span]
             cols = [b.column(0)] + [pa.array(c, t) for c, t in zip(zip(*out), types)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
