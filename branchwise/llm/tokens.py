@@ -4,7 +4,7 @@ The vocabulary is a parameter (a file path every worker can open). The byte-leve
 cuts a text where a space is followed by something else than white space, and words repeat, so a text is cut there and
 the ids of equal parts are looked up. A part seen for the first time is cut further, at places where the pattern always
 cuts too, and only words never met before reach the library's merge model. The parts' ids joined are exactly the ids of
-the whole text (``tests/llm`` compares them with direct calls). Both tables have a fixed capacity and start anew beyond.
+the whole text (``tests/llm`` compares them with direct calls). Both tables have a fixed capacity.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 
@@ -34,7 +35,7 @@ NAME = re.compile(rf"[{LETTERS}]+\Z")
 #: A space that does not begin a word.
 LOOSE = re.compile(rf" (?:[{SPACE}]|\Z)")
 END_ID = 0
-PARTS, WORDS, LONG = 700_000, 150_000, 64
+PARTS, WORDS, LONG, MET = 500_000, 100_000, 64, 1 << 22
 
 
 def default_vocabulary() -> str:
@@ -51,16 +52,21 @@ def byte_letters() -> list[str]:
 
 
 class Table(dict):
-    """Look-up table in two generations: a full one becomes the older one, and what is used from it moves on."""
+    """Look-up table of bounded size: the older half of a full one goes."""
 
     def __init__(self, entries: int):
-        self.entries, self.older = entries, {}
+        self.entries, self.met = entries, bytearray(MET)
 
     def keep(self, key: str, ids: bytes) -> bytes:
-        if len(key) <= LONG:
+        """Enter a key when it comes a second time (or one that shares its mark): most words come once."""
+        mark = hash(key) & (MET - 1)
+        if not self.met[mark]:
+            self.met[mark] = 1
+        elif len(key) <= LONG:
             if len(self) >= self.entries:
-                self.older = dict(self)
-                self.clear()
+                for old in list(islice(self, self.entries // 2)):
+                    del self[old]
+                self.met = bytearray(MET)
             self[key] = ids
         return ids
 
@@ -81,12 +87,10 @@ class Words(Table):
         return array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            if WHOLE.match(piece):
-                ids = self.merged(self.shown(piece))
-            else:
-                ids = array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        if WHOLE.match(piece):
+            ids = self.merged(self.shown(piece))
+        else:
+            ids = array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         return self.keep(piece, ids)
 
 
@@ -98,14 +102,12 @@ class Parts(Table):
         self.words, self.space = words, words.letters[32]
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.older.get(part)
-        if ids is None:
-            if NAME.match(part):
-                ids = self.words.merged(self.space + self.words.shown(part))
-            elif part[-1] in ",.;:!?" and NAME.match(part[:-1]):
-                ids = self[part[:-1]] + self.words[part[-1]]
-            else:
-                ids = b"".join(map(self.words.__getitem__, PIECES.findall(" " + part)))
+        if NAME.match(part):
+            ids = self.words.merged(self.space + self.words.shown(part))
+        elif part[-1] in ",.;:!?" and NAME.match(part[:-1]):
+            ids = self[part[:-1]] + self.words[part[-1]]
+        else:
+            ids = b"".join(map(self.words.__getitem__, PIECES.findall(" " + part)))
         return self.keep(part, ids)
 
 
