@@ -221,12 +221,12 @@ def layer_report(s, gain: float = 0.02, slack: float = 0.005):
 
 def _ceiling_rows(spark, sf, scheme):
     v = full_values(spark, sf).where(F.col("arm") == ARM_B)
-    rows = v = stored(v.select("task_id", "rollout_id", F.col("value_intervene").alias("y")), "ceiling")
+    v = stored(v.select("task_id", "rollout_id", F.col("value_intervene").alias("y")), "ceiling")
     key = "task_id" if scheme == "closed" else "rollout_id"
     hold = P.row_holdout(v.select(key).distinct(), key, Y.SEEDS).select(
         key, F.col("seed").alias("seed_ix"), F.when(F.col("is_test"), -1).otherwise((F.col(key) % 5).cast("int")).alias("fold")
     )
-    return rows.join(hold, key)
+    return v.join(hold, key)
 
 
 def group_ceiling(spark, sf):

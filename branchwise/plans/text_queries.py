@@ -169,10 +169,6 @@ def prefix_actions(spark, sf):
     )
 
 
-def _initial(spark, sf):
-    return F.array().cast("array<string>")
-
-
 def offered_actions(spark, sf):
     s = S.with_offered(views.steps(spark, sf), ["trace"], "t", "commands", F.array().cast("array<string>"))
     return tidy(s.select("trace", "t", F.array_join("offered", ",").alias("offered"), F.array_contains("offered", F.col("action")).alias("admissible")))

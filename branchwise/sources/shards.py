@@ -124,8 +124,10 @@ def validated(branches: DataFrame) -> DataFrame:
 def append_missing(spark: SparkSession, planned: DataFrame, done: DataFrame, root: str, attempt: str) -> DataFrame:
     """Idempotent append: write only units not done, under a new attempt folder.
 
-    Returns what was written. ``done`` must not come from the attempt being written.
+    Returns what was written. ``done`` must not come from the attempt being written, which its ``attempt`` column tells.
     """
+    if "attempt" in done.columns and not done.where(F.col("attempt") == attempt).isEmpty():
+        raise ValueError(f"units done in attempt {attempt} cannot decide what it writes")
     todo = planned.join(done.select("checkpoint_id").distinct(), "checkpoint_id", "left_anti")
     target = f"{root}/attempt={attempt}"
     todo.write.mode("errorifexists").parquet(target)
@@ -136,10 +138,10 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("errorifexists").format(fmt).save(path)
 
 
-def markdown_lines(df: DataFrame, order: list, limit: int = 200) -> DataFrame:
-    """Markdown rows of a small result; the limit is the printed page."""
+def markdown_lines(df: DataFrame, order: list) -> DataFrame:
+    """Every row of a result as a Markdown table row, in order."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-    return df.orderBy(*order).limit(limit).select(
+    return df.orderBy(*order).select(
         F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")
     )
 
