@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from branchwise.llm.common import slices, two_columns
+from branchwise.session import stored
 
 SAMPLE_ROWS, LEAST_TEXTS, LEAST_Z, CUTS, REJECT_AT = 12_000, 8, 6.0, (4, 12), 0.5
 TERM = re.compile(r"\w+")
@@ -74,38 +75,48 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 1e-3,
     return p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
 
 
-def fit_texts(counts: list[Counter], toxic: list[int]) -> Model | None:
-    """The model of labelled texts given as term counts; None without texts of both kinds or telling terms."""
-    y = np.array(toxic, bool)
-    n1, n0 = int(y.sum()), int((~y).sum())
+def telling_terms(sample: DataFrame) -> dict[str, float]:
+    """Terms with their z, counted by Spark over the (toxic, text) rows; only terms that pass the screen come back."""
+    import pyarrow as pa
+
+    def count(batches):
+        found: tuple[Counter, Counter] = (Counter(), Counter())
+        for b in slices(batches):
+            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found[bool(toxic)].update(terms(text).keys())
+        for toxic, c in enumerate(found):
+            cols = [pa.array(list(c.keys()), pa.string()), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["term", "toxic", "n"])
+
+    n1, n0 = sample.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") == 0)).first()
     if not n1 or not n0:
-        return None
-    share1, share0 = Counter(), Counter()
-    for c, t in zip(counts, y):
-        (share1 if t else share0).update(c.keys())
-    z = {}
-    for t in share1.keys() | share0.keys():
-        a, b = share1[t], share0[t]
-        if a + b >= LEAST_TEXTS:
-            p = (a + b) / (n1 + n0)
-            z[t] = (a / n1 - b / n0) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    names = sorted(t for t, s in z.items() if abs(s) >= LEAST_Z)
-    if not names:
-        return None
-    bad = {t for t in names if z[t] > 0}
-    hits = np.array([sum(n for t, n in c.items() if t in bad) for c in counts])
+        return {}
+    is_toxic = F.col("toxic") == 1
+    per = sample.select("toxic", "text").mapInArrow(count, "term string, toxic int, n long")
+    per = per.groupBy("term").agg(F.sum(F.when(is_toxic, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(is_toxic, 0).otherwise(F.col("n"))).alias("b"))
+    share = (F.col("a") + F.col("b")) / float(n1 + n0)
+    sd = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1.0 / n1 + 1.0 / n0))
+    z = (F.col("a") / float(n1) - F.col("b") / float(n0)) / sd
+    kept = per.where(F.col("a") + F.col("b") >= LEAST_TEXTS).select("term", z.alias("z")).where(F.abs("z") >= LEAST_Z)
+    return {r["term"]: r["z"] for r in kept.collect()}
+
+
+def fit_counts(z: dict[str, float], counts: list[dict], toxic: list[int]) -> Model:
+    """The model of labelled texts given as counts of the telling terms."""
+    names, y = sorted(z), np.array(toxic, bool)
+    hits = np.array([sum(n for t, n in c.items() if z[t] > 0) for c in counts])
     grade = np.where(y, 1 + sum((hits >= cut).astype(int) for cut in CUTS), 0)
     # Only grades that occur get thresholds; a grade nobody has would leave its threshold without data.
     seen = sorted(set(grade.tolist()))
     packed = np.searchsorted(seen, grade)
-    x = np.array([[math.log1p(c[t]) for t in names] for c in counts])
+    x = np.array([[math.log1p(c.get(t, 0)) for t in names] for c in counts])
     w, theta = fit_ordinal(x, packed, len(seen))
     full = [theta[np.searchsorted(seen, k) - 1] if k <= seen[-1] else math.inf for k in range(1, len(CUTS) + 2)]
     return Model(dict(zip(names, w.tolist())), [min(t, 1e9) for t in full])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fit on the sample, in one task; only the weights (terms that pass the screen) reach the driver."""
+    """Fit on the sample; the fit itself is one task over the telling terms' counts. None without telling terms."""
     import json
 
     import pyarrow as pa
@@ -121,23 +132,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     sample = docs.join(F.broadcast(ids), "doc_id").groupBy(F.sha2("text", 256).alias("sha")).agg(
         F.max("toxic").alias("toxic"), F.first("text").alias("text")
     )
+    sample = stored(sample, "toxicity-sample")
+    z = telling_terms(sample)
+    if not z:
+        return None
 
     def count(batches):
         for b in slices(batches):
-            rows = [json.dumps(terms(t)) for t in b.column(1).to_pylist()]
+            rows = [json.dumps({t: n for t, n in terms(x).items() if t in z}) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.string())], ["toxic", "counts"])
 
     def solve(batches):
         counts, toxic = [], []
         for b in batches:
             toxic += b.column(0).to_pylist()
-            counts += [Counter(json.loads(c)) for c in b.column(1).to_pylist()]
-        model = fit_texts(counts, toxic) if counts else None
-        out = [] if model is None else [json.dumps([model.weights, model.thresholds])]
+            counts += [json.loads(c) for c in b.column(1).to_pylist()]
+        out = []
+        if counts:
+            model = fit_counts(z, counts, toxic)
+            out.append(json.dumps([model.weights, model.thresholds]))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["model"])
 
-    counted = sample.select("toxic", "text").mapInArrow(count, "toxic int, counts string")
-    got = counted.repartition(1).mapInArrow(solve, "model string").collect()
+    counted = sample.select("toxic", "text").mapInArrow(count, "toxic int, counts string").orderBy("toxic", "counts")
+    got = counted.coalesce(1).mapInArrow(solve, "model string").collect()
     return Model(*json.loads(got[0][0])) if got else None
 
 
