@@ -148,17 +148,22 @@ def interval_repeats(rights: list[bytes], lefts: list[bytes], length: int) -> li
 
 
 def _scan(groups: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, before, after): covered bytes around the anchors of each context, from (grp, c1, c2, left, right)."""
+    """(c1, c2, before, after): covered bytes around the anchors of each context.
+
+    ``groups``: (grp, c1, c2, left, right, lo, hi). Members of a group share the string from offset hi to lo + length of
+    the anchor, which all windows that start in lo..hi have in common; ``left`` and ``right`` are the bytes beside it.
+    """
     import pyarrow as pa
 
     def solve(rows):
         """Each repeat covers its anchor, so all repeats of a context cover one run: the farthest either way."""
         rights, lefts = [r[4] for r in rows], [r[3][::-1] for r in rows]
+        lo, hi = rows[0][5], rows[0][6]
         far: dict = {}
-        for x, left, right, _ in interval_repeats(rights, lefts, length):
+        for x, left, right, _ in interval_repeats(rights, lefts, hi - lo):
             a, b = far.get(x, (0, 0))
             far[x] = (max(a, left), max(b, right))
-        return [(rows[x][1], rows[x][2], left, right) for x, (left, right) in far.items()]
+        return [(rows[x][1], rows[x][2], left - hi, lo + length + right) for x, (left, right) in far.items()]
 
     def batch(out):
         cols = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int32(), pa.int32()])]
@@ -180,7 +185,7 @@ def _scan(groups: DataFrame, length: int) -> DataFrame:
         if out:
             yield batch(out)
 
-    placed = groups.select("grp", "c1", "c2", "left", "right").repartition("grp").sortWithinPartitions("grp", "right", "left")
+    placed = groups.select("grp", "c1", "c2", "left", "right", "lo", "hi").repartition("grp").sortWithinPartitions("grp", "right", "left")
     return placed.mapInArrow(run, "c1 long, c2 long, before int, after int")
 
 
@@ -209,38 +214,43 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
     return joined.mapInArrow(run, "gram long, c1 long, c2 long, left binary, right binary").dropDuplicates(["gram", "c1", "c2"])
 
 
-def _between(lo, hi):
-    """The bytes from offset lo to hi around the anchor."""
-    n = F.length("left")
-    before = F.substring("left", (n + lo + 1).cast("int"), F.greatest(F.least(hi, F.lit(0)) - lo, F.lit(0)).cast("int"))
-    after = F.substring("right", (F.greatest(lo, F.lit(0)) + 1).cast("int"), F.greatest(hi - F.greatest(lo, F.lit(0)), F.lit(0)).cast("int"))
-    return F.concat(before, after)
-
-
-def _cut(hot: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+def _cut(hot: DataFrame, length: int, most: int) -> tuple[DataFrame | None, list[DataFrame]]:
     """Groups above ``most`` contexts, cut until they are smaller or hold a single window.
 
-    Returns the smaller groups (grp, c1, c2, left, right) and the coverage of the single windows.
+    The windows lo..hi of a group are halved. The earlier half has more of the left bytes in common, the later half more
+    of the right ones: these go into the group's key, and what is left beside the longer common string is half as
+    long. A context whose text ends before the common string is complete has no window in that half.
+    Returns the smaller groups (as ``_scan`` takes them) and the coverage of the single windows.
     """
-    # All contexts share one grid of windows, so that equal windows meet; a context lacks those past its text's ends.
-    items = stored(hot.withColumn("lo", F.lit(gram - length)).withColumn("hi", F.lit(0)), "repeat-hot")
-    small, covers = None, []
+    items, small, covers = stored(hot, "repeat-hot"), None, []
     while not items.isEmpty():
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        halves = F.array(F.struct(F.col("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi")))
-        child = (
-            items.withColumn("half", F.explode(halves))
-            .select("c1", "c2", "left", "right", "half.lo", "half.hi")
-            .where((F.col("lo") <= F.col("hi")) & (F.col("lo") + length <= F.length("right")) & (-F.col("hi") <= F.length("left")))
+        lo, hi, n_left, n_right = F.col("lo"), F.col("hi"), F.length("left"), F.length("right")
+        mid = F.floor((lo + hi) / 2).cast("int")
+        earlier = F.struct(
+            lo.alias("lo"),
+            mid.alias("hi"),
+            (n_left >= hi - mid).alias("there"),
+            F.expr("right(hex(left), 2 * (hi - floor((lo + hi) / 2)))").alias("more"),
+            F.substring("left", F.lit(1), (n_left - (hi - mid)).cast("int")).alias("left"),
+            F.substring("right", F.lit(1), mid - lo).alias("right"),
+        )
+        later = F.struct(
+            (mid + 1).alias("lo"),
+            hi.alias("hi"),
+            ((n_right >= mid + 1 - lo) & (lo < hi)).alias("there"),
+            F.hex(F.substring("right", F.lit(1), mid + 1 - lo)).alias("more"),
+            F.substring("left", F.greatest(n_left - (hi - mid - 1), F.lit(0)) + 1, n_left).alias("left"),
+            F.substring("right", mid + 2 - lo, n_right).alias("right"),
         )
-        child = child.withColumn("core", F.md5(F.concat(F.encode(F.concat_ws(":", "lo", "hi"), "UTF-8"), _between(F.col("hi"), F.col("lo") + length))))
-        child = stored(child, "repeat-cut")
-        sizes = child.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = stored(child.join(sizes, "core"), "repeat-sized")
-        covers.append(sized.where("lo = hi").select("c1", "c2", (-F.col("lo")).alias("before"), (F.col("lo") + length).alias("after")))
-        few = sized.where(f"lo < hi and n <= {most}").select(F.col("core").alias("grp"), "c1", "c2", "left", "right")
+        half = items.select("grp", "c1", "c2", F.explode(F.array(earlier, later)).alias("h")).where("h.there")
+        key = F.md5(F.concat_ws(":", "grp", F.col("h.lo").cast("string"), F.col("h.hi").cast("string"), "h.more"))
+        child = stored(half.select(key.alias("grp"), "c1", "c2", "h.left", "h.right", "h.lo", "h.hi"), "repeat-cut")
+        sizes = stored(child.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeat-sizes")
+        sized = child.join(sizes, "grp")
+        covers.append(sized.where("lo = hi").select("c1", "c2", (-lo).alias("before"), (lo + length).alias("after")))
+        few = sized.where(f"lo < hi and n <= {most}").drop("n")
         small = few if small is None else small.unionByName(few)
-        items = sized.where(f"lo < hi and n > {most}").select("c1", "c2", "left", "right", "lo", "hi")
+        items = sized.where(f"lo < hi and n > {most}").drop("n")
     return small, covers
 
 
@@ -259,10 +269,20 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     if not wanted.isEmpty():
         texts = stored(_contexts(docs, wanted, length, gram), "repeat-texts")
         hot = known.where(f"contexts > {most}").select("gram").distinct()
-        groups = texts.withColumn("grp", F.col("gram").cast("string"))
+        # What all windows of an anchor have in common is its gram.
+        groups = texts.select(
+            "gram",
+            F.md5(F.substring("right", 1, gram)).alias("grp"),
+            "c1",
+            "c2",
+            "left",
+            F.substring("right", gram + 1, length).alias("right"),
+            F.lit(gram - length).alias("lo"),
+            F.lit(0).alias("hi"),
+        )
         if not hot.isEmpty():
-            small, more = _cut(texts.join(hot, "gram", "left_semi").drop("gram"), length, gram, most)
-            groups = groups.join(hot, "gram", "left_anti").select("grp", "c1", "c2", "left", "right")
+            small, more = _cut(groups.join(hot, "gram", "left_semi").drop("gram"), length, most)
+            groups = groups.join(hot, "gram", "left_anti").drop("gram")
             groups = groups if small is None else groups.unionByName(small)
             for c in more:
                 covers = covers.unionByName(c)
