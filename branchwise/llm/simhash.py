@@ -50,16 +50,19 @@ def fingerprint(data: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * counts > len(s)).tolist()))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fingerprints as signed longs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha: bool = False) -> DataFrame:
+    """(doc_id, fp): fingerprints as signed longs; with ``sha`` also the SHA-256 of the text."""
     import pyarrow as pa
 
     def run(batches):
         for b in slices(batches):
             fp = np.array([fingerprint(t) for t in utf8(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    return two_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = two_columns(docs, id_col, text_col)
+    if sha:
+        return rows.withColumn("sha", F.sha2("text", 256)).mapInArrow(run, "doc_id long, fp long, sha string")
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def _ball(width: int, t: int) -> list[int]:
@@ -217,15 +220,20 @@ def _keys(part: int, value: np.ndarray) -> np.ndarray:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of every row; the component is named by its smallest doc_id."""
     rows = stored(fingerprints(docs, id_col, text_col), "simhash-rows")
+    return rows.join(_named(rows, radius), "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, component, component_id) of every fingerprint; ``component`` is a fingerprint of its own component, so it
+    tells components apart that share their smallest doc_id or have none."""
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "simhash-nodes")
     n = nodes.count()
     if not n:
-        return rows.select("doc_id", "fp", F.col("doc_id").alias("component_id"))
+        return nodes.select("fp", F.col("fp").alias("component"), F.col("first_id").alias("component_id"))
     label = _labels(nodes, n, radius)
     joined = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = joined.join(least, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return joined.join(least, "component").select("fp", "component", "component_id")
 
 
 def _labels(nodes: DataFrame, n: int, radius: int) -> DataFrame:
@@ -283,12 +291,17 @@ def _labels(nodes: DataFrame, n: int, radius: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest id of each component, once. Rows whose id is null stay where no
-    row of their component has an id."""
-    g = near_groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = g.select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.withColumn("_id", F.col(id_col).cast("long"))
-    return rows.join(keep, rows["_id"].eqNullSafe(keep["_id"]), "left_semi").dropDuplicates(["_id"]).drop("_id")
+    """The rows of ``docs`` that stay: one of each component, that with the smallest id, of equal ids the smallest hash of
+    the text. A row whose id is null stays where no row of its component has an id."""
+    _id, _sha = F.col(id_col).cast("long"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    rows = stored(fingerprints(docs, id_col, text_col, sha=True), "simhash-rows")
+    # Equal texts have one fingerprint, so (id, hash of the text) lies in one component and names its row.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("f")
+    per = rows.groupBy("fp").agg(first).join(_named(rows, RADIUS), "fp")
+    keep = per.groupBy("component").agg(F.min("f").alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.sha").alias("_sha"))
+    out = docs.withColumns({"_id": _id, "_sha": _sha})
+    same = out["_id"].eqNullSafe(keep["_id"]) & (out["_sha"] == keep["_sha"])
+    return out.join(keep, same, "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -430,6 +430,17 @@ def test_simhash(docs, rows):
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter({k[2] for k in want})
 
 
+def test_simhash_keeps_one_row_of_each_component(spark):
+    ship_package(spark)
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1])]  # two components without an id
+    rows += [(5, words[2]), (5, words[3]), (6, words[3])]  # one id, the smallest of two components
+    rows += [(7, words[4]), (7, words[4]), (None, words[4]), (8, words[5])]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, words[0]), (None, words[1]), (5, words[2]), (5, words[3]), (7, words[4]), (8, words[5])]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_simhash_search_finds_every_link(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 1 << 63, 40, np.int64)
