@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from branchwise.operators import decision_loss as D
 from branchwise.operators import learners as M
 from branchwise.operators import linear as L
+from branchwise.plans import learner_queries
 
 RNG = np.random.default_rng(7)
 N, K = 240, 5
@@ -133,6 +134,16 @@ def surrogate(hat, q):
     return np.max(2 * hat - q, 1) + np.max(q, 1) - 2 * np.take_along_axis(hat, q.argmax(1)[:, None], 1)[:, 0]
 
 
+def test_text_penalty_uses_five_folds(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 5) for i in range(600)], "doc_id long, quality int")
+    docs.createOrReplaceTempView("documents"), labels.createOrReplaceTempView("labels")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(learner_queries, "table", lambda spark, sf, name: spark.table(name))
+        folds = {r["fold"] for r in learner_queries._labelled(spark, "").select("fold").distinct().collect()}
+    assert folds == {-1, 0, 1, 2, 3, 4}
+
+
 def test_decision_loss_bounds_regret():
     q = np.column_stack([RNG.normal(size=(20000, 2)), np.zeros(20000)])
     hat = np.column_stack([RNG.normal(size=(20000, 2)), np.zeros(20000)])
