@@ -99,10 +99,13 @@ def size_matched_means(spark, sf):
 
 
 def ridge_battery(spark, sf):
-    """Held-out R2 of every target and feature block on five group splits."""
+    """Held-out R2 of three values and every feature block on five splits by game and five by rollout."""
     rows = Y.study_rows(spark, sf)
-    fits = L.fit_models(L.fold_grams(rows), Y.battery(), ["seed_ix"])
-    return tidy(fits.select("seed_ix", "model", "alpha", "n_train", "n_test", "var_test", "r2"))
+    by_rollout = rows.drop("folds").join(L.seed_folds(rows, "rollout_id", Y.SEEDS), "rollout_id")
+    schemes = {"held_out_game": rows, "grouped_by_rollout": by_rollout}
+    grams = [L.fold_grams(r).withColumn("scheme", F.lit(name)) for name, r in schemes.items()]
+    fits = L.fit_models(grams[0].unionByName(grams[1]), Y.battery(), ["scheme", "seed_ix"])
+    return tidy(fits.select("scheme", "seed_ix", "model", "alpha", "n_train", "n_test", "var_test", "r2"))
 
 
 def ridge_one_feature(spark, sf):
@@ -189,34 +192,43 @@ def conflict_set_models(spark, sf):
 
 
 def layer_sweep(spark, sf):
-    """Gain of every layer over the observables, for the intervene value."""
+    """Gain of every layer over the observables: both values and their difference, and the intervene value in the top band."""
     rows = Y.study_rows(spark, sf)
-    models = [L.Model("base", Y.OBS_IX, Y.QI_IX)]
-    models += [L.Model(f"layer{i}", Y.OBS_IX + Y.LAYER_IX[i], Y.QI_IX) for i in range(Y.LAYERS)]
-    fits = L.fit_models(L.fold_grams(rows), models, ["seed_ix"])
-    b = fits.where("model = 'base'").select("seed_ix", F.col("r2").alias("base"))
-    d = fits.where("model <> 'base'").join(b, "seed_ix").withColumn("delta", F.col("r2") - F.col("base"))
-    s = R.sign_stability(d, ["model"], "delta").withColumn("layer", F.regexp_extract("model", "([0-9]+)$", 1).cast("int"))
-    return tidy(s.select("layer", "mean", "sd", "consistent"))
+    targets = {"qc": Y.QC_IX, "qi": Y.QI_IX, "tau": Y.TAU_IX}
+
+    def fits(part, curves):
+        models = []
+        for c, t in curves.items():
+            models.append(L.Model(f"{c}|base", Y.OBS_IX, t))
+            models += [L.Model(f"{c}|layer{i}", Y.OBS_IX + Y.LAYER_IX[i], t) for i in range(Y.LAYERS)]
+        return L.fit_models(L.fold_grams(part), models, ["seed_ix"]).select("seed_ix", "model", F.when(~F.isnan("r2"), F.col("r2")).alias("r2"))
+
+    out = fits(rows, targets).unionByName(fits(top_level(rows), {"qi_top": Y.QI_IX}))
+    name = F.split("model", r"\|")
+    out = stored(out.select("seed_ix", name[0].alias("curve"), name[1].alias("block"), "r2"), "layer-fits")
+    b = out.where("block = 'base'").select("seed_ix", "curve", F.col("r2").alias("base"))
+    d = out.where("block <> 'base'").join(b, ["seed_ix", "curve"]).withColumn("delta", F.col("r2") - F.col("base"))
+    s = R.sign_stability(d, ["curve", "block"], "delta").withColumn("layer", F.regexp_extract("block", "([0-9]+)$", 1).cast("int"))
+    return tidy(s.select("curve", "layer", "n_scored", "mean", "sd", "consistent"))
 
 
 def layer_summary(spark, sf):
-    return tidy(layer_report(layer_sweep(spark, sf)))
+    return tidy(layer_report(layer_sweep(spark, sf), ["curve"]))
 
 
-def layer_report(s, gain: float = 0.02, slack: float = 0.005):
-    """Best layer, first layer with a consistent gain, monotone rise, share consistent."""
+def layer_report(s, keys=(), gain: float = 0.02, slack: float = 0.005):
+    """Best layer, first layer with a consistent gain, monotone rise, share consistent, per curve."""
     from pyspark.sql import Window
 
-    # One row per layer of the model.
-    w = Window.partitionBy(F.lit(0)).orderBy("layer")
+    # One row per curve and layer of the model.
+    w = Window.partitionBy(*keys, F.lit(0)).orderBy("layer")
     nxt = s.withColumn("next", F.lead("mean").over(w))
-    return nxt.agg(
+    return nxt.groupBy(*keys).agg(
         F.max(F.struct("mean", (-F.col("layer")).alias("nl"))).alias("b"),
         F.min(F.when((F.col("mean") > gain) & F.col("consistent"), F.col("layer"))).alias("first_layer"),
         F.bool_and(F.col("next").isNull() | (F.col("next") >= F.col("mean") - slack)).alias("monotone"),
         F.avg(F.col("consistent").cast("double")).alias("share_consistent"),
-    ).select((-F.col("b.nl")).alias("best_layer"), F.col("b.mean").alias("best_gain"), "first_layer", "monotone", "share_consistent")
+    ).select(*keys, (-F.col("b.nl")).alias("best_layer"), F.col("b.mean").alias("best_gain"), "first_layer", "monotone", "share_consistent")
 
 
 def _ceiling_rows(spark, sf, scheme):

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,8 +7,9 @@ from pyspark.sql import functions as F
 from branchwise.operators import decision_loss as D
 from branchwise.operators import learners as M
 from branchwise.operators import linear as L
-from branchwise.plans import learner_queries
+from branchwise.plans import learner_queries, model_queries
 
+SF = "/root/testdata/sf0.001"
 RNG = np.random.default_rng(7)
 N, K = 240, 5
 X = RNG.normal(size=(N, K)) * np.array([1, 2, 0.5, 30, 1]) + np.array([0, 1, 5, 100, 0])
@@ -144,6 +147,17 @@ def test_text_penalty_uses_five_folds(spark):
     assert folds == {-1, 0, 1, 2, 3, 4}
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_study_queries_hold_every_curve_scheme_and_class_target(spark):
+    sweep = model_queries.layer_sweep(spark, SF).collect()
+    assert {(r.curve, r.layer) for r in sweep} == {(c, i) for c in ("qc", "qi", "tau", "qi_top") for i in range(4)} and len(sweep) == 16
+    battery = model_queries.ridge_battery(spark, SF).collect()
+    assert {(r.scheme, r.seed_ix) for r in battery} == {(s, i) for s in ("held_out_game", "grouped_by_rollout") for i in range(5)}
+    fixed = learner_queries.fixed_split_selection(spark, SF).collect()
+    assert {(r.target, r.model) for r in fixed} == {(t, b) for t in ("qi", "continue_success", "oracle_action") for b in ("observables", "layer0", "layer1", "layer2", "layer3")}
+    assert all((r.macro_f1 is None) == (r.target == "qi") for r in fixed)
+
+
 def test_decision_loss_bounds_regret():
     q = np.column_stack([RNG.normal(size=(20000, 2)), np.zeros(20000)])
     hat = np.column_stack([RNG.normal(size=(20000, 2)), np.zeros(20000)])
