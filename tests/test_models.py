@@ -158,6 +158,20 @@ def test_study_queries_hold_every_curve_scheme_and_class_target(spark):
     assert all((r.macro_f1 is None) == (r.target == "qi") for r in fixed)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_model_comparison_has_five_splits_both_scopes_and_own_values(spark, monkeypatch):
+    monkeypatch.setattr(M, "FOREST", M.FOREST | {"numTrees": 4})  # the table's shape, not the forest, is tested
+    got = learner_queries.model_comparison(spark, SF).collect()
+    names = ("linear", "forest", "vectors", "obs_vectors")
+    assert {(r.scope, r.model) for r in got} == {(s, m) for s in ("overall", "top_band") for m in names} and len(got) == 8
+    overall = [r for r in got if r.scope == "overall"]
+    assert all(r.n_scored == 5 and r.r2_sd > 0 and r.regret_p90 >= 0 and abs(r.share_continue + r.share_intervene + r.share_quit - 1) < 1e-5 for r in overall)
+    # Own values are in use: each model acts on a continue value of its own.
+    p = learner_queries._compared(learner_queries.Y.study_rows(spark, SF, seeds=[0]), "overall", True)
+    own = {r.model: r.s for r in p.groupBy("model").agg(F.round(F.sum(F.col("own_qc") * F.col("own_qc")), 6).alias("s")).collect()}
+    assert len(set(own.values())) == 4
+
+
 def test_decision_loss_bounds_regret():
     q = np.column_stack([RNG.normal(size=(20000, 2)), np.zeros(20000)])
     hat = np.column_stack([RNG.normal(size=(20000, 2)), np.zeros(20000)])
