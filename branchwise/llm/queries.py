@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from branchwise.llm import exact_dedup, huffman, mixing, packing, repeats, secrets, simhash, sketch, toxicity, warc
+from branchwise.llm import centroids, exact_dedup, huffman, jaccard, mixing, negatives, packing, repeats, secrets, simhash, sketch, toxicity, warc
 
 
 def _exact(spark, sf_dir):
@@ -20,5 +20,13 @@ QUERIES = {
     "op8_source_mixing": mixing.query,
     "op9_simhash_groups": simhash.query,
     "op10_repeated_passages": repeats.query,
+    "op11_centroid_clusters": centroids.query,
+    "op12_ngram_jaccard_join": jaccard.query,
+    "op13_hard_negatives": negatives.query,
+}
+ORACLE = {
+    "op6_exact_dedup": exact_dedup.ORACLE,
+    "op11_centroid_clusters": centroids.ORACLE,
+    "op12_ngram_jaccard_join": jaccard.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }
-ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE}
