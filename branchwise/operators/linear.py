@@ -373,16 +373,22 @@ def auroc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
 
 def class_metrics(df: DataFrame, keys: list[str], label: str, pred: str) -> DataFrame:
     """Accuracy and macro F1 from the confusion table."""
-    conf = df.groupBy(*keys, label, pred).agg(F.count(F.lit(1)).alias("n"))
+    return class_metrics_of_counts(df.groupBy(*keys, label, pred).agg(F.count(F.lit(1)).alias("n")), keys, label, pred, "n")
+
+
+def class_metrics_of_counts(conf: DataFrame, keys: list[str], label: str, pred: str, n: str) -> DataFrame:
+    """Accuracy and macro F1 of a confusion table (keys, label, pred, count)."""
     sides = F.array(
-        F.struct(F.col(label).cast("string").alias("c"), F.col("n").alias("t"), F.lit(0).cast("bigint").alias("p")),
-        F.struct(F.col(pred).cast("string").alias("c"), F.lit(0).cast("bigint").alias("t"), F.col("n").alias("p")),
+        F.struct(F.col(label).cast("string").alias("c"), F.col(n).alias("t"), F.lit(0).cast("bigint").alias("p")),
+        F.struct(F.col(pred).cast("string").alias("c"), F.lit(0).cast("bigint").alias("t"), F.col(n).alias("p")),
     )
-    hit = F.when(F.col(label).cast("string") == F.col(pred).cast("string"), F.col("n")).otherwise(0)
+    hit = F.when(F.col(label).cast("string") == F.col(pred).cast("string"), F.col(n)).otherwise(0)
     long = conf.select(*keys, hit.alias("hit"), F.posexplode(sides).alias("side", "s")).select(
         *keys, "s.c", "s.t", "s.p", F.when(F.col("side") == 0, F.col("hit")).otherwise(0).alias("h")
     )
-    per = long.groupBy(*keys, "c").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("h").alias("h"))
+    # The class column must not meet a key of the same name.
+    long = long.toDF(*keys, "_class", "t", "p", "h")
+    per = long.groupBy(*keys, "_class").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("h").alias("h"))
     f1 = 2 * F.col("h") / (F.col("t") + F.col("p"))
     return per.groupBy(*keys).agg(
         F.sum("t").alias("n"), (F.sum("h") / F.sum("t")).alias("accuracy"), F.avg(f1).alias("macro_f1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from branchwise.functions.outcomes import ARM_A, ARM_B
+from branchwise.operators import classes as C
 from branchwise.operators import linear as L
 from branchwise.operators import resample as R
 from branchwise.operators import splits as P
@@ -99,13 +100,20 @@ def size_matched_means(spark, sf):
 
 
 def ridge_battery(spark, sf):
-    """Held-out R2 of three values and every feature block on five splits by game and five by rollout."""
-    rows = Y.study_rows(spark, sf)
-    by_rollout = rows.drop("folds").join(L.seed_folds(rows, "rollout_id", Y.SEEDS), "rollout_id")
-    schemes = {"held_out_game": rows, "grouped_by_rollout": by_rollout}
-    grams = [L.fold_grams(r).withColumn("scheme", F.lit(name)) for name, r in schemes.items()]
-    fits = L.fit_models(grams[0].unionByName(grams[1]), Y.battery(), ["scheme", "seed_ix"])
-    return tidy(fits.select("scheme", "seed_ix", "model", "alpha", "n_train", "n_test", "var_test", "r2"))
+    """Held-out scores of three values (R2) and two class targets (accuracy, macro F1) by every feature block, on five splits
+    by game and five by rollout, and what a block gains over the observables."""
+    rows = Y.scheme_rows(spark, sf)
+    fits = stored(L.fit_models(L.fold_grams(rows.select("z", "folds")), Y.battery(), ["seed_ix"]).drop("coef"), "battery")
+    name, none = F.split("model", r"\|"), F.lit(None).cast("double")
+    values = fits.select("seed_ix", name[0].alias("target"), name[1].alias("model"), "alpha", none.alias("inverse_penalty"), "n_test", "var_test", "r2", none.alias("accuracy"), none.alias("macro_f1"))
+    models = C.fit_all(rows, Y.feature_blocks(), Y.CLASSES)
+    k = C.chosen_scores(rows, list(Y.CLASSES), models)
+    k = k.select(F.col("split").alias("seed_ix"), F.when(F.col("target") == "oracle_ix", "oracle_action").otherwise(F.col("target")).alias("target"), "model", none.alias("alpha"), F.col("c").alias("inverse_penalty"), "n_test", none.alias("var_test"), none.alias("r2"), "accuracy", "macro_f1")
+    out = stored(values.unionByName(k).withColumn("score", F.coalesce("r2", "macro_f1")), "battery-scores")
+    base = out.where("model = 'observables'").select("seed_ix", "target", F.col("score").alias("base"))
+    out = out.join(base, ["seed_ix", "target"]).join(fits.select("seed_ix", "n_train").distinct(), "seed_ix")
+    cols = ["target", "model", "alpha", "inverse_penalty", "n_train", "n_test", "var_test", "r2", "accuracy", "macro_f1"]
+    return tidy(out.select(*Y.scheme(F.col("seed_ix")), *cols, (F.col("score") - F.col("base")).alias("delta")))
 
 
 def ridge_one_feature(spark, sf):

@@ -71,12 +71,41 @@ def study_rows(spark, sf, group: str = "task_id", seeds=SEEDS, restrict=None) ->
     return rows.join(L.seed_folds(rows, group, list(seeds)), group)
 
 
-def battery() -> list[L.Model]:
-    """Three targets times eleven feature blocks."""
+#: Class targets and their numbers of classes.
+CLASSES = {"continue_success": 2, "oracle_ix": 3}
+
+
+def with_classes(rows) -> DataFrame:
+    """The class targets as whole numbers: whether continuing mostly succeeds, and the best action."""
+    return rows.withColumn("continue_success", (F.col("p_success_continue") > 0.5).cast("int"))
+
+
+def scheme_rows(spark, sf) -> DataFrame:
+    """Study rows with the folds of every seed by game and then by rollout in one array, written once."""
+    rows = with_classes(study_rows(spark, sf))
+    by_rollout = L.seed_folds(rows, "rollout_id", SEEDS).withColumnRenamed("folds", "more")
+    rows = rows.join(by_rollout, "rollout_id").withColumn("folds", F.concat("folds", "more"))
+    return stored(rows.select("z", "folds", *CLASSES), "schemes")
+
+
+SCHEMES = ("held_out_game", "grouped_by_rollout")
+
+
+def scheme(ix) -> tuple:
+    """(scheme, seed) of a place in the folds of ``scheme_rows``."""
+    names = F.array(*[F.lit(s) for s in SCHEMES])
+    return F.element_at(names, (F.floor(ix / len(SEEDS)) + 1).cast("int")).alias("scheme"), F.pmod(ix, F.lit(len(SEEDS))).alias("seed_ix")
+
+
+def feature_blocks() -> dict[str, tuple[int, ...]]:
     blocks = {"observables": OBS_IX, "all_layers": VEC_IX, "obs_all": OBS_IX + VEC_IX}
     blocks |= {f"layer{i}": LAYER_IX[i] for i in range(LAYERS)}
-    blocks |= {f"obs_layer{i}": OBS_IX + LAYER_IX[i] for i in range(LAYERS)}
-    out = []
-    for tname, t in (("qc", QC_IX), ("qi", QI_IX), ("tau", TAU_IX)):
-        out += [L.Model(f"{tname}|{b}", f, t) for b, f in blocks.items()]
-    return out
+    return blocks | {f"obs_layer{i}": OBS_IX + LAYER_IX[i] for i in range(LAYERS)}
+
+
+VALUES = {"qc": QC_IX, "qi": QI_IX, "tau": TAU_IX}
+
+
+def battery() -> list[L.Model]:
+    """Three targets times eleven feature blocks."""
+    return [L.Model(f"{t}|{b}", f, ix) for t, ix in VALUES.items() for b, f in feature_blocks().items()]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from branchwise.operators import decision_loss as D
 from branchwise.operators import learners as M
 from branchwise.operators import linear as L
-from branchwise.plans import learner_queries, model_queries
+from branchwise.plans import study, learner_queries, model_queries
 
 SF = "/root/testdata/sf0.001"
 RNG = np.random.default_rng(7)
@@ -103,13 +103,6 @@ def test_layer_report(spark):
     assert (r["best_layer"], r["first_layer"], r["monotone"], r["share_consistent"]) == (2, 1, False, 0.75)
 
 
-def test_logistic_separates(spark):
-    data = [([float(v) for v in x], int(x[0] > 0), int(f)) for x, f in zip(X, FOLD)]
-    pred, c = M.logistic_study(spark.createDataFrame(data, "x array<double>, y int, fold int"), "y", cs=(1e-2, 1.0))
-    acc = pred.agg(F.avg((F.col("pred") == F.col("y")).cast("double"))).first()[0]
-    assert c == 1.0 and acc > 0.9
-
-
 def test_tfidf_weights(spark):
     docs = spark.createDataFrame([(0, "Red cat sat. a"), (1, "red CAT ran"), (2, "red dog")], "d int, t string")
     tf = M.terms(docs, "d", "t")
@@ -122,16 +115,6 @@ def test_tfidf_weights(spark):
     assert w[(0, "cat")] == pytest.approx(idf["cat"] / norm) and w[(2, "red")] == pytest.approx(1.0)
 
 
-def test_wide_ridge_matches_standardised_ridge(spark):
-    from pyspark.ml.functions import array_to_vector
-
-    df = spark.createDataFrame([([float(v) for v in x], float(y)) for x, y in zip(X, Y)], "x array<double>, y double").withColumn("features", array_to_vector("x"))
-    p = [r["prediction"] for r in M.fit_wide_ridge(df, "y", 50.0).transform(df).collect()]
-    every = np.ones(N, bool)
-    sd = X.std(0, ddof=1)
-    assert p == pytest.approx(list(direct(every, every, 50.0, X.mean(0), sd)), abs=2e-3)
-
-
 def surrogate(hat, q):
     """The loss written out: worst action under 2 * predicted - true, plus the best value, minus twice the prediction of the truly best action."""
     return np.max(2 * hat - q, 1) + np.max(q, 1) - 2 * np.take_along_axis(hat, q.argmax(1)[:, None], 1)[:, 0]
@@ -152,24 +135,30 @@ def test_study_queries_hold_every_curve_scheme_and_class_target(spark):
     sweep = model_queries.layer_sweep(spark, SF).collect()
     assert {(r.curve, r.layer) for r in sweep} == {(c, i) for c in ("qc", "qi", "tau", "qi_top") for i in range(4)} and len(sweep) == 16
     battery = model_queries.ridge_battery(spark, SF).collect()
-    assert {(r.scheme, r.seed_ix) for r in battery} == {(s, i) for s in ("held_out_game", "grouped_by_rollout") for i in range(5)}
+    classes, values = {"continue_success", "oracle_action"}, {"qc", "qi", "tau"}
+    cells = {(s, i, t, b) for s in ("held_out_game", "grouped_by_rollout") for i in range(5) for t in classes | values for b in study.feature_blocks()}
+    assert {(r.scheme, r.seed_ix, r.target, r.model) for r in battery} == cells and len(battery) == len(cells)
+    assert all((r.macro_f1 is None) == (r.target in values) and r.n_train > r.n_test > 0 and (r.model != "observables" or r.delta == 0) for r in battery)
     fixed = learner_queries.fixed_split_selection(spark, SF).collect()
-    assert {(r.target, r.model) for r in fixed} == {(t, b) for t in ("qi", "continue_success", "oracle_action") for b in ("observables", "layer0", "layer1", "layer2", "layer3")}
-    assert all((r.macro_f1 is None) == (r.target == "qi") for r in fixed)
+    blocks = {"observables", "layer0", "layer1", "layer2", "layer3", "combined"}
+    assert {(r.target, r.model) for r in fixed} == {(t, b) for t in classes | values for b in blocks} and len(fixed) == 30
+    assert all((r.macro_f1 is None) == (r.target in values) for r in fixed)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 def test_model_comparison_has_five_splits_both_scopes_and_own_values(spark, monkeypatch):
     monkeypatch.setattr(M, "FOREST", M.FOREST | {"numTrees": 4})  # the table's shape, not the forest, is tested
     got = learner_queries.model_comparison(spark, SF).collect()
-    names = ("linear", "forest", "vectors", "obs_vectors")
-    assert {(r.scope, r.model) for r in got} == {(s, m) for s in ("overall", "top_band") for m in names} and len(got) == 8
+    names = ("linear", "forest", "text", "vectors", "obs_vectors")
+    assert {(r.scope, r.model) for r in got} == {(s, m) for s in ("overall", "top_band") for m in names} and len(got) == 10
     overall = [r for r in got if r.scope == "overall"]
     assert all(r.n_scored == 5 and r.r2_sd > 0 and r.regret_p90 >= 0 and abs(r.share_continue + r.share_intervene + r.share_quit - 1) < 1e-5 for r in overall)
     # Own values are in use: each model acts on a continue value of its own.
-    p = learner_queries._compared(learner_queries.Y.study_rows(spark, SF, seeds=[0]), "overall", True)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id AS text_id", "text")
+    rows = learner_queries.Y.study_rows(spark, SF, seeds=[0]).withColumn("text_id", F.expr(f"part_id % {docs.count()}"))
+    p = learner_queries._compared(rows, "overall", True, learner_queries._text_model(rows, docs, 1))
     own = {r.model: r.s for r in p.groupBy("model").agg(F.round(F.sum(F.col("own_qc") * F.col("own_qc")), 6).alias("s")).collect()}
-    assert len(set(own.values())) == 4
+    assert len(set(own.values())) == 5
 
 
 def test_decision_loss_bounds_regret():

@@ -3,7 +3,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from branchwise.operators import learners as M
 from branchwise.operators import traces as T
 from branchwise.session import scratch_path
 from branchwise.sources import shards, vectors
@@ -71,13 +70,6 @@ def test_vector_store_prunes_layers(spark):
     assert vectors.aligned(spark.createDataFrame([(1,)], "id int"), got, "id").count() == 1
 
 
-def test_fixed_split_classifier(spark):
-    rows = [([float(i % 10), 1.0], int(i % 10 > 4), ("train", "val", "test")[i % 3]) for i in range(120)]
-    pred, c = M.fixed_split_logistic(spark.createDataFrame(rows, "x array<double>, y int, split string"), "y", cs=(1e-4, 1.0))
-    # Both penalties separate the validation rows, and a tie keeps the first.
-    assert c == 1e-4 and pred.where("pred <> y").count() == 0 and pred.count() == 40
-
-
 def test_schemas_cover_every_entity():
     assert {f.name for f in TASK.fields} == {"task_id", "game_file", "task_type", "split_source", "solvable"}
     assert "features_26d" in CHECKPOINT.fieldNames() and "replay_mismatch" in BRANCH.fieldNames()
