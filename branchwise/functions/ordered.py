@@ -73,6 +73,24 @@ def running_sums(df: DataFrame, keys: list[str], pos: str, sums: dict[str, Colum
     return joined.drop("_block", *[f"_l_{n}" for n in names], *[f"_b_{n}" for n in names])
 
 
+def range_totals(df: DataFrame, keys: list[str], value: str, weight: str, name: str) -> DataFrame:
+    """Rows with ``upto``: the key's total weight of values up to and including their own. (keys, value) is unique.
+
+    Rows are dealt in ranges of (keys, value) that Spark cuts from a sample, so their number follows the settings and the
+    data; sums inside a range run in one task, and only one total per key and range is ordered per key.
+    """
+    from branchwise.session import stored
+
+    placed = df.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id())
+    placed = stored(placed, name)
+    totals = placed.groupBy(*keys, "_part").agg(F.sum(weight).alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.withColumn("_upto", F.sum(weight).over(inside))
+    return local.join(starts, [*keys, "_part"]).withColumn("upto", F.col("_upto") + F.col("_start")).drop("_part", "_upto", "_start")
+
+
 def previous(df: DataFrame, keys: list[str], pos: str, cols: list[str], prefix: str = "prev_") -> DataFrame:
     """Values of the row one position earlier, null for the first.
 

@@ -14,9 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from branchwise.functions.ordered import range_totals
 from branchwise.operators.splits import balanced_folds, grouped_holdout
 from branchwise.session import stored
 
@@ -338,22 +339,10 @@ def regression_metrics(df: DataFrame, keys: list[str], y: str, p: str) -> DataFr
 
 
 def average_ranks(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
-    """Mid-ranks of a column per key.
-
-    Equal values merge first; positions over distinct values come from value
-    buckets cut by a quantile sketch, so no task orders a whole key.
-    """
+    """Mid-ranks of a column per key: equal values merge first, and positions come from range totals."""
     cnt = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_m"))
-    cuts = cnt.groupBy(*keys).agg(F.percentile_approx(col, [i / 64 for i in range(1, 64)], 2000).alias("_cuts"))
-    # One row of 63 numbers per key.
-    tagged = cnt.join(F.broadcast(cuts), keys)
-    tagged = tagged.withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col(col)))).drop("_cuts")
-    tot = tagged.groupBy(*keys, "_block").agg(F.sum("_m").alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*keys, "_block", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_s"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = tagged.withColumn("_c", F.sum("_m").over(inside)).join(tot, [*keys, "_block"])
-    ranks = ranked.select(*keys, col, (F.col("_s") + F.col("_c") - (F.col("_m") - 1) / 2.0).alias(out))
+    ranked = range_totals(cnt, keys, col, "_m", "ranks")
+    ranks = ranked.select(*keys, col, (F.col("upto") - (F.col("_m") - 1) / 2.0).alias(out))
     return df.join(ranks, [*keys, col])
 
 

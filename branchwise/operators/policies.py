@@ -6,27 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from branchwise.functions.ordered import exact_quantiles, quantile_columns, side_by_side
-from branchwise.functions.outcomes import ACTIONS, CONTINUE, best_action, regret_of, value_of
+from branchwise.functions.outcomes import ACTIONS, CONTINUE, best_action, nano, regret_of, value_of
 from branchwise.operators.resample import cluster_bootstrap, sign_stability
 
 # Fixed value: regret above this counts as high.
 HIGH_REGRET = 0.5
 
 
+#: Tenths and quarters of a step between two whole units are whole at this scale.
+EDGE_UNITS = 20
+
+
 def with_deciles(df: DataFrame, keys: list[str], value: str, probs: list[float] | None = None, out: str = "decile") -> DataFrame:
     """Number of fixed quantile edges strictly below the value.
 
-    The edge table has one row per key group, which is what makes it broadcastable.
+    Values count in whole nano units and edges in twentieths of them, where tenths and quarters between two values are whole
+    numbers, so a value on an edge does not depend on a last bit. The edge table has one row per key group.
     """
     probs = probs or [i / 10 for i in range(1, 10)]
+    unit = df.withColumn("_unit", nano(F.col(value)))
+    at = F.round(F.col("quantile") * EDGE_UNITS).cast("bigint").alias("_at")
+    scaled = F.col("_unit") * EDGE_UNITS
     if not keys:
         # A fixed handful of numbers.
-        cuts = sorted(r["quantile"] for r in exact_quantiles(df, [], value, probs).collect())
-        below = sum((F.when(F.lit(c) < F.col(value), 1).otherwise(0) for c in cuts), F.lit(0))
-        return df.withColumn(out, below.cast("bigint"))
-    edges = exact_quantiles(df, keys, value, probs).groupBy(*keys).agg(F.array_sort(F.collect_list("quantile")).alias("_e"))
-    j = df.join(F.broadcast(edges), keys)
-    return j.withColumn(out, F.size(F.filter("_e", lambda e: e < F.col(value))).cast("bigint")).drop("_e")
+        cuts = sorted(r["_at"] for r in exact_quantiles(unit, [], "_unit", probs).select(at).collect())
+        below = sum((F.when(F.lit(c) < scaled, 1).otherwise(0) for c in cuts), F.lit(0))
+        return unit.withColumn(out, below.cast("bigint")).drop("_unit")
+    edges = exact_quantiles(unit, keys, "_unit", probs).select(*keys, at).groupBy(*keys).agg(F.collect_list("_at").alias("_e"))
+    j = unit.join(edges, keys)
+    return j.withColumn(out, F.size(F.filter("_e", lambda e: e < scaled)).cast("bigint")).drop("_e", "_unit")
 
 
 def risk_map(rows: DataFrame, level: str = "s_continue") -> DataFrame:

@@ -275,7 +275,7 @@ b0 AS (
   SELECT c.checkpoint_id, task_id, task_type, progress, s_continue, value_continue AS qc, value_intervene AS qi, tau, oracle_action,
     h_qc, h_qi, list_sort([value_continue, value_intervene, 0e0]) AS r3
   FROM cpvals c LEFT JOIN am USING (checkpoint_id) WHERE arm = 'B_montecarlo'),
-b1 AS (SELECT *, len(list_filter((SELECT quantile_cont(r3[3] - r3[2], [.1, .2, .3, .4, .5, .6, .7, .8, .9]) FROM b0), lambda x: x < r3[3] - r3[2])) AS decile FROM b0),
+b1 AS (SELECT *, len(list_filter((SELECT quantile_cont(round((r3[3] - r3[2]) * 1e9), [.1, .2, .3, .4, .5, .6, .7, .8, .9]) FROM b0), lambda x: round(x * 20)::BIGINT < 20 * round((r3[3] - r3[2]) * 1e9)::BIGINT)) AS decile FROM b0),
 sd AS (SELECT b1.*, seed, is_test FROM b1 JOIN hold USING (task_id)),
 tm AS (SELECT seed, task_type, avg(qc) AS m_qc, avg(qi) AS m_qi FROM sd WHERE NOT is_test GROUP BY ALL),
 rm AS (SELECT seed, s_continue, CASE WHEN sum(qc) >= sum(qi) AND sum(qc) >= 0 THEN 'continue' WHEN sum(qi) >= 0 THEN 'intervene' ELSE 'quit' END AS mapped FROM sd WHERE NOT is_test GROUP BY ALL),
@@ -403,7 +403,7 @@ ORACLE = {
                 for d, x in (
                     ("task_type", "task_type"),
                     ("quartile", "'Q' || least(4, floor(progress * 4)::INT + 1)"),
-                    ("error_quartile", "'E' || (1 + len(list_filter((SELECT quantile_cont(err_o, [.25, .5, .75]) FROM mv), lambda x: x < err_o)))"),
+                    ("error_quartile", "'E' || (1 + len(list_filter((SELECT quantile_cont(round(err_o * 1e9), [.25, .5, .75]) FROM mv), lambda x: round(x * 20)::BIGINT < 20 * round(err_o * 1e9)::BIGINT)))"),
                     ("oracle_action", "oracle_action"),
                     ("tau_sign", "CASE WHEN tau > 0 THEN 'tau>0' ELSE 'tau<=0' END"),
                 )

@@ -323,7 +323,8 @@ sb AS (
 _DECILES = """
 m AS (
   SELECT arm, tau, list_sort([value_continue, value_intervene, 0e0]) AS r, r[3] - r[2] AS margin FROM vals),
-e AS (SELECT arm, quantile_cont(margin, [.1, .2, .3, .4, .5, .6, .7, .8, .9]) AS q FROM m GROUP BY arm)"""
+e AS (SELECT arm, quantile_cont(margin, [.1, .2, .3, .4, .5, .6, .7, .8, .9]) AS q,
+  list_transform(quantile_cont(round(margin * 1e9), [.1, .2, .3, .4, .5, .6, .7, .8, .9]), lambda x: round(x * 20)::BIGINT) AS u FROM m GROUP BY arm)"""
 
 ORACLE = {
     "realized_utility": with_views(
@@ -439,7 +440,7 @@ ORACLE = {
     "margin_decile_table": with_views(
         "vals",
         tidy_sql(
-            """SELECT arm, len(list_filter(q, lambda x: x < margin)) AS decile, count(*) AS n, avg(margin) AS mean, avg(tau) AS tau
+            """SELECT arm, len(list_filter(u, lambda x: x < 20 * round(margin * 1e9)::BIGINT)) AS decile, count(*) AS n, avg(margin) AS mean, avg(tau) AS tau
             FROM m JOIN e USING (arm) GROUP BY ALL""",
             "mean tau",
             "decile n",
