@@ -13,9 +13,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from branchwise.functions.ordered import range_totals
+from branchwise.session import stored
+
 # The prime and the Poisson(1) distribution function.
 PRIME = 2147483647
 CDF = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917)
@@ -181,6 +184,86 @@ def stratified_difference(
     return interval(per, ["other", "metric"], F.col("diff")).withColumn("differs", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
+RANGE_ROWS = 50_000
+
+
+def _value_ranges(df: DataFrame, value: str, size: int) -> DataFrame:
+    """(value, range, salts): values in ascending ranges of about ``size`` rows; a value with more rows is a range of its own
+    and its rows may be dealt to several tasks, because among equal values there is no order to keep."""
+    cnt = df.groupBy(value).agg(F.count(F.lit(1)).alias("_m"))
+    upto = range_totals(cnt, [], value, "_m", "boot-values")
+    hot = F.col("_m") > size
+    nth = 2 * F.floor((F.col("upto") - F.col("_m")) / size) + hot.cast("int")
+    return upto.select(value, nth.cast("bigint").alias("range"), F.when(hot, F.ceil(F.col("_m") / size)).otherwise(1).cast("int").alias("salts"))
+
+
+def rank_bootstrap(
+    df: DataFrame, row_id: str, value: str, label: str | None = None, n_boot: int = N_BOOT, seed: int = 0, size: int = RANGE_ROWS
+) -> DataFrame:
+    """Row bootstrap intervals of the median of ``value`` (the lower one), or, with a 0/1 ``label``, of its AUROC.
+
+    Neither is a sum, but both come exactly from weighted counts in value order. Rows are dealt in ranges of the value; a
+    range keeps its total weight of each label and replicate, and the pairs ordered inside it. Totals of earlier
+    ranges complete the AUROC; for the median they tell which range holds it, and only that range is read again.
+    """
+    ranges = stored(_value_ranges(df, value, size), "boot-ranges")
+    y = F.lit(0) if label is None else F.col(label).cast("int")
+    rows = df.select(F.col(value).alias("x"), y.alias("y"), row_hash(F.col(row_id)).alias("h")).join(ranges.withColumnRenamed(value, "x"), "x")
+    rows = stored(rows.withColumn("salt", F.pmod("h", "salts").cast("int")), "boot-rows")
+    coef = coefficients(seed, n_boot)
+
+    def totals(key, pdf):
+        pdf = pdf.sort_values("x", kind="stable")
+        x, h, y = pdf["x"].to_numpy(), pdf["h"].to_numpy(), pdf["y"].to_numpy()
+        ones, zeros, below, pairs = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
+        edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        for a, b in zip(edge, np.append(edge[1:], len(x))):  # one value at a time
+            p, n = np.zeros(n_boot), np.zeros(n_boot)
+            for i in range(a, b, 2048):
+                w = weights(h[i : min(b, i + 2048)], coef)
+                hit = y[i : min(b, i + 2048)] == 1
+                p, n = p + w[hit].sum(axis=0), n + w[~hit].sum(axis=0)
+            pairs += p * (below + n / 2)
+            below = below + n
+            ones, zeros = ones + p, zeros + n
+        out = pd.DataFrame({"rep": np.arange(n_boot, dtype=np.int32), "ones": ones, "zeros": zeros, "pairs": pairs})
+        out.insert(0, "range", key[0])
+        out["values"] = len(edge)
+        return out
+
+    parts = rows.groupBy("range", "salt").applyInPandas(totals, "range bigint, rep int, ones double, zeros double, pairs double, values bigint")
+    per = parts.groupBy("range", "rep").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"), F.sum("pairs").alias("pairs"), F.max("values").alias("values"))
+    # Among the rows of one value every pair is a tie, also between its salts.
+    per = per.withColumn("pairs", F.when(F.col("values") == 1, F.col("ones") * F.col("zeros") / 2).otherwise(F.col("pairs")))
+    per = stored(per, "boot-totals")
+    # One row per range and replicate is ordered within its replicate.
+    before = Window.partitionBy("rep").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    if label is not None:
+        full = per.withColumn("under", F.coalesce(F.sum("zeros").over(before), F.lit(0.0)))
+        both = full.groupBy("rep").agg((F.sum(F.col("pairs") + F.col("ones") * F.col("under")) / safe(F.sum("ones") * F.sum("zeros"))).alias("stat"))
+        return interval(both, [], F.col("stat"))
+    full = per.withColumn("under", F.coalesce(F.sum("zeros").over(before), F.lit(0.0)))
+    full = full.join(per.groupBy("rep").agg(F.sum("zeros").alias("w")), "rep")
+    holds = full.where("w > 0 AND 2 * under < w AND 2 * (under + zeros) >= w").select("range", "rep", (F.col("w") / 2 - F.col("under")).alias("need"))
+    holds = stored(holds, "boot-holds")
+
+    def medians(key, rows, asked):
+        rows = rows.sort_values("x", kind="stable")
+        x, h, out = rows["x"].to_numpy(float), rows["h"].to_numpy(), []
+        for a in range(0, len(asked) if len(x) else 0, 64):
+            reps, need = asked["rep"].to_numpy()[a : a + 64], asked["need"].to_numpy()[a : a + 64]
+            upto = np.cumsum(weights(h, coef[reps]), axis=0)
+            out += [(int(r), float(x[np.searchsorted(upto[:, i], need[i])])) for i, r in enumerate(reps)]
+        return pd.DataFrame(out, columns=["rep", "stat"])
+
+    # A range of one value needs no second look; the others hold about ``size`` rows.
+    alone = ranges.where("salts > 1").select("range", F.col(value).cast("double").alias("stat"))
+    done = holds.join(alone, "range").select("rep", "stat")
+    open_ = rows.where("salts = 1").join(holds.select("range").distinct(), "range", "left_semi")
+    found = open_.groupBy("range").cogroup(holds.groupBy("range")).applyInPandas(medians, "rep int, stat double")
+    return interval(done.unionByName(found), [], F.col("stat"))
+
+
 def cohort_sizes(df: DataFrame, cohort: str, min_cohort: int = 25) -> DataFrame:
     """Cohort sizes, which are compared, and which is the reference (the largest)."""
     s = df.groupBy(cohort).agg(F.count(F.lit(1)).alias("n")).withColumn("compared", F.col("n") >= min_cohort)

@@ -148,21 +148,18 @@ def shortest(rollouts: DataFrame, keys: list[str]) -> DataFrame:
 def within_group_variance(values: DataFrame) -> DataFrame:
     """Variance of the advantage left inside groups, three groupings in one pass.
 
-    The first aggregate merges rows to (type, step) cells once; grouping sets then
-    only touch those cells.
+    Deviations come from merged central moments (count, mean, squared deviation), which keep their digits however far the
+    advantage lies from zero; each task sends one row per group.
     """
-    cells = values.groupBy("arm", "task_type", "t").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("tau").alias("s"), F.sum(F.col("tau") * F.col("tau")).alias("ss")
-    )
-    cells = cells.withColumn("bucket", step_bucket(F.col("t")))
-    sets = cells.groupingSets(
+    rows = values.select("arm", "task_type", "t", step_bucket(F.col("t")).alias("bucket"), "tau")
+    sets = rows.groupingSets(
         [["arm"], ["arm", "task_type"], ["arm", "t"], ["arm", "task_type", "bucket"]],
         "arm",
         "task_type",
         "t",
         "bucket",
     ).agg(
-        F.grouping_id().alias("gid"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")
+        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.var_pop("tau").alias("v")
     )
     label = (
         F.when(F.col("gid") == 7, "total")
@@ -170,7 +167,7 @@ def within_group_variance(values: DataFrame) -> DataFrame:
         .when(F.col("gid") == 5, "step")
         .otherwise("type_x_bucket")
     )
-    parts = sets.select("arm", label.alias("grouping"), "n", (F.col("ss") - F.col("s") * F.col("s") / F.col("n")).alias("dev"))
+    parts = sets.select("arm", label.alias("grouping"), "n", (F.col("v") * F.col("n")).alias("dev"))
     per = parts.groupBy("arm", "grouping").agg((F.sum("dev") / F.sum("n")).alias("within_var"))
     total = per.where("grouping = 'total'").select("arm", F.col("within_var").alias("total"))
     # One total per arm.

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +88,25 @@ def test_sign_stability_keeps_unscored_splits(spark):
     assert got["d"]["sd"] == 0.0
     nulls = {r["m"] for r in R.null_candidates(R.sign_stability(df, ["m"], "v")).collect()}
     assert nulls == {"b", "c", "d"}
+
+
+@pytest.mark.parametrize("size", [7, 40, 10_000])
+def test_rank_bootstrap_equals_plain_resampling(spark, size):
+    """Median and AUROC of every replicate, with ties, a value that fills a third of the rows, and ranges of few rows."""
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(240) < 0.33, 2.0, np.round(rng.normal(size=240), 1))
+    y = (x + rng.normal(size=240) > 1).astype(int)
+    df = spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y int").repartition(3)
+    h = np.array([int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % R.PRIME for i in range(240)])
+    w = R.weights(h, R.coefficients(4, 50))
+    medians, areas = [], []
+    for k in range(50):
+        order = np.argsort(x, kind="stable")
+        upto = np.cumsum(w[order, k])
+        medians.append(x[order][np.searchsorted(2 * upto, upto[-1])])
+        p, n = w[:, k] * y, w[:, k] * (1 - y)
+        areas.append(sum(p[i] * (n[x < x[i]].sum() + n[x == x[i]].sum() / 2) for i in range(240)) / (p.sum() * n.sum()))
+    for label, want in ((None, medians), ("y", areas)):
+        got = R.rank_bootstrap(df, "id", "x", label, 50, 4, size).first()
+        assert got.n_reps == 50 and got.boot_mean == pytest.approx(np.mean(want))
+        assert (got.lo, got.hi) == pytest.approx(tuple(np.percentile(want, [2.5, 97.5])))
