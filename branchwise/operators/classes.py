@@ -48,7 +48,7 @@ class Models:
         m, width = len(self.split), 1 if self.classes == 2 else self.classes
         self.w = np.zeros((m, len(self.cols), width))
         self.trial, self.g, self.f = self.w.copy(), np.zeros_like(self.w), np.full(m, np.inf)
-        self.steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.steps: list[tuple[np.ndarray, ...]] = []
         self.moving, self.plain = np.ones(m, bool), np.zeros(m, bool)
 
     def raw(self, w: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -56,47 +56,51 @@ class Models:
 
     def move(self, loss: np.ndarray, slope: np.ndarray) -> None:
         """Take in the losses and raw gradients at ``trial`` of the moving models and set the next trial."""
-        at = np.flatnonzero(self.moving)
+        at, live = np.flatnonzero(self.moving), self.moving.copy()
+        full = np.zeros_like(self.w)
+        full[at] = slope
         free = np.ones((1, len(self.cols), 1))
         free[0, 0] = 0  # the intercept is not penalised
-        t = self.trial[at]
-        g = self.c[at][:, None, None] * (self.scale[at].transpose(0, 2, 1) @ slope) + free * t
-        f = self.c[at] * loss + 0.5 * (free * t * t).sum(axis=(1, 2))
-        old = self.f[at]
-        ok = f <= old + 1e-12 * np.abs(np.where(np.isfinite(old), old, 0))
-        s, y = np.zeros_like(self.w), np.zeros_like(self.w)
-        good = at[ok]
-        s[good], y[good] = t[ok] - self.w[good], g[ok] - self.g[good]
+        t = self.trial
+        g = self.c[:, None, None] * np.matmul(self.scale.transpose(0, 2, 1), full) + free * t
+        f = np.full(len(live), np.inf)
+        f[at] = self.c[at] * loss + 0.5 * (free * t * t).sum(axis=(1, 2))[at]
+        first = not np.isfinite(self.f).any()
+        ok = live & (f <= self.f + 1e-12 * np.abs(np.where(np.isfinite(self.f), self.f, 0)))
+        bad = live & ~ok
+        mask = ok[:, None, None]
+        s, y = np.where(mask, t - self.w, 0), np.where(mask, g - self.g, 0)
         sy = (s * y).sum(axis=(1, 2))
-        if np.isfinite(old).any():
-            self.steps = [*self.steps, (s, y, np.where(sy > 1e-14, 1 / np.where(sy > 1e-14, sy, 1), 0))][-HISTORY:]
-        self.w[good], self.g[good], self.f[good] = t[ok], g[ok], f[ok]
+        if not first:
+            rho = np.where(sy > 1e-14, 1 / np.where(sy > 1e-14, sy, 1), 0)
+            self.steps = [*self.steps, (s, y, rho, np.matmul(self.inverse, y))][-HISTORY:]
+        self.w, self.g, self.f = np.where(mask, t, self.w), np.where(mask, g, self.g), np.where(ok, f, self.f)
         # A plain step cannot ascend but for rounding: such a model stands at its best.
-        self.moving[at[~ok & self.plain[at]]] = False
-        self.plain[at] = ~ok
-        for _, _, rho in self.steps:
-            rho[at[~ok]] = 0
-        step = self.inverse[at] @ self.g[at]
-        self.moving[at[(self.g[at] * step).sum(axis=(1, 2)) <= TOLERANCE * self.c[at] * self.rows[at]]] = False
-        at = np.flatnonzero(self.moving)
-        self.trial[at] = self.w[at] - self._direction(at)
-
-    def _direction(self, at: np.ndarray) -> np.ndarray:
-        q, back = self.g[at].copy(), []
+        self.moving &= ~(bad & self.plain)
+        self.plain = np.where(live, bad, self.plain)
+        for step in self.steps:
+            step[2][bad] = 0
+        newton = np.matmul(self.inverse, self.g)
+        self.moving &= (self.g * newton).sum(axis=(1, 2)) > TOLERANCE * self.c * self.rows
+        self.trial = np.where(self.moving[:, None, None], self.w - self._direction(newton), self.trial)
+
+    def _direction(self, newton: np.ndarray) -> np.ndarray:
         dot = lambda a, b: (a * b).sum(axis=(1, 2))
-        for s, y, rho in reversed(self.steps):
-            a = rho[at] * dot(s[at], q)
-            q -= a[:, None, None] * y[at]
+        # inverse @ (g - sum of a * y) needs no further product: inverse @ y is kept with each step.
+        q, r, back = self.g.copy(), newton.copy(), []
+        for s, y, rho, iy in reversed(self.steps):
+            a = rho * dot(s, q)
+            q -= a[:, None, None] * y
+            r -= a[:, None, None] * iy
             back.append(a)
-        r = self.inverse[at] @ q
         if self.steps:
-            s, y, rho = self.steps[-1]
-            bend = dot(y[at], self.inverse[at] @ y[at])
-            r *= np.where((rho[at] > 0) & (bend > 0), 1 / np.where(rho[at] > 0, rho[at], 1) / np.where(bend > 0, bend, 1), 1.0)[:, None, None]
-        for (s, y, rho), a in zip(self.steps, reversed(back)):
-            r += s[at] * (a - rho[at] * dot(y[at], r))[:, None, None]
-        r[self.plain[at]] = (self.inverse[at] @ self.g[at])[self.plain[at]]
-        return r
+            s, y, rho, iy = self.steps[-1]
+            bend = dot(y, iy)
+            good = (rho > 0) & (bend > 0)
+            r *= np.where(good, 1 / (np.where(good, rho, 1) * np.where(good, bend, 1)), 1.0)[:, None, None]
+        for (s, y, rho, _), a in zip(self.steps, reversed(back)):
+            r += s * (a - rho * dot(y, r))[:, None, None]
+        return np.where(self.plain[:, None, None], newton, r)
 
 
 def _arrays(batch):

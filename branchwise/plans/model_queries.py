@@ -40,6 +40,15 @@ def cluster_bootstrap_tau(spark, sf):
     return tidy(R.cluster_bootstrap(v, "task_id", "tau", ["arm"], N_BOOT, 0))
 
 
+def rank_bootstrap(spark, sf):
+    """Intervals of statistics that are not sums: the median advantage, and the AUROC of the arm-A advantage for a likely
+    success in arm B."""
+    p = stored(_pairs(spark, sf), "rank-rows")
+    median = R.rank_bootstrap(p, "checkpoint_id", "y", None, N_BOOT, 2).withColumn("stat", F.lit("median"))
+    auc = R.rank_bootstrap(p, "checkpoint_id", "p", "likely", N_BOOT, 2).withColumn("stat", F.lit("auroc"))
+    return tidy(median.unionByName(auc))
+
+
 METRICS = ["value_continue", "value_intervene", "tau", "p_success_continue", "p_success_intervene"]
 
 
@@ -100,20 +109,29 @@ def size_matched_means(spark, sf):
 
 
 def ridge_battery(spark, sf):
-    """Held-out scores of three values (R2) and two class targets (accuracy, macro F1) by every feature block, on five splits
-    by game and five by rollout, and what a block gains over the observables."""
+    """Held-out R2 of three values and every feature block on five splits by game and five by rollout, and what a block gains
+    over the observables."""
+    fits = L.fit_models(L.fold_grams(Y.scheme_rows(spark, sf).select("z", "folds")), Y.battery(), ["seed_ix"])
+    name = F.split("model", r"\|")
+    fits = stored(fits.select("seed_ix", name[0].alias("target"), name[1].alias("model"), "alpha", "n_train", "n_test", "var_test", "r2"), "battery")
+    return tidy(_gained(fits, "r2", ["alpha", "n_train", "n_test", "var_test", "r2"]))
+
+
+def class_battery(spark, sf):
+    """The same for the two class targets: accuracy and macro F1 of logistic models with the penalty of each split."""
     rows = Y.scheme_rows(spark, sf)
-    fits = stored(L.fit_models(L.fold_grams(rows.select("z", "folds")), Y.battery(), ["seed_ix"]).drop("coef"), "battery")
-    name, none = F.split("model", r"\|"), F.lit(None).cast("double")
-    values = fits.select("seed_ix", name[0].alias("target"), name[1].alias("model"), "alpha", none.alias("inverse_penalty"), "n_test", "var_test", "r2", none.alias("accuracy"), none.alias("macro_f1"))
     models = C.fit_all(rows, Y.feature_blocks(), Y.CLASSES)
+    named = F.when(F.col("target") == "oracle_ix", "oracle_action").otherwise(F.col("target")).alias("target")
     k = C.chosen_scores(rows, list(Y.CLASSES), models)
-    k = k.select(F.col("split").alias("seed_ix"), F.when(F.col("target") == "oracle_ix", "oracle_action").otherwise(F.col("target")).alias("target"), "model", none.alias("alpha"), F.col("c").alias("inverse_penalty"), "n_test", none.alias("var_test"), none.alias("r2"), "accuracy", "macro_f1")
-    out = stored(values.unionByName(k).withColumn("score", F.coalesce("r2", "macro_f1")), "battery-scores")
-    base = out.where("model = 'observables'").select("seed_ix", "target", F.col("score").alias("base"))
-    out = out.join(base, ["seed_ix", "target"]).join(fits.select("seed_ix", "n_train").distinct(), "seed_ix")
-    cols = ["target", "model", "alpha", "inverse_penalty", "n_train", "n_test", "var_test", "r2", "accuracy", "macro_f1"]
-    return tidy(out.select(*Y.scheme(F.col("seed_ix")), *cols, (F.col("score") - F.col("base")).alias("delta")))
+    k = stored(k.select(F.col("split").alias("seed_ix"), named, "model", F.col("c").alias("inverse_penalty"), "n_test", "accuracy", "macro_f1"), "class-battery")
+    return tidy(_gained(k, "macro_f1", ["inverse_penalty", "n_test", "accuracy", "macro_f1"]))
+
+
+def _gained(scores, score, cols):
+    """Scores by scheme and seed with their gain over the observables: one row per split, target and block."""
+    base = scores.where("model = 'observables'").select("seed_ix", "target", F.col(score).alias("base"))
+    out = scores.join(base, ["seed_ix", "target"])
+    return out.select(*Y.scheme(F.col("seed_ix")), "target", "model", *cols, (F.col(score) - F.col("base")).alias("delta"))
 
 
 def ridge_one_feature(spark, sf):
@@ -369,6 +387,7 @@ QUERIES = {
         row_bootstrap_tau,
         paired_r2_bootstrap,
         cluster_bootstrap_tau,
+        rank_bootstrap,
         cohort_drift,
         cohort_drift_by_game,
         cohort_sizes,
@@ -376,6 +395,7 @@ QUERIES = {
         sign_stability,
         size_matched_means,
         ridge_battery,
+        class_battery,
         ridge_one_feature,
         standardised_features,
         nested_gain,
@@ -494,6 +514,17 @@ ORACLE = {
             N_BOOT,
         ),
     ),
+    "rank_bootstrap": with_views(
+        "vals",
+        f"""SELECT stat, {_CI} FROM (
+          SELECT 'median' AS stat, rep, min(y) FILTER (2 * upto >= total) AS s FROM (
+            SELECT rep, y, sum(wt) OVER (PARTITION BY rep ORDER BY y) AS upto, sum(wt) OVER (PARTITION BY rep) AS total FROM bw) GROUP BY rep
+          UNION ALL
+          SELECT 'auroc', rep, sum(wp * (upto - same / 2e0)) / (sum(wp) * sum(wn)) FROM (
+            SELECT rep, wt * likely AS wp, wt * (1 - likely) AS wn, sum(wt * (1 - likely)) OVER (PARTITION BY rep ORDER BY p) AS upto,
+              sum(wt * (1 - likely)) OVER (PARTITION BY rep, p) AS same FROM bw) GROUP BY rep) GROUP BY stat""",
+        _PAIRS + "," + boot_sql(f"SELECT y, p, likely, {h_sql('checkpoint_id')} AS h FROM ab", 2, N_BOOT),
+    ),
     "cluster_bootstrap_tau": with_views(
         "cpvals",
         f"SELECT arm, {_CI} FROM (SELECT arm, rep, sum(wt * s0) / sum(wt * m) AS s FROM bw GROUP BY ALL) GROUP BY arm",

@@ -23,14 +23,19 @@ SEEDS = [0, 1, 2, 3, 4]
 # ----------------------------------------------------------------- sources
 
 
-def _root(spark, sf) -> str:
-    """Shards written for this call: data lines, a header per shard and one cut line."""
+def shard_lines(spark, sf):
+    """(src, line) of two shards: data lines, a header per shard and one cut line."""
     b = views.branches(spark, sf)
-    root = scratch_path(spark, "shards")
     named = spark.createDataFrame([("branches.s000.jsonl",), ("branches.s001.r1.jsonl",)], "src string")
     header = named.select("src", shards.header_line("run0", ARM_B, "cafe", n_replicates=3).alias("line"))
     cut = named.where("src = 'branches.s001.r1.jsonl'").select("src", F.lit('{"checkpoint_id": "cp_x", "action": "cont').alias("line"))
-    shards.write_shards(shards.to_lines(b).unionByName(header).unionByName(cut), root)
+    return shards.to_lines(b).unionByName(header).unionByName(cut)
+
+
+def _root(spark, sf) -> str:
+    """Shards written for this call."""
+    root = scratch_path(spark, "shards")
+    shards.write_shards(shard_lines(spark, sf), root)
     return root
 
 

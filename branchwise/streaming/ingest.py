@@ -31,7 +31,11 @@ def shard_stream(spark: SparkSession, root: str, stem: str, schema: T.StructType
 
 def running_counts(records: DataFrame) -> DataFrame:
     """Counts per (checkpoint, arm, attempt); repeated branch ids count once."""
-    once = records.dropDuplicates([*KEY, "branch_id"])
+    return batch_counts(records.dropDuplicates([*KEY, "branch_id"]))
+
+
+def batch_counts(once: DataFrame) -> DataFrame:
+    """Counts per (checkpoint, arm, attempt) of records that occur once."""
     verified = F.coalesce("replay_verified", F.lit(False))
     return once.groupBy(*KEY).agg(
         *[F.sum(F.when(F.col("action") == a, 1).otherwise(0)).alias(f"n_{a}") for a in ACTIONS],
@@ -39,26 +43,29 @@ def running_counts(records: DataFrame) -> DataFrame:
     )
 
 
-def ingest(records: DataFrame, out: str, checkpoint: str) -> None:
-    """Append every new record to the table at ``out`` and stop.
+def ingest(records: DataFrame, out: str, checkpoint: str) -> int:
+    """Append every new record and the counts it adds, and stop. Returns how many records were read.
 
-    The stream keeps no state besides the list of files it has read: the file sink commits each batch once, and the same
-    checkpoint makes the next run read new files only. Records are deduplicated and counted from the table.
+    Below ``out``, ``records`` is the table of records and ``counts`` holds the counts that each batch adds, one folder per
+    batch id, written over if the batch is repeated. Branch ids met before are known to the stream's partitioned state, so a
+    later run reads new files only, and neither records nor older counts are read again.
     """
-    q = (
-        records.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    once = records.dropDuplicates([*KEY, "branch_id"])
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/records/batch={number}")
+        done = batch.sparkSession.read.parquet(f"{out}/records/batch={number}")
+        batch_counts(done).write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
+
+    q = once.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return sum(p["numInputRows"] for p in q.recentProgress)
 
 
 def current_counts(spark: SparkSession, out: str) -> DataFrame:
-    """Counts per key over all records ingested so far."""
-    return running_counts(spark.read.parquet(out))
+    """Counts per key over all records ingested so far: the batches' counts added up."""
+    counts = spark.read.parquet(f"{out}/counts")
+    return counts.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in counts.columns if c.startswith("n_")])
 
 
 def missing_units(planned: DataFrame, counts: DataFrame, n_replicates: int) -> DataFrame:

@@ -134,11 +134,12 @@ def test_text_penalty_uses_five_folds(spark):
 def test_study_queries_hold_every_curve_scheme_and_class_target(spark):
     sweep = model_queries.layer_sweep(spark, SF).collect()
     assert {(r.curve, r.layer) for r in sweep} == {(c, i) for c in ("qc", "qi", "tau", "qi_top") for i in range(4)} and len(sweep) == 16
-    battery = model_queries.ridge_battery(spark, SF).collect()
     classes, values = {"continue_success", "oracle_action"}, {"qc", "qi", "tau"}
-    cells = {(s, i, t, b) for s in ("held_out_game", "grouped_by_rollout") for i in range(5) for t in classes | values for b in study.feature_blocks()}
-    assert {(r.scheme, r.seed_ix, r.target, r.model) for r in battery} == cells and len(battery) == len(cells)
-    assert all((r.macro_f1 is None) == (r.target in values) and r.n_train > r.n_test > 0 and (r.model != "observables" or r.delta == 0) for r in battery)
+    for query, targets in ((model_queries.ridge_battery, values), (model_queries.class_battery, classes)):
+        battery = query(spark, SF).collect()
+        cells = {(s, i, t, b) for s in study.SCHEMES for i in range(5) for t in targets for b in study.feature_blocks()}
+        assert {(r.scheme, r.seed_ix, r.target, r.model) for r in battery} == cells and len(battery) == len(cells)
+        assert all(r.n_test > 0 and (r.model != "observables" or r.delta == 0) for r in battery)
     fixed = learner_queries.fixed_split_selection(spark, SF).collect()
     blocks = {"observables", "layer0", "layer1", "layer2", "layer3", "combined"}
     assert {(r.target, r.model) for r in fixed} == {(t, b) for t in classes | values for b in blocks} and len(fixed) == 30

@@ -83,12 +83,17 @@ def test_manifest_from_files(spark, tmp_path):
 
 def test_stream_equals_batch_and_resumes(spark, root, tmp_path_factory):
     out, state = scratch_path(spark, "t-ingest"), scratch_path(spark, "t-state")
-    G.ingest(G.shard_stream(spark, root, "branches", BRANCH_CORE, 1), out, state)
+    assert G.ingest(G.shard_stream(spark, root, "branches", BRANCH_CORE, 1), out, state) > 20
     batch = G.running_counts(shards.read_records(spark, root, "branches", BRANCH_CORE))
     cols = sorted(batch.columns)
     assert sorted(map(tuple, G.current_counts(spark, out).select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
     with open(f"{root}/branches.s009.late.jsonl", "w") as fh:
-        fh.write("\n".join(lines([full_group("cp_c", "")], header=False)) + "\n")
-    G.ingest(G.shard_stream(spark, root, "branches", BRANCH_CORE, 1), out, state)
+        late = lines([full_group("cp_c", "")], header=False)
+        fh.write("\n".join([*late, late[0]]) + "\n")  # one record twice
+    # Only the new file is read, and what it holds twice counts once.
+    assert G.ingest(G.shard_stream(spark, root, "branches", BRANCH_CORE, 1), out, state) == len(late) + 1
+    assert G.ingest(G.shard_stream(spark, root, "branches", BRANCH_CORE, 1), out, state) == 0
+    batch = G.running_counts(shards.read_records(spark, root, "branches", BRANCH_CORE))
+    assert sorted(map(tuple, G.current_counts(spark, out).select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
     planned = spark.createDataFrame([(c,) for c in ("cp_a", "cp_b", "cp_c", "cp_d")], "checkpoint_id string")
     assert [r[0] for r in G.missing_units(planned, G.current_counts(spark, out), 5).collect()] == ["cp_d"]
