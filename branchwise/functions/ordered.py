@@ -41,17 +41,26 @@ def numbered(
     )
 
 
+BLOCK_ROWS = 65_536
+
+
 def hash_numbered(
-    df: DataFrame, keys: list[str], seed, id_col: str, out: str, total: str | None = None
+    df: DataFrame, keys: list[str], seed, id_col: str, out: str, total: str | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """1-based position in the seeded hash order of an id column.
 
-    Hash prefixes are uniform, so 4096 of them cut any key into even blocks.
+    Hash prefixes are uniform, so they cut a key into even blocks. How many characters of the prefix a key needs follows
+    from its own row count: a block holds at most about ``block_rows`` rows, whatever the key's size.
     """
     from branchwise.functions.ids import order_hash
 
     tagged = df.withColumn("_h", order_hash(seed, F.col(id_col)))
-    return numbered(tagged, keys, F.substring("_h", 1, 3), ["_h", id_col], out, total).drop("_h")
+    if keys:
+        tagged = tagged.join(tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys)
+    else:
+        tagged = tagged.withColumn("_rows", F.lit(df.count()))  # one number
+    length = F.ceil(F.log(16.0, F.greatest(F.col("_rows") / block_rows, F.lit(1.0))))
+    return numbered(tagged, keys, F.substring("_h", F.lit(1), length.cast("int")), ["_h", id_col], out, total).drop("_h", "_rows")
 
 
 def running_sums(df: DataFrame, keys: list[str], pos: str, sums: dict[str, Column], block_size: int = 1024) -> DataFrame:

@@ -64,15 +64,17 @@ class RangeWeights:
         return out
 
 
-def pair_counts(df: DataFrame, keys: list[str], tols=PROGRESS_TOLS, gaps=VALUE_GAPS, buckets: int = 256) -> DataFrame:
+def pair_counts(df: DataFrame, keys: list[str], tols=PROGRESS_TOLS, gaps=VALUE_GAPS, bucket_cells: int = 20_000) -> DataFrame:
     """Number of pairs inside each key group under every (tolerance, gap): (tol, gap, n).
 
     Rows first merge into weighted (group, p, q) cells. Progress and value come from
     small whole numbers (step, length, successes, steps), so a group has at most a
     fixed number of cells however many rows it holds. Groups share a task by hash
-    bucket and are kept apart by an offset on the progress axis.
+    bucket and are kept apart by an offset on the progress axis; there are as many
+    buckets as give each about ``bucket_cells`` cells.
     """
-    cells = df.groupBy(*keys, "p", "q").agg(F.count(F.lit(1)).alias("w"))
+    cells = stored(df.groupBy(*keys, "p", "q").agg(F.count(F.lit(1)).alias("w")), "pair-cells")
+    buckets = max(16, -(-cells.count() // bucket_cells))
     placed = cells.withColumn("gk", F.xxhash64(*keys)).withColumn("bucket", F.pmod("gk", F.lit(buckets)))
     label = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
     placed = placed.select("bucket", label.alias("label"), "p", "q", "w")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from branchwise.functions.ordered import exact_quantiles, quantile_columns, side_by_side
 from branchwise.functions.outcomes import ACTIONS, CONTINUE, best_action, nano, regret_of, value_of
-from branchwise.operators.resample import cluster_bootstrap, sign_stability
+from branchwise.operators.resample import cluster_bootstrap, replicate_sums, safe, sign_stability
 
 # Fixed value: regret above this counts as high.
 HIGH_REGRET = 0.5
@@ -254,6 +254,26 @@ def subset_table(rows: DataFrame, subsets: dict[str, Column]) -> DataFrame:
     )
 
 
+def subset_intervals(rows: DataFrame, subsets: dict[str, Column], cluster: str, n_boot: int = 2000, seed: int = 0) -> DataFrame:
+    """(subset, sse_share_lo, sse_share_hi, dregret_lo, dregret_hi): whole clusters resampled, all subsets together.
+
+    Rows merge to one table of sums per cluster first, so overlapping subsets share each replicate's weights.
+    """
+    sums = [F.sum("dsse").alias("ts")]
+    for i, cond in enumerate(subsets.values()):
+        mine = lambda x: F.sum(F.when(cond, x).otherwise(0.0))  # noqa: B023, E731
+        sums += [mine(F.lit(1.0)).alias(f"n{i}"), mine(F.col("dsse")).alias(f"s{i}"), mine(F.col("dregret")).alias(f"r{i}")]
+    per = rows.groupBy(cluster).agg(*sums)
+    reps = replicate_sums(per, cluster, [c for c in per.columns if c != cluster], None, n_boot, seed)
+    cells = [
+        F.struct(F.lit(k).alias("subset"), (F.col(f"s{i}") / safe(F.col("ts"))).alias("share"), (F.col(f"r{i}") / safe(F.col(f"n{i}"))).alias("regret"))
+        for i, k in enumerate(subsets)
+    ]
+    long = reps.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    ends = [F.percentile(c, F.lit(p)).alias(f"{name}_{end}") for c, name in (("share", "sse_share"), ("regret", "dregret")) for p, end in ((0.025, "lo"), (0.975, "hi"))]
+    return long.groupBy("subset").agg(*ends)
+
+
 def paired_endpoint(rows: DataFrame, cluster: str, n_boot: int = 2000, seed: int = 0) -> DataFrame:
     """Mean regret difference with an interval that resamples whole clusters."""
     r = rows.withColumn("grp", F.lit("all"))

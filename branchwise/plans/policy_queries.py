@@ -149,24 +149,21 @@ def margin_deciles(spark, sf):
 
 
 def error_reduction_subsets(spark, sf):
-    moves = _moves(spark, sf)
+    """Overlapping subsets with their share of the error reduction, and intervals that resample whole games."""
+    moves = stored(_moves(spark, sf), "moves")
     # The top risk band is the lowest level of successes that occurs; one number.
     top = moves.agg(F.min("s_continue")).first()[0]
     same = F.col("choice_o") == F.col("choice_a")
-    return tidy(
-        PO.subset_table(
-            moves,
-            {
-                "agree": same,
-                "differ": ~same,
-                "obs_wrong": ~F.col("obs_right"),
-                "obs_right": F.col("obs_right"),
-                "tau<=0": F.col("tau") <= 0,
-                "tau>0": F.col("tau") > 0,
-                "top_band": F.col("s_continue") == F.lit(top),
-            },
-        )
-    )
+    subsets = {
+        "agree": same,
+        "differ": ~same,
+        "obs_wrong": ~F.col("obs_right"),
+        "obs_right": F.col("obs_right"),
+        "tau<=0": F.col("tau") <= 0,
+        "tau>0": F.col("tau") > 0,
+        "top_band": F.col("s_continue") == F.lit(top),
+    }
+    return tidy(PO.subset_table(moves, subsets).join(PO.subset_intervals(moves, subsets, "task_id", 2000, 0), "subset"))
 
 
 def paired_endpoint(spark, sf):
@@ -308,6 +305,16 @@ _STAB = (
     "coalesce(bool_and(d > 0) OR bool_and(d < 0), false) AS consistent"
 )
 
+_SUBSETS = (
+    ("agree", "c_type = c_draw"),
+    ("differ", "c_type <> c_draw"),
+    ("obs_wrong", "NOT obs_right"),
+    ("obs_right", "obs_right"),
+    ("tau<=0", "tau <= 0"),
+    ("tau>0", "tau > 0"),
+    ("top_band", "s_continue = (SELECT min(s_continue) FROM mv)"),
+)
+
 ORACLE = {
     "pair_feasibility": with_views("cpvals", "SELECT * FROM grid", _NODES),
     "pair_totals": with_views(
@@ -374,20 +381,20 @@ ORACLE = {
         tidy_sql(
             " UNION ALL ".join(
                 f"""SELECT '{name}' AS subset, count(*) FILTER ({c}) AS n, count(*) FILTER ({c}) / count(*)::DOUBLE AS share, sum(dsse) FILTER ({c}) / sum(dsse) AS sse_share,
-                avg(dregret) FILTER ({c}) AS mean_dregret FROM mv"""
-                for name, c in (
-                    ("agree", "c_type = c_draw"),
-                    ("differ", "c_type <> c_draw"),
-                    ("obs_wrong", "NOT obs_right"),
-                    ("obs_right", "obs_right"),
-                    ("tau<=0", "tau <= 0"),
-                    ("tau>0", "tau > 0"),
-                    ("top_band", "s_continue = (SELECT min(s_continue) FROM mv)"),
-                )
+                avg(dregret) FILTER ({c}) AS mean_dregret,
+                (SELECT quantile_cont(s{i} / ts, 0.025) FROM rp) AS sse_share_lo, (SELECT quantile_cont(s{i} / ts, 0.975) FROM rp) AS sse_share_hi,
+                (SELECT quantile_cont(r{i} / n{i}, 0.025) FROM rp WHERE n{i} > 0) AS dregret_lo, (SELECT quantile_cont(r{i} / n{i}, 0.975) FROM rp WHERE n{i} > 0) AS dregret_hi FROM mv"""
+                for i, (name, c) in enumerate(_SUBSETS)
             ),
-            "share sse_share mean_dregret",
+            "share sse_share mean_dregret sse_share_lo sse_share_hi dregret_lo dregret_hi",
         ),
-        _POLICY,
+        _POLICY + "," + boot_sql(
+            "SELECT task_id, sum(dsse) AS ts, "
+            + ", ".join(f"sum(({c})::INT) AS n{i}, sum(CASE WHEN {c} THEN dsse ELSE 0 END) AS s{i}, sum(CASE WHEN {c} THEN dregret ELSE 0 END) AS r{i}" for i, (_, c) in enumerate(_SUBSETS))
+            + f", {h_sql('task_id')} AS h FROM mv GROUP BY task_id",
+            0,
+            2000,
+        ) + ", rp AS (SELECT rep, sum(wt * ts) AS ts, " + ", ".join(f"sum(wt * {c}{i}) AS {c}{i}" for i in range(len(_SUBSETS)) for c in "nsr") + " FROM bw GROUP BY rep)",
     ),
     "paired_endpoint": with_views(
         "cpvals",

@@ -144,12 +144,20 @@ def _files(spark, sf):
     return p.select(F.explode(docs).alias("d")).select("d.*")
 
 
+def _tree(spark, sf):
+    """The files written as a tree and walked again, with paths below its root."""
+    root = scratch_path(spark, "tree")
+    corpus.write_tree(_files(spark, sf), root)
+    below = F.substring_index("path", root.rpartition("/")[2], -1)
+    return corpus.read_tree(spark, root).withColumn("path", below)
+
+
 def corpus_manifest(spark, sf):
-    return corpus.manifest(_files(spark, sf))
+    return corpus.manifest(_tree(spark, sf))
 
 
 def corpus_sample(spark, sf):
-    return corpus.sample_per_type(corpus.manifest(_files(spark, sf)), 3)
+    return corpus.sample_per_type(corpus.manifest(_tree(spark, sf)), 3)
 
 
 # ------------------------------------------------------------------- audit

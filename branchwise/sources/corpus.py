@@ -12,6 +12,26 @@ TRAJECTORY_FILE, GAME_FILE = "traj_data.json", "game.tw-pddl"
 EXCLUDED_MARKERS = ("movable", "Sliced")
 
 
+def write_tree(files: DataFrame, root: str) -> int:
+    """Write (path, content) rows as files below a root on any storage that pyarrow reaches; returns their number."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(root.replace("s3a://", "s3://") if "://" in root else root.removeprefix("file:"))
+        n = 0
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                target = f"{base}/{path.lstrip('/')}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(target) as f:
+                    f.write((content or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of every file below a root, listed and read in parallel."""
     files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root)

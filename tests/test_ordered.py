@@ -74,3 +74,11 @@ def test_state_signature_ignores_list_order(spark):
     df = spark.createDataFrame([(["b", "a"], [" f2", "f1 "]), (["a", "b"], ["f1", "f2"])], "c array<string>, f array<string>")
     sig = I.state_signature(F.lit(" o "), F.col("c"), F.lit(None).cast("double"), F.lit(None).cast("boolean"), F.lit(True), F.col("f"))
     assert df.select(I.signature_hash(sig)).distinct().count() == 1
+
+
+def test_hash_blocks_follow_the_row_count(spark):
+    """Positions do not depend on how finely the hash order is cut, and no block outgrows its size."""
+    df = spark.range(3000).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("k")).withColumn("k", F.when(F.col("id") < 1000, 0).otherwise(F.col("k")))
+    for keys in ([], ["k"]):
+        whole = {tuple(r) for r in hash_numbered(df, keys, 5, "id", "at").select("id", "at").collect()}
+        assert whole == {tuple(r) for r in hash_numbered(df, keys, 5, "id", "at", block_rows=20).select("id", "at").collect()}
