@@ -9,6 +9,7 @@ from branchwise.operators import classes as C
 from branchwise.operators import linear as L
 from branchwise.operators import resample as R
 from branchwise.operators import splits as P
+from branchwise.operators import transfer as T
 from branchwise.plans import study as Y
 from branchwise.plans import views
 from branchwise.plans.common import full_values, plain_values, tidy, tidy_sql, top_level
@@ -277,53 +278,45 @@ def group_ceiling(spark, sf):
 # ----------------------------------------------------------------- transfer
 
 
-def _cohort_grams(spark, sf):
-    return L.fold_grams(Y.study_rows(spark, sf), ["cohort"])
+def _transfer(spark, sf):
+    """(rows, scores, name of the largest cohort) of the transfer study: three values by observables alone and with a layer."""
+    rows, name = T.sided(Y.study_rows(spark, sf).drop("folds"))
+    rows = rows.join(top_level(rows).select("checkpoint_id").withColumn("top", F.lit(True)), "checkpoint_id", "left")
+    rows = T.with_splits(rows.withColumn("top", F.coalesce("top", F.lit(False))), "task_id", Y.SEEDS, N_DRAWS, "checkpoint_id")
+    blocks = {"observables": Y.OBS_IX} | {f"obs_layer{i}": Y.OBS_IX + Y.LAYER_IX[i] for i in range(Y.LAYERS)} | {"obs_all": Y.OBS_IX + Y.VEC_IX}
+    models = [L.Model(f"{t}|{b}", f, ix) for t, ix in Y.VALUES.items() for b, f in blocks.items()]
+    return rows, stored(T.study(rows, models, len(Y.SEEDS), N_DRAWS, "top"), "transfer"), name
+
+
+N_DRAWS = 5
+
+
+def _told(scores, name, cols):
+    """Scores by direction, target and block; a score that could not be made is null."""
+    direction = F.when(F.col("source") == 0, F.concat(F.lit(name), F.lit(" -> rest"))).otherwise(F.concat(F.lit("rest -> "), F.lit(name)))
+    part = F.split("model", r"\|")
+    kinds = dict(scores.dtypes)
+    known = [F.when(~F.isnan(c), F.col(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in cols]
+    return tidy(scores.select(direction.alias("direction"), part[0].alias("target"), part[1].alias("block"), *known))
 
 
 def frozen_transfer(spark, sf):
-    """Train on one cohort, test on the other's held-out games, against a refit there."""
-    grams = _cohort_grams(spark, sf)
-    models = [L.Model("observables", Y.OBS_IX, Y.TAU_IX), L.Model("both", Y.OBS_IX + Y.VEC_IX, Y.TAU_IX)]
-    flip = F.when(F.col("cohort") == "original", "r1").otherwise("original")
-    moved = grams.where("fold = -1").withColumn("cohort", flip).unionByName(grams.where("fold >= 0"))
-    home = L.fit_models(grams, models, ["seed_ix", "cohort"]).select("seed_ix", "cohort", "model", F.col("r2").alias("home_r2"))
-    away = L.fit_models(moved, models, ["seed_ix", "cohort"]).select(
-        "seed_ix", "cohort", "model", "alpha", "n_test", F.col("r2").alias("frozen_r2")
-    )
-    j = away.join(home, ["seed_ix", "cohort", "model"])
-    return tidy(j.withColumn("degradation", F.col("home_r2") - F.col("frozen_r2")))
+    """A model of one cohort on the other, both ways: all its rows, its games that the source never saw, and its top band,
+    against the source's own held-out games over five seeds; and the cosine of both sides' scaled coefficients."""
+    _, scores, name = _transfer(spark, sf)
+    cols = ["alpha", "n_source", "n_dest", "n_unseen", "n_band", "within_r2", "within_sd", "frozen_r2", "degradation", "unseen_r2", "band_r2", "cosine"]
+    return _told(scores, name, cols)
 
 
 def transfer_calibration(spark, sf):
-    """Direction against calibration: frozen predictions, their affine refit, and coefficient cosine."""
-    rows = stored(Y.study_rows(spark, sf, seeds=[0]), "folds")
-    model = L.Model("m", Y.OBS_IX, Y.QI_IX)
-    grams = L.fold_grams(rows, ["cohort"])
-    fits = stored(L.fit_models(grams, [model], ["seed_ix", "cohort"]).where("fold = -1"), "fits")
-    src = fits.where("cohort = 'original'").select("seed_ix", F.col("coef").alias("frozen"))
-    dst = fits.where("cohort <> 'original'").select("seed_ix", F.col("coef").alias("refit"))
-    pair = src.join(dst, "seed_ix")
-    # One pair of coefficient rows per seed.
-    d = L.seeded_rows(rows.where("cohort <> 'original'")).join(F.broadcast(pair), "seed_ix")
-    d = d.withColumns({"pf": L.dot(F.col("z"), F.col("frozen")), "pr": L.dot(F.col("z"), F.col("refit"))})
-    cal = d.where("fold >= 0").groupBy("seed_ix").agg(F.regr_slope("qi", "pf").alias("slope"), F.regr_intercept("qi", "pf").alias("icpt"))
-    t = d.where("fold = -1").join(F.broadcast(cal), "seed_ix")
-    t = t.withColumn("pc", F.col("slope") * F.col("pf") + F.col("icpt"))
-    sst = F.var_pop("qi") * F.count(F.lit(1))
-
-    def r2(p):
-        return 1 - F.sum((F.col("qi") - F.col(p)) * (F.col("qi") - F.col(p))) / F.when(sst > 0, sst)
-
-    scores = t.groupBy("seed_ix").agg(
-        F.count(F.lit(1)).alias("n_test"),
-        r2("pf").alias("frozen_r2"),
-        r2("pr").alias("refit_r2"),
-        r2("pc").alias("recalibrated_r2"),
-        F.first("slope").alias("slope"),
-    )
-    shape = pair.select("seed_ix", L.cosine(F.slice("frozen", 2, Y.N_OBS), F.slice("refit", 2, Y.N_OBS)).alias("coef_cosine"))
-    return tidy(scores.join(shape, "seed_ix"))
+    """Direction against calibration on games the source never saw: the frozen model, a refit on the other side's shared
+    games, five frozen refits on as few rows, the calibration line, recalibration on the shared games, and RMSE,
+    Pearson and Spearman."""
+    rows, scores, name = _transfer(spark, sf)
+    ranks = T.rank_correlations(rows, scores, {"qc": "qc", "qi": "qi", "tau": "tau"})
+    cols = ["alpha", "n_source", "n_unseen", "n_refit", "within_r2", "unseen_r2", "refit_r2", "frozen_minus_refit", "rmse", "pearson", "spearman", "slope", "intercept"]
+    cols += ["recalibrated_r2", "size_matched_r2", "size_matched_sd", "n_draws", "size_matched_minus_refit", "cosine_raw"]
+    return _told(scores.join(ranks, ["source", "model"], "left"), name, cols)
 
 
 def difference_of_models(spark, sf):
