@@ -20,6 +20,7 @@ from branchwise.session import scratch_path, ship_package
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 CLASHES = ["key", "block", "digest", "salt", "body", "part", "peek", "fp", "gram", "mark", "ids", "route", "size", "value", "_size_", "sha"]
+CLASHES += ["_id", "_sha", "_size", "_mark", "_key", "_own", "_nth", "_words", "row", "id", "times", "taken", "own", "nth", "words", "cut", "whole", "held", "none", "f"]
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())]
     + [T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
@@ -98,6 +99,7 @@ def test_empty_tables(spark, none):
         simhash.near_groups(none),
         simhash.keep_one(none),
         repeats.removed(none),
+        toxicity.without_toxic(none, labels),
     ):
         assert df.collect() == []
 
@@ -178,6 +180,21 @@ def test_secret_ownership(spark):
     got = {r.doc_id: r for r in secrets.secrets(d, F.col("source"), F.col("source")).collect()}
     assert got[10].spans == "opaque:4:25" and got[11].spans == "opaque:0:21" and got[10].n_live == 1
     assert all(got[i].spans == "" and got[i].n_example == 1 for i in range(6)) and got[12].n_live == 0
+    assert got[0].frequencies == "opaque:4:25:6:6" and got[10].frequencies == "opaque:4:25:1:1" and got[12].frequencies == ""
+    # One owner, copied over many of its repositories: the second count decides.
+    d = spark.createDataFrame([(i, f"see {live}", "s1", f"r{i}") for i in range(7)], "doc_id long, text string, source string, repo string")
+    assert {(r.spans, r.frequencies) for r in secrets.secrets(d, F.col("source"), F.col("repo")).collect()} == {("", "opaque:4:25:7:1")}
+
+
+def test_opaque_spans_beside_base_spans():
+    """Against the plain comparison of every candidate with every base span."""
+    rng = np.random.default_rng(6)
+    words = ["token=abcDEF123456", "deadbeef" * 4, "Zx9Kq2Lm7Pw4Rt8Vb3Nc6", "AKIA" + "Q7" * 10, "plain", "secret: Zx9Kq2Lm7Pw4Rt8Vb3Nc6/x", "'", "="]
+    for _ in range(300):
+        text = "".join(rng.choice(words) + rng.choice(["", " ", "\n", "-"]) for _ in range(rng.integers(1, 30)))
+        base = secrets.base_spans(text)
+        free = [s for s in secrets.opaque_spans(text, []) if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+        assert secrets.opaque_spans(text, base) == free
 
 
 def test_warc(spark):
@@ -197,6 +214,8 @@ def test_warc(spark):
         seen[i] += 1
         kind = "response" if first else "revisit"
         want[(i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), kind, None if first else tops.get(h or ""))] += 1
+    ranges = sum(-(-r.bytes // 4096) for r in files.collect())
+    assert warc.read(files, 4096).rdd.getNumPartitions() == ranges > 3  # a task for each range
     for step in (257, 4096, 8 << 20):
         got = warc.read(files, step, payloads=True).collect()
         assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
@@ -272,13 +291,36 @@ def test_sketch_merge():
 
 
 def test_toxicity_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01" if os.path.isdir("/root/testdata/sf0.01") else SF
+    sf = "/root/testdata/sf0.1" if os.path.isdir("/root/testdata/sf0.1") else SF
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))
     got = toxicity.severity(d, labels.where(fold > 0)).join(labels.where(fold == 0), "doc_id").toPandas()
-    assert (got.rejected == (got.toxic == 1)).mean() > 0.93
     assert got[got.toxic == 1].severity.mean() > 5 * got[got.toxic == 0].severity.mean()
-    assert (got[got.toxic == 0].rejected).mean() < 0.02
+    assert got[got.toxic == 1].rejected.mean() > 0.85 and got[got.toxic == 0].rejected.mean() < 0.03
+
+
+def test_toxicity_cut_and_sparse_fit():
+    assert toxicity.best_cut([3.0, 2.0, -1.0, -2.0], [True, True, False, False])[1:] == (1.0, 0.0)
+    assert toxicity.best_cut([3.0, 2.0, -1.0, -2.0], [True, True, False, False])[0] == pytest.approx(1 / (1 + np.exp(-0.5)))
+    assert toxicity.best_cut([1.0, 0.0], [True, True])[0] == toxicity.NO_CUT == toxicity.best_cut([], [])[0]
+    # The fit is a minimum: no small move of any weight or threshold lowers the objective.
+    rng = np.random.default_rng(3)
+    x = rng.poisson(0.4, (400, 5)) * 1.0
+    grade = np.digitize(x @ [1.0, -0.5, 0.8, 0.0, 0.3] + rng.logistic(size=400), [0.5, 1.5, 3.0])
+    row, col = np.nonzero(x)
+    w, theta = toxicity.fit_ordinal(row, col, x[row, col], 5, grade, 4, steps=4000)
+    assert (np.diff(theta) > 0).all()
+
+    def loss(w, theta):
+        up = 1 / (1 + np.exp(-((x @ w)[:, None] - theta)))
+        full = np.column_stack([np.ones(400), up, np.zeros(400)])
+        return -np.log(full[np.arange(400), grade] - full[np.arange(400), grade + 1]).mean() + 0.5e-3 * (w @ w)
+
+    for i in range(8):
+        for step in (1e-2, -1e-2):
+            p = np.concatenate([w, theta])
+            p[i] += step
+            assert loss(p[:5], p[5:]) > loss(w, theta)
 
 
 def test_toxicity_awkward(spark, docs, rows):
