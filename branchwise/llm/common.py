@@ -19,6 +19,11 @@ def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def whole_rows(docs: DataFrame) -> F.Column:
+    """All columns of a row as one struct, so that columns made beside it cannot clash with the table's own names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def slices(batches, rows: int = 200):
     """Arrow batches in pieces of a bounded number of rows."""
     for batch in batches:

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from branchwise.llm.common import ascii_lower
+from branchwise.llm.common import ascii_lower, whole_rows
 from branchwise.session import stored
 
 SALTS = 32
@@ -83,13 +83,20 @@ def _placed(grouped, winners: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns unchanged."""
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn(
-        "_sha", F.sha2(F.encode(ascii_lower(F.col(text_col)), "UTF-8"), 256)
-    )
-    same = rows["_id"].eqNullSafe(keep["_id"]) & (rows["_sha"] == keep["_sha"])
-    return rows.join(keep, same, "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    """The rows of ``docs`` that stay, all their columns unchanged, whatever their names.
+
+    A row alike in id and text to the one that stays is dropped too; texts move again only where there are such rows."""
+    id_, sha = F.col(id_col).cast("long").alias("id"), F.sha2(F.encode(ascii_lower(F.col(text_col)), "UTF-8"), 256).alias("sha")
+    rows = docs.select(id_, sha, whole_rows(docs))
+    keep = exact_groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    keep = stored(keep.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("times")), "exact-kept")
+
+    def of(part: DataFrame) -> DataFrame:
+        return rows.join(part, rows["id"].eqNullSafe(part["id"]) & (rows["sha"] == part["sha"]), "left_semi")
+
+    out = of(keep.where("times = 1")).select("row.*")
+    again = keep.where("times > 1")
+    return out if again.isEmpty() else out.unionByName(of(again).dropDuplicates(["id", "sha"]).select("row.*"))
 
 
 ORACLE = """

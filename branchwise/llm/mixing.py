@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from branchwise.llm.common import whole_rows
 from branchwise.session import stored
 
 WEIGHTS, MOST_EPOCHS, SEED, BLOCK_ROWS = (1, 2, 3), 3, 17, 2048
@@ -86,31 +87,32 @@ def _first_words(text, n) -> F.Column:
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row as often as it is taken. A row cut by the budget comes once more with its first words,
-    up to the cut; rows that are not taken do not come. Other columns are unchanged, but ``n_chars`` follows the text."""
-    columns = docs.columns
-    sized = docs.withColumn("_size", n_words(F.col(text_col))).withColumn("_mark", F.xxhash64(text_col))
+    up to the cut, joined by single spaces; rows that are not taken do not come. Other columns are unchanged, whatever
+    their names, but ``n_chars`` follows the text."""
     # The random key is drawn from id and text, so rows with one id are told apart; alike rows share what they take.
-    rows = stored(sized.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).alias("_source"), "_size", "_mark"), "mix-sizes")
-    got = mixed(rows.withColumn("_key", F.xxhash64("_id", "_mark")), "_key", "_source", "_size")
-    per_key = got.groupBy("doc_id", "source").agg(F.sum("taken").alias("_taken"), F.count(F.lit(1)).alias("_times"))
-    keyed = sized.withColumn("_key", F.xxhash64(F.col(id_col).cast("long"), "_mark"))
-    joined = keyed.join(per_key, (keyed["_key"] == per_key["doc_id"]) & keyed[source_col].eqNullSafe(per_key["source"]))
-    joined = joined.select(*[keyed[c] for c in columns], "_size", "_taken", "_times", "_key")
-    alone = joined.where("_times = 1").withColumn("_own", F.col("_taken"))
+    key = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("key")
+    sized = docs.select(key, F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), whole_rows(docs))
+    rows = stored(sized.select("key", "source", "size"), "mix-sizes")
+    got = mixed(rows, "key", "source", "size")
+    per_key = got.groupBy("doc_id", "source").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("times"))
+    joined = sized.join(per_key, (sized["key"] == per_key["doc_id"]) & sized["source"].eqNullSafe(per_key["source"]))
+    joined = joined.select("key", "size", "taken", "times", "row")
+    alone = joined.where("times = 1").withColumn("own", F.col("taken"))
     # Rows alike in id, text and source: all share evenly, the first ones one word more.
-    alike = joined.where("_times > 1")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_size"))
-    alike = alike.withColumn("_own", F.floor(F.col("_taken") / F.col("_times")) + (nth <= F.pmod("_taken", "_times")).cast("long"))
-    both = alone.unionByName(alike).where("_own > 0")
-    copies = F.ceil(F.col("_own") / F.col("_size")).cast("long")
-    out = both.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    words = F.least(F.col("_size"), F.col("_own") - (F.col("_nth") - 1) * F.col("_size"))
-    out = out.withColumn("_words", words)
-    text = F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(_first_words(F.col(text_col), F.col("_words")))
-    out = out.withColumn(text_col, text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") == F.col("_size"), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
-    return out.select(*columns)
+    alike = joined.where("times > 1")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("size"))
+    alike = alike.withColumn("own", F.floor(F.col("taken") / F.col("times")) + (nth <= F.pmod("taken", "times")).cast("long"))
+    both = alone.unionByName(alike).where("own > 0")
+    copies = F.ceil(F.col("own") / F.col("size")).cast("long")
+    out = both.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    out = out.withColumn("words", F.least(F.col("size"), F.col("own") - (F.col("nth") - 1) * F.col("size")))
+    own = lambda c: F.col("row").getField(c)
+    text, whole = own(text_col), F.col("words") == F.col("size")
+    cut = F.when(whole, text).otherwise(_first_words(text, F.col("words")))
+    out = out.select("row", cut.alias("cut"), whole.alias("whole"))
+    length = lambda kind: F.when(F.col("whole"), own("n_chars")).otherwise(F.length("cut").cast(kind))
+    made = {text_col: F.col("cut")} | ({"n_chars": length(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[made.get(c, own(c)).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from branchwise.llm.common import slices, two_columns, utf8
+from branchwise.llm.common import slices, two_columns, utf8, whole_rows
 from branchwise.llm.graph import components
 from branchwise.session import stored
 
@@ -220,7 +220,7 @@ def _keys(part: int, value: np.ndarray) -> np.ndarray:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of every row; the component is named by its smallest doc_id."""
     rows = stored(fingerprints(docs, id_col, text_col), "simhash-rows")
-    return rows.join(_named(rows, radius), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(stored(_named(rows, radius), "simhash-named"), "fp").select("doc_id", "fp", "component_id")
 
 
 def _named(rows: DataFrame, radius: int) -> DataFrame:
@@ -232,7 +232,9 @@ def _named(rows: DataFrame, radius: int) -> DataFrame:
         return nodes.select("fp", F.col("fp").alias("component"), F.col("first_id").alias("component_id"))
     label = _labels(nodes, n, radius)
     joined = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # Written tables on both sides: Spark can then split the rows of a large component over tasks.
+    joined = stored(joined.select("fp", "component", "first_id"), "simhash-joined")
+    least = stored(joined.groupBy("component").agg(F.min("first_id").alias("component_id")), "simhash-least")
     return joined.join(least, "component").select("fp", "component", "component_id")
 
 
@@ -292,16 +294,26 @@ def _labels(nodes: DataFrame, n: int, radius: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, that with the smallest id, of equal ids the smallest hash of
-    the text. A row whose id is null stays where no row of its component has an id."""
-    _id, _sha = F.col(id_col).cast("long"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    the text. A row whose id is null stays where no row of its component has an id. All columns stay unchanged, whatever
+    their names; of rows alike in id and text one stays.
+
+    The rule is the operator's own: components of fingerprints of 4-word shingles at most ``RADIUS`` bits apart."""
+    id_, sha = F.col(id_col).cast("long").alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha")
     rows = stored(fingerprints(docs, id_col, text_col, sha=True), "simhash-rows")
     # Equal texts have one fingerprint, so (id, hash of the text) lies in one component and names its row.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("f")
-    per = rows.groupBy("fp").agg(first).join(_named(rows, RADIUS), "fp")
-    keep = per.groupBy("component").agg(F.min("f").alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.sha").alias("_sha"))
-    out = docs.withColumns({"_id": _id, "_sha": _sha})
-    same = out["_id"].eqNullSafe(keep["_id"]) & (out["_sha"] == keep["_sha"])
-    return out.join(keep, same, "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    per = rows.groupBy("fp").agg(first).join(stored(_named(rows, RADIUS), "simhash-named"), "fp")
+    keep = per.groupBy("component").agg(F.min("f").alias("f")).select(F.col("f.doc_id").alias("id"), F.col("f.sha").alias("sha"))
+    mine = rows["doc_id"].eqNullSafe(keep["id"]) & (rows["sha"] == keep["sha"])
+    keep = stored(rows.join(keep, mine).groupBy(keep["id"], keep["sha"]).agg(F.count(F.lit(1)).alias("times")), "simhash-kept")
+    whole = docs.select(id_, sha, whole_rows(docs))
+
+    def of(part: DataFrame) -> DataFrame:
+        return whole.join(part, whole["id"].eqNullSafe(part["id"]) & (whole["sha"] == part["sha"]), "left_semi")
+
+    out = of(keep.where("times = 1")).select("row.*")
+    again = keep.where("times > 1")
+    return out if again.isEmpty() else out.unionByName(of(again).dropDuplicates(["id", "sha"]).select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
