@@ -2,8 +2,9 @@
 
 A first pass finds base matches (assignments, access keys, hex runs) and further candidates: long mixed strings that no
 base match covers. Values leave that pass only as SHA-256 hashes. Hashes are counted by distinct repositories and
-owners: a value seen with many owners is a copied example, one that belongs to few owners looks live. Candidates that
-look live become spans of kind ``opaque``; base spans always stay, and each gets its verdict.
+owners: a value with more than ``MOST_OWNERS`` owners or more than ``MOST_REPOS`` repositories is a copied example, any
+other looks live. Candidates that look live become spans of kind ``opaque``; base spans always stay, and each finding is
+returned with its value's two counts.
 
 Counting goes through distinct (hash, owner, repository) rows that combine before the shuffle, so a value copied into
 a third of all documents is one row per repository and task. In ``documents`` the owner is ``source`` and the
@@ -19,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +39,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 LEAST_BITS = 3.5
-MOST_OWNERS = 3
+MOST_OWNERS, MOST_REPOS = 3, 6
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -54,12 +57,15 @@ def entropy(value: str) -> float:
 
 def opaque_spans(text: str, base: list) -> list[tuple[int, int, str, str]]:
     """Long strings of mixed classes and high entropy that overlap no base span."""
-    out, k = [], 0
+    out = []
+    starts, ends = [s[0] for s in base], list(accumulate((s[1] for s in base), max))
     for m in OPAQUE.finditer(text):
         v = m[0]
         if not (re.search("[0-9]", v) and re.search("[a-z]", v) and re.search("[A-Z]", v)) or entropy(v) < LEAST_BITS:
             continue
-        if not any(s < m.end() and m.start() < e for s, e, _, _ in base):
+        # Of the base spans that begin before its end, the one that reaches farthest tells.
+        before = bisect_left(starts, m.end())
+        if not before or ends[before - 1] <= m.start():
             out.append((m.start(), m.end(), "opaque", v))
     return out
 
@@ -110,30 +116,34 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def secrets(
-    docs: DataFrame, owner, repo, id_col: str = "doc_id", text_col: str = "text", most_owners: int = MOST_OWNERS
+    docs: DataFrame, owner, repo, id_col: str = "doc_id", text_col: str = "text", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS
 ) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, and frequencies
+    (kind:start:end:repositories:owners of every finding, copied examples included)."""
     rows = stored(scan(docs, id_col, text_col, owner, repo), "secrets")
     cands = rows.where(F.size("found") > 0).select("doc_id", "owner", "repo", "base_sha256", F.explode("found").alias("f"))
     verdict = ownership(cands.select(F.col("f.value").alias("value"), "owner", "repo"))
-    verdict = verdict.select("value", (F.col("owners") <= most_owners).alias("live"))
+    verdict = verdict.withColumn("live", (F.col("owners") <= most_owners) & (F.col("repos") <= most_repos))
     # Rows with one id may differ in text: spans are gathered per written row, named by id and its list of candidates.
     own = F.xxhash64(F.to_json("found"))
     flat = rows.where(F.size("found") > 0).select("doc_id", own.alias("mark"), F.explode("found").alias("f")).distinct()
     judged = flat.withColumn("value", F.col("f.value")).join(verdict, "value")
-    kept = F.struct("f.at", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("f.kind")).alias("rank"), "f.stop", "f.kind")
+    kept = F.struct("f.at", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("f.kind")).alias("rank"), "f.stop", "f.kind", "repos", "owners", "live")
     marks = judged.groupBy("doc_id", "mark").agg(
-        F.sort_array(F.collect_list(F.when((F.col("f.kind") != "opaque") | F.col("live"), kept))).alias("kept"),
+        F.sort_array(F.collect_list(kept)).alias("found"),
         F.count(F.when(F.col("live"), 1)).alias("n_live"),
         F.count(F.when(~F.col("live"), 1)).alias("n_example"),
     )
-    text = F.concat_ws(",", F.transform("kept", lambda s: F.concat_ws(":", s["kind"], s["at"].cast("string"), s["stop"].cast("string"))))
+    line_of = lambda s, *more: F.concat_ws(":", s["kind"], *[s[c].cast("string") for c in ("at", "stop", *more)])
+    kept = F.filter("found", lambda s: (s["kind"] != "opaque") | s["live"])
+    text = F.concat_ws(",", F.transform(kept, lambda s: line_of(s)))
+    counts = F.concat_ws(",", F.transform("found", lambda s: line_of(s, "repos", "owners")))
     base = rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", own.alias("mark"))
     same = base["doc_id"].eqNullSafe(marks["doc_id"]) & (base["mark"] == marks["mark"])
     zero = F.lit(0).cast("long")
     return base.join(marks, same, "left").select(
         base["doc_id"], "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(text, F.lit("")).alias("spans"),
-        F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"),
+        F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"), F.coalesce(counts, F.lit("")).alias("frequencies"),
     )
 
 
