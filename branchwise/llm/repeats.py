@@ -289,6 +289,8 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
         covers = covers.unionByName(_scan(groups, length))
     # Every cover holds its anchor, so those of one context are one run.
     runs = covers.groupBy("c1", "c2").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    # Written first, so that Spark can split the rows of a context that very many places share.
+    runs = stored(runs, "repeat-runs")
     found = rows.select("doc_id", "mark", "pos", "c1", "c2").join(runs, ["c1", "c2"])
     return found.select("doc_id", "mark", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("stop"))
 
