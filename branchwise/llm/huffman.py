@@ -18,13 +18,14 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from branchwise.llm.common import filesystem, slices
-from branchwise.llm.tokens import default_vocabulary, token_table
+from branchwise.llm.tokens import counted, default_vocabulary, token_table
 from branchwise.session import scratch_path, stored
 
 MAGIC, BLOCK, MAX_BITS, TASK_IDS = b"BWHUFF01", 1024, 18, 4 << 20
@@ -195,6 +196,12 @@ def decode(buffer: np.ndarray, offsets: np.ndarray, table, block: int) -> np.nda
     return out.T
 
 
+@lru_cache(maxsize=2)
+def _shared_table(lengths: bytes):
+    """The table of a header's code lengths; files of one run have one code, so a worker makes it once."""
+    return decode_table(np.frombuffer(lengths, np.uint8))
+
+
 class Reader:
     """One file: header and footer, then ids from any block on."""
 
@@ -216,7 +223,7 @@ class Reader:
         self.nulls = np.frombuffer(raw, "u1", n_docs, n_docs * 8)
         self.counts = np.frombuffer(raw[n_docs * 9 : n_docs * 17], "<i8")
         self.offsets = np.frombuffer(raw[n_docs * 17 :], "<i8")
-        self.table = decode_table(self.lengths)
+        self.table = _shared_table(self.lengths.tobytes())
 
     def ids(self, start: int, stop: int, step: int = 2048):
         """Arrays of the ids start..stop, some blocks at a time."""
@@ -237,7 +244,9 @@ def read(files: DataFrame, task_ids: int = TASK_IDS) -> DataFrame:
     import pyarrow as pa
 
     step = F.sequence(F.lit(0).cast("long"), F.col("n_ids") - 1, F.lit(task_ids).cast("long"))
-    ranges = files.where("n_ids > 0").select("path", "base", F.explode(step).alias("low")).repartition("path", "low")
+    # One row a file tells how many ranges there are; with that number given, no ranges are merged into one task.
+    n = files.where("n_ids > 0").agg(F.sum(F.ceil(F.col("n_ids") / task_ids))).first()[0]
+    ranges = files.where("n_ids > 0").select("path", "base", F.explode(step).alias("low")).repartition(int(n or 1))
 
     def run(batches):
         for b in batches:
@@ -267,28 +276,11 @@ def read(files: DataFrame, task_ids: int = TASK_IDS) -> DataFrame:
     return ranges.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def id_counts(tokens: DataFrame, n_ids: int) -> np.ndarray:
-    """Global counts of all ids: one partial row per id and task, at most the vocabulary at the driver."""
-    import pyarrow as pa
-
-    def run(batches):
-        total = np.zeros(n_ids, np.int64)
-        for b in slices(batches, 500):
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u2"), minlength=n_ids)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
-
-    out = np.zeros(n_ids, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r["id"]] = r["n"]
-    return out
-
-
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts, write the files, and read them back."""
     spark = docs.sparkSession
-    tokens = stored(token_table(docs, vocabulary, id_col, text_col), "ids")
-    lengths = code_lengths(id_counts(tokens, 1 << 16))
+    tokens, counts = counted(token_table(docs, vocabulary, id_col, text_col, counts=True), "ids")
+    lengths = code_lengths(counts)
     placed = tokens.repartitionByRange("doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", F.crc32("ids"))
     files = write(placed, lengths, scratch_path(spark, "id-files"))
     # One row a file: its place in the order of first ids gives the ids before it.

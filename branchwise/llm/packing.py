@@ -23,30 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from branchwise.llm.common import slices
-from branchwise.llm.tokens import default_vocabulary, distinct, token_table
-from branchwise.session import stored
+from branchwise.llm.tokens import counted, default_vocabulary, distinct, token_table
 
 WINDOW, SHARD_IDS, SHARD_DOCS, K1, B = 1024, 1 << 19, 2048, 1.2, 0.75
 
 
-def document_frequencies(tokens: DataFrame) -> np.ndarray:
-    """In how many documents each id occurs: one partial row per id and task, the vocabulary at the driver."""
-    import pyarrow as pa
-
-    def run(batches):
-        total = np.zeros(1 << 16, np.int64)
-        for b in slices(batches, 500):
-            for ids in b.column(0).to_pylist():
-                total[distinct(np.frombuffer(ids, "<u2"))[0]] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
-
-    out = np.zeros(1 << 16, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r["id"]] = r["n"]
-    return out
-
-
 class Index:
     """Inverted index of a shard: postings (document, BM25 weight) by term."""
 
@@ -122,9 +103,8 @@ def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     import pyarrow as pa
     from pyspark import TaskContext
 
-    tokens = stored(token_table(docs, vocabulary, id_col, text_col, signature=True), "pack-ids")
+    tokens, df = counted(token_table(docs, vocabulary, id_col, text_col, signature=True, counts=True), "pack-ids")
     n, total = tokens.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
-    df = document_frequencies(tokens)
     idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
     mean = (total or 1) / max(n, 1)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"

@@ -32,8 +32,8 @@ PIECES = re.compile(
 #: Pieces that the pattern leaves whole.
 WHOLE = re.compile(rf" ?(?:[{LETTERS}]+|[0-9]+|[!-&(-/:-@\[-`{{-~]+)\Z")
 NAME = re.compile(rf"[{LETTERS}]+\Z")
-#: A space that does not begin a word.
-LOOSE = re.compile(rf" (?:[{SPACE}]|\Z)")
+#: The same white space, character by character.
+SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
 END_ID = 0
 PARTS, WORDS, LONG, MET = 500_000, 100_000, 64, 1 << 22
 
@@ -94,6 +94,10 @@ class Words(Table):
         return self.keep(piece, ids)
 
 
+class Loose(Exception):
+    """A space that does not begin a word: white space or the end follows it."""
+
+
 class Parts(Table):
     """What follows a space, up to the next one, to ids (of the space too)."""
 
@@ -102,6 +106,8 @@ class Parts(Table):
         self.words, self.space = words, words.letters[32]
 
     def __missing__(self, part: str) -> bytes:
+        if not part or part[0] in SPACES:
+            raise Loose
         if NAME.match(part):
             ids = self.words.merged(self.space + self.words.shown(part))
         elif part[-1] in ",.;:!?" and NAME.match(part[:-1]):
@@ -140,11 +146,12 @@ class Encoder:
             return b""
         if not self.splits or any(s in text for s in self.special):
             return self.direct([text])[0]
-        if LOOSE.search(text):
-            return b"".join(map(self.words.__getitem__, PIECES.findall(text)))
         first, *rest = text.split(" ")
-        head = b"".join(map(self.words.__getitem__, PIECES.findall(first)))
-        return head + b"".join(map(self.parts.__getitem__, rest))
+        try:
+            tail = b"".join(map(self.parts.__getitem__, rest))
+        except Loose:
+            return b"".join(map(self.words.__getitem__, PIECES.findall(text)))
+        return b"".join(map(self.words.__getitem__, PIECES.findall(first))) + tail
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null counts as empty. Texts holding a special token's string go whole to the library."""
@@ -168,31 +175,68 @@ def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[first], np.diff(np.append(first, len(s)))
 
 
-def token_table(docs, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", signature: bool = False):
+def counts_of(ids: list[np.ndarray]) -> np.ndarray:
+    """How often each id occurs in these arrays."""
+    return np.bincount(np.concatenate(ids), minlength=1 << 16)
+
+
+def token_table(docs, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", signature: bool = False, counts: bool = False):
     """(doc_id, n_tokens, ids) of every whole text, the end id appended; null text counts as empty.
 
     ``signature`` adds ``route``: 32 sign bits of a fixed random projection of the text's distinct ids, so texts with
-    similar vocabulary tend to sort near each other.
+    similar vocabulary tend to sort near each other. With ``counts``, ids are counted in the same pass (with a signature the
+    texts that hold them): a task's sums follow its texts as one more row with n_tokens -1, which ``counted`` takes off.
     """
     import pyarrow as pa
     from pyspark.sql import functions as F
 
     schema = "doc_id long, n_tokens long, ids binary" + (", route long" if signature else "")
+    names = ["doc_id", "n_tokens", "ids", "route"][: 4 if signature else 3]
     end = np.array([END_ID], "<u2").tobytes()
 
     def run(batches):
-        enc = encoder(vocabulary)
+        enc, total = encoder(vocabulary), np.zeros(1 << 16, np.int64)
         signs = np.random.default_rng(42).integers(0, 2, (enc.size, 32), np.int8) * 2 - 1 if signature else None
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
                 ids = [b + end for b in enc.encode(part.column(1).to_pylist())]
                 cols = [part.column(0), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(ids, pa.binary())]
+                arrays = [np.frombuffer(b, "<u2") for b in ids]
+                if signature:
+                    arrays = [distinct(x)[0] for x in arrays]
+                if counts and arrays:
+                    total += counts_of(arrays)
                 if signature:
-                    marks = [signs[distinct(np.frombuffer(b, "<u2"))[0]].sum(axis=0, dtype=np.int32) > 0 for b in ids]
+                    marks = [signs[x].sum(axis=0, dtype=np.int32) > 0 for x in arrays]
                     packed = np.packbits(np.array(marks), axis=1).view(">u4").ravel() if marks else np.zeros(0)
                     cols.append(pa.array(packed.astype(np.int64)))
-                names = ["doc_id", "n_tokens", "ids", "route"][: len(cols)]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        if total.any():
+            row = [pa.array([None], pa.int64()), pa.array([-1]), pa.array([total.astype("<i8").tobytes()], pa.binary()), pa.array([0])]
+            yield pa.RecordBatch.from_arrays(row[: len(names)], names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def counted(table, name: str):
+    """The written token table, and its counts over all texts: a number per id of the vocabulary at the driver."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from branchwise.session import stored
+
+    def run(batches):
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                total += np.frombuffer(data, "<i8")
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+
+    written = stored(table, name)
+    out = np.zeros(1 << 16, np.int64)
+    sums = written.where("n_tokens = -1").select("ids").mapInArrow(run, "id long, n long")
+    for r in sums.groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r["id"]] = r["n"]
+    return written.where("n_tokens >= 0"), out

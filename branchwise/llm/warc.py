@@ -174,7 +174,9 @@ def read(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = Fals
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
     names = [c.split()[0] for c in schema.split(", ")]
     step = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))
-    ranges = files.where("bytes > 0").select("path", "bytes", F.explode(step).alias("start")).repartition("path", "start")
+    # One row a file tells how many ranges there are; with that number given, no ranges are merged into one task.
+    n = files.where("bytes > 0").agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0]
+    ranges = files.where("bytes > 0").select("path", "bytes", F.explode(step).alias("start")).repartition(int(n or 1))
 
     def run(batches):
         for b in batches:
