@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from branchwise.functions.ordered import numbered, side_by_side
+from branchwise.functions.ordered import numbered, range_totals, side_by_side
 from branchwise.functions.outcomes import nano
 from branchwise.session import stored
 
@@ -64,38 +64,68 @@ class RangeWeights:
         return out
 
 
+def _halves(cells: DataFrame, keys: list[str], reach: int, block_cells: int) -> DataFrame:
+    """Cells as sides of work units: (unit columns ``ba``, ``bb``; ``side`` 0 asks, 1 answers, 2 does both).
+
+    A group's cells in (p, q) order are cut into blocks of ``block_cells``. A unit is one block with itself, or two blocks
+    whose progress ranges come within ``reach``, so no unit holds more than two blocks and each pair of cells meets once.
+    """
+    placed = cells.withColumn("at", F.struct("p", "q")).withColumn("one", F.lit(1).cast("bigint"))
+    placed = range_totals(placed, keys, "at", "one", "pair-blocks")
+    placed = stored(placed.select(*keys, "p", "q", "w", F.floor((F.col("upto") - 1) / block_cells).alias("blk")), "pair-blocked")
+    ends = placed.groupBy(*keys, "blk").agg(F.min("p").alias("p0"), F.max("p").alias("p1"))
+    far = ends.select(*keys, F.col("blk").alias("bb"), F.col("p0").alias("far0"))
+    near = ends.select(*keys, F.col("blk").alias("ba"), "p1").join(far, keys).where((F.col("ba") < F.col("bb")) & (F.col("far0") - F.col("p1") <= reach))
+    ask = near.select(*keys, "ba", "bb", F.col("ba").alias("blk"), F.lit(0).alias("side"))
+    answer = near.select(*keys, "ba", "bb", F.col("bb").alias("blk"), F.lit(1).alias("side"))
+    own = ends.select(*keys, F.col("blk").alias("ba"), F.col("blk").alias("bb"), "blk", F.lit(2).alias("side"))
+    units = ask.unionByName(answer).unionByName(own)
+    return placed.join(units, [*keys, "blk"]).select(*keys, "p", "q", "w", "ba", "bb", "side")
+
+
 def pair_counts(df: DataFrame, keys: list[str], tols=PROGRESS_TOLS, gaps=VALUE_GAPS, bucket_cells: int = 20_000) -> DataFrame:
     """Number of pairs inside each key group under every (tolerance, gap): (tol, gap, n).
 
-    Rows first merge into weighted (group, p, q) cells. Progress and value come from
-    small whole numbers (step, length, successes, steps), so a group has at most a
-    fixed number of cells however many rows it holds. Groups share a task by hash
-    bucket and are kept apart by an offset on the progress axis; there are as many
-    buckets as give each about ``bucket_cells`` cells.
+    Rows first merge into weighted (group, p, q) cells. Groups of up to ``bucket_cells`` cells share a task by hash bucket
+    and are kept apart by an offset on the progress axis. A larger group is cut into blocks along progress, and its
+    pairs are counted block against block, so it spreads over tasks however many cells it has. There are as many
+    buckets as give each about ``bucket_cells`` cells. A group whose key is null is counted, but never cut.
     """
-    cells = stored(df.groupBy(*keys, "p", "q").agg(F.count(F.lit(1)).alias("w")), "pair-cells")
-    buckets = max(16, -(-cells.count() // bucket_cells))
-    placed = cells.withColumn("gk", F.xxhash64(*keys)).withColumn("bucket", F.pmod("gk", F.lit(buckets)))
-    label = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
-    placed = placed.select("bucket", label.alias("label"), "p", "q", "w")
     steps, seps = [int(round(t * NANO)) for t in tols], [int(round(g * NANO)) for g in gaps]
+    cells = stored(df.groupBy(*keys, "p", "q").agg(F.count(F.lit(1)).alias("w")), "pair-cells")
+    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("cells"))
+    most = sizes.agg(F.max("cells")).first()[0] or 0
+    whole = [F.lit(0).cast("bigint").alias("ba"), F.lit(0).cast("bigint").alias("bb"), F.lit(2).alias("side")]
+    sides = cells.select("*", *whole)
+    if most > bucket_cells:
+        big = sizes.where(F.col("cells") > bucket_cells).select(*keys)
+        small = cells.join(big, keys, "left_anti").select("*", *whole)
+        sides = stored(small.unionByName(_halves(cells.join(big, keys, "left_semi"), keys, max(steps), bucket_cells)), "pair-sides")
+    buckets = max(16, -(-sides.count() // bucket_cells))
+    label = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in [*keys, "ba", "bb"]])
+    placed = sides.select(F.pmod(F.xxhash64(*keys, "ba", "bb"), F.lit(buckets)).alias("bucket"), label.alias("label"), "p", "q", "w", "side")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         code = pd.factorize(pdf["label"])[0].astype(np.int64)
-        span = int(pdf["p"].max() - pdf["p"].min()) + max(steps) + 1
-        pos = code * (span + max(steps) + 1) + (pdf["p"].to_numpy() - pdf["p"].min())
-        order = np.argsort(pos, kind="stable")
-        pos, q, w = pos[order], pdf["q"].to_numpy()[order], pdf["w"].to_numpy()[order].astype(float)
-        levels, rank = np.unique(q, return_inverse=True)
-        tree = RangeWeights(rank.astype(np.int64), w, len(levels))
+        span = int(pdf["p"].max() - pdf["p"].min()) + 2 * max(steps) + 2
+        pos = code * span + (pdf["p"].to_numpy() - pdf["p"].min())
+        q, w, side = pdf["q"].to_numpy(), pdf["w"].to_numpy().astype(float), pdf["side"].to_numpy()
+        there = np.flatnonzero(side != 0)
+        there = there[np.argsort(pos[there], kind="stable")]
+        asks = np.flatnonzero(side != 1)
+        levels, rank = np.unique(q[there], return_inverse=True)
+        tree = RangeWeights(rank.astype(np.int64), w[there], len(levels))
+        at, qa = pos[asks], q[asks]
+        # A unit of one block meets each pair from both ends.
+        share = np.where(side[asks] == 2, 1, 2) * w[asks]
         rows = []
         for t, tol in zip(steps, tols):
-            lo, hi = np.searchsorted(pos, pos - t, "left"), np.searchsorted(pos, pos + t, "right")
-            everything = tree.below(lo, hi, np.full(len(q), len(levels), dtype=np.int64))
+            lo, hi = np.searchsorted(pos[there], at - t, "left"), np.searchsorted(pos[there], at + t, "right")
+            everything = tree.below(lo, hi, np.full(len(qa), len(levels), dtype=np.int64))
             for s, gap in zip(seps, gaps):
-                under = tree.below(lo, hi, np.searchsorted(levels, q - s, "right"))
-                over = everything - tree.below(lo, hi, np.searchsorted(levels, q + s, "left"))
-                rows.append((tol, gap, int(round(float(w @ (under + over)) / 2))))
+                under = tree.below(lo, hi, np.searchsorted(levels, qa - s, "right"))
+                over = everything - tree.below(lo, hi, np.searchsorted(levels, qa + s, "left"))
+                rows.append((tol, gap, int(round(float(share @ (under + over)) / 2))))
         return pd.DataFrame(rows, columns=["tol", "gap", "n"])
 
     part = placed.groupBy("bucket").applyInPandas(count, "tol double, gap double, n bigint")
@@ -204,29 +234,64 @@ def _mutual_best(nd: DataFrame, tol: int, sep: int) -> DataFrame:
     return both.select(F.col("id").alias("a"), F.col("other").alias("b"), "dp", (-F.col("ndq")).alias("dq"))
 
 
-def greedy_matching(nd: DataFrame, tol: float = MATCH_TOL, gap: float = MATCH_GAP) -> DataFrame:
-    """Greedy matching without replacement: tightest progress first, then the larger value gap.
-
-    Runs in rounds until no edge is left: an edge first in the order at both ends is
-    what the sequential rule would take. Each round ends in a written table, so a
-    lost executor repeats one round at most. The driver only sees round counts.
+def _in_one_task(nd: DataFrame, tol: int, sep: int) -> DataFrame:
+    """The sequential rule itself on games small enough for a task: all edges in order, each taken if both ends are free."""
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        ids, p, q = pdf["id"].to_numpy(), pdf["p"].to_numpy(), pdf["q"].to_numpy()
+        rollout = pd.factorize(pdf["rollout"])[0]
+        i, j = np.triu_indices(len(ids), 1)
+        dp, dq = np.abs(p[i] - p[j]), np.abs(q[i] - q[j])
+        ok = (dp <= tol) & (dq >= sep) & (rollout[i] != rollout[j])
+        i, j, dp, dq = i[ok], j[ok], dp[ok], dq[ok]
+        taken = []
+        order = np.lexsort((j, i, -dq, dp))
+        while len(order):
+            # A slice is walked edge by edge; what its pairs use up leaves the rest at once.
+            used = np.zeros(len(ids), dtype=bool)
+            for e in order[:4096]:
+                if not (used[i[e]] or used[j[e]]):
+                    used[i[e]] = used[j[e]] = True
+                    taken.append(e)
+            order = order[4096:]
+            order = order[~(used[i[order]] | used[j[order]])]
+        return pd.DataFrame({"a": ids[i[taken]], "b": ids[j[taken]], "dp": dp[taken], "dq": dq[taken]})
+
+    kind = nd.schema["id"].dataType.simpleString()
+    return nd.select("game", "id", "rollout", "p", "q").groupBy("game").applyInPandas(match, f"a {kind}, b {kind}, dp bigint, dq bigint")
+
+
+def greedy_matching(nd: DataFrame, tol: float = MATCH_TOL, gap: float = MATCH_GAP, task_nodes: int = 1_000) -> DataFrame:
+    """Greedy matching without replacement: tightest progress first, then the larger value gap, then the ids.
+
+    Games never share an edge. A game of up to ``task_nodes`` nodes is matched by the sequential rule inside a task. A larger
+    one runs in rounds: an edge first in the order at both ends is what the sequential rule would take. Once no more
+    than ``task_nodes`` of its nodes can still be matched, a task ends it, so a long tail of competing edges costs one
+    job and not a round for each. Each step ends in a written table, so a lost executor repeats one step at
+    most. The driver only sees counts. Nodes without a game, progress, value or rollout have no edges.
     """
     t, s = int(round(tol * NANO)), int(round(gap * NANO))
-    left, done = stored(nd, "nodes"), []
+    done, left = [], nd.dropna(subset=["game", "rollout", "p", "q"])
     while True:
+        left = stored(left, "nodes")
+        sizes = left.groupBy("game").agg(F.count(F.lit(1)).alias("nodes"))
+        big = stored(sizes.where(F.col("nodes") > task_nodes).select("game"), "big-games")
+        done.append(stored(_in_one_task(left.join(big, "game", "left_anti"), t, s), "matched"))
+        if big.isEmpty():
+            break
+        left = left.join(big, "game", "left_semi")
         found = 0
         for step in (lambda d: _equal_progress(d, s), lambda d: _mutual_best(d, t, s)):
+            left = stored(left, "nodes")
             pairs = stored(step(left), "matched")
             n = pairs.count()
             if n:
                 found += n
                 done.append(pairs)
-                used = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-                left = stored(left.join(used, "id", "left_anti"), "nodes")
+                left = left.join(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_anti")
         if not found:
             break
-    if not done:
-        return left.select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("p").alias("dp"), F.col("q").alias("dq")).where(F.lit(False))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -42,6 +42,27 @@ def test_counts_equal_brute_force(spark, seed):
             assert r["n_cross_opposite"] == sum(a[2] != b[2] and a[5] != b[5] for a, b, *_ in es)
 
 
+@pytest.mark.parametrize("seed, block", [(0, 3), (1, 7), (2, 20)])
+def test_a_large_game_is_counted_block_against_block(spark, seed, block):
+    nodes = random_nodes(seed, 80, p_levels=21, hot=True)
+    nd = spark.createDataFrame(nodes, SCHEMA)
+    for keys, at in ((["game"], (1,)), (["game", "oracle"], (1, 5))):
+        got = {(r["tol"], r["gap"]): r["n"] for r in PR.pair_counts(nd, keys, bucket_cells=block).collect()}
+        for tol in PR.PROGRESS_TOLS:
+            for gap in PR.VALUE_GAPS:
+                es = edges(nodes, round(tol * 1e9), round(gap * 1e9))
+                assert got[tol, gap] == sum(all(a[k] == b[k] for k in at) for a, b, *_ in es)
+
+
+def test_no_unit_holds_more_than_two_blocks(spark):
+    nodes = [(f"n{i}", "hot", f"r{i % 5}", i * 1_000_000, i * 3_000_000, "c") for i in range(900)]
+    cells = spark.createDataFrame(nodes, SCHEMA).groupBy("game", "p", "q").agg(F.count(F.lit(1)).alias("w"))
+    sides = PR._halves(cells, ["game"], 250_000_000, 50)
+    per = sides.groupBy("ba", "bb").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("side").alias("k")).collect()
+    assert max(r["n"] for r in per) <= 100
+    assert sum(r["ba"] == r["bb"] for r in per) == 18 and sum(r["ba"] != r["bb"] for r in per) < 18 * 17 / 2
+
+
 def test_range_weights():
     rng = np.random.default_rng(0)
     r, w = rng.integers(0, 13, 90), rng.random(90)
@@ -53,18 +74,41 @@ def test_range_weights():
     assert t.below(lo, hi, x) == pytest.approx(want)
 
 
+@pytest.mark.parametrize("task_nodes", [0, 12, 1_000])
 @pytest.mark.parametrize("seed, hot, levels", [(3, False, 6), (4, True, 2), (5, True, 1)])
-def test_rounds_equal_the_sequential_greedy(spark, seed, hot, levels):
+def test_matching_equals_the_sequential_greedy(spark, seed, hot, levels, task_nodes):
     nodes = random_nodes(seed, 50, p_levels=levels, hot=hot)
     used, want = set(), set()
     for a, b, dp, dq in sorted(edges(nodes, 150_000_000, 500_000_000), key=lambda e: (e[2], -e[3], e[0][0], e[1][0])):
         if a[2] != b[2] and not {a[0], b[0]} & used:
             used |= {a[0], b[0]}
             want.add((a[0], b[0], dp, dq))
-    got = PR.greedy_matching(spark.createDataFrame(nodes, SCHEMA)).collect()
+    got = PR.greedy_matching(spark.createDataFrame(nodes, SCHEMA), task_nodes=task_nodes).collect()
     assert {(r["a"], r["b"], r["dp"], r["dq"]) for r in got} == want and len(got) == len(want)
 
 
+def test_a_chain_of_competing_edges_takes_one_step(spark, monkeypatch):
+    """Progress gaps shrink along a line of nodes, so each edge waits for the next: rounds alone need half its length."""
+    at, nodes = 0, []
+    for i in range(60):
+        nodes.append((f"n{i:03d}", "g", f"r{i}", at, (i % 2) * 600_000_000, "c"))
+        at += 149_000_000 - i * 1_000_000
+    calls = []
+    monkeypatch.setattr(PR, "_mutual_best", lambda *a, real=PR._mutual_best: calls.append(1) or real(*a))
+    got = {(r["a"], r["b"]) for r in PR.greedy_matching(spark.createDataFrame(nodes, SCHEMA)).collect()}
+    assert got == {(f"n{i:03d}", f"n{i + 1:03d}") for i in range(0, 60, 2)} and not calls
+    part = {(r["a"], r["b"]) for r in PR.greedy_matching(spark.createDataFrame(nodes, SCHEMA), task_nodes=56).collect()}
+    assert part == got and len(calls) <= 3
+
+
+def test_matching_of_no_nodes_and_of_nulls(spark):
+    assert PR.greedy_matching(spark.createDataFrame([], SCHEMA)).count() == 0
+    nodes = [("a", "g", "r1", 0, 0, "c"), ("b", "g", None, 0, 900_000_000, "c"), ("c", None, "r2", 0, 900_000_000, "c"), ("d", "g", "r3", None, 900_000_000, "c")]
+    nodes += [("e", "g", "r4", 1, None, "c"), ("f", "g", "r5", 2, 900_000_000, "c")]
+    got = PR.greedy_matching(spark.createDataFrame(nodes, SCHEMA)).collect()
+    assert [(r["a"], r["b"], r["dp"], r["dq"]) for r in got] == [("a", "f", 2, 900_000_000)]
+
+
 def test_threshold_choice(spark):
     g = spark.createDataFrame([(0.05, 0.5, 10), (0.10, 0.5, 60), (0.15, 0.5, 90), (0.05, 0.25, 500)], "tol double, gap double, n_cross_opposite long")
     r = PR.threshold_choice(g).first()
