@@ -42,7 +42,8 @@ def binned(levels: DataFrame, keys: list[str], risk: str = "risk", weight: str =
 def risk_levels(values: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
     """Mergeable statistics per distinct risk level.
 
-    Grouping is on the whole-number counts behind the ratio, not on the float.
+    Grouping is on the whole-number counts behind the ratio, not on the float. Without a weight they include ``dev_tau``, the
+    squared deviation of the advantage from its level's mean, which keeps its digits however far the mean lies from zero.
     """
     w = F.lit(1) if weight is None else weight
     tau = F.col("tau")
@@ -52,23 +53,32 @@ def risk_levels(values: DataFrame, keys: list[str], weight: Column | None = None
         F.sum(F.col("value_intervene") * w).alias("sum_intervene"),
         F.sum(F.col("oracle_value") * w).alias("sum_best"),
         F.sum(tau * w).alias("sum_tau"),
-        F.sum(tau * tau * w).alias("sum_tau2"),
         F.min("tau").alias("min_tau"),
         F.max("tau").alias("max_tau"),
     ]
     sums += [F.sum(F.when(F.col("oracle_action") == a, w).otherwise(0)).alias(f"best_{a}") for a in ACTIONS]
+    if weight is None:
+        sums.append((F.var_pop("tau") * F.count("tau")).alias("dev_tau"))
     g = values.groupBy(*keys, "n_continue", "s_continue").agg(*sums)
     return g.withColumn("risk", F.lit(1.0) - F.col("s_continue") / nonzero(F.col("n_continue")))
 
 
-MERGE_SUM = ["n", "sum_continue", "sum_intervene", "sum_best", "sum_tau", "sum_tau2"] + [f"best_{a}" for a in ACTIONS]
+MERGE_SUM = ["n", "sum_continue", "sum_intervene", "sum_best", "sum_tau"] + [f"best_{a}" for a in ACTIONS]
 
 
 def band_stats(values: DataFrame, keys: list[str], weight: Column | None = None, n_bins: int = N_BINS) -> DataFrame:
     """Statistics per band."""
     banded = binned(risk_levels(values, keys, weight), keys, n_bins=n_bins)
+    sums = list(MERGE_SUM)
+    if weight is None:
+        # Levels of a band merge by their own deviations and those of their means; a key has few levels.
+        band = Window.partitionBy(*keys, "bin")
+        mean = F.sum("sum_tau").over(band) / F.sum("n").over(band)
+        apart = F.col("sum_tau") / F.col("n") - mean
+        banded = banded.withColumn("dev_tau", F.col("dev_tau") + F.col("n") * apart * apart)
+        sums.append("dev_tau")
     return banded.groupBy(*keys, "bin").agg(
-        *[F.sum(c).alias(c) for c in MERGE_SUM],
+        *[F.sum(c).alias(c) for c in sums],
         F.sum(F.col("risk") * F.col("n")).alias("sum_risk"),
         F.min("min_tau").alias("min_tau"),
         F.max("max_tau").alias("max_tau"),
@@ -103,15 +113,14 @@ def conflict_detail(bands: DataFrame) -> DataFrame:
 
 
 def tau_spread(bands: DataFrame) -> DataFrame:
-    """Spread of the intervention advantage inside each band of two rows or more."""
+    """Spread of the intervention advantage inside each (unweighted) band of two rows or more."""
     n = F.col("n")
-    var = (F.col("sum_tau2") - F.col("sum_tau") * F.col("sum_tau") / n) / nonzero(n - 1)
     return bands.where("n >= 2").select(
-        *[c for c in bands.columns if c not in MERGE_SUM + ["sum_risk"]],
+        *[c for c in bands.columns if c not in MERGE_SUM + ["sum_risk", "dev_tau"]],
         "n",
         (F.col("sum_risk") / n).alias("risk_mean"),
         (F.col("sum_tau") / n).alias("tau_mean"),
-        F.sqrt(F.greatest(var, F.lit(0.0))).alias("tau_sd"),
+        F.sqrt(F.col("dev_tau") / nonzero(n - 1)).alias("tau_sd"),
         ((F.col("min_tau") < 0) & (F.col("max_tau") > 0)).alias("straddles_zero"),
     )
 

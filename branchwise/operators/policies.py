@@ -142,6 +142,33 @@ def marginal_by_level(scored_rows: DataFrame, poor: str, rich: str, level: str =
     return sign_stability(per.withColumn("delta", F.col("a") - F.col("b")), [level], "delta")
 
 
+def level_contrasts(scored_rows: DataFrame, contrasts: dict[str, tuple[str, str]], level: str = "s_continue") -> DataFrame:
+    """Regret saved per risk level in each named (poorer, richer) contrast, with sign stability over seeds.
+
+    A contrast is scored on a level only if both policies were scored there in the same number of splits; otherwise its
+    statistics are null and ``n_poor``, ``n_rich`` tell why.
+    """
+    per = scored_rows.groupBy("seed", "policy", level).agg(F.avg("regret").alias("regret"))
+    sides = F.array(
+        *[
+            F.struct(F.lit(name).alias("contrast"), F.lit(policy).alias("policy"), F.lit(i).alias("rich"))
+            for name, pair in contrasts.items()
+            for i, policy in enumerate(pair)
+        ]
+    )
+    wanted = per.select("*", F.explode(F.filter(sides, lambda x: x["policy"] == F.col("policy"))).alias("x"))
+    rich = F.col("x.rich") == 1
+    split = wanted.groupBy(F.col("x.contrast").alias("contrast"), level, "seed").agg(
+        F.max(F.when(~rich, F.col("regret"))).alias("a"), F.max(F.when(rich, F.col("regret"))).alias("b")
+    )
+    split = split.withColumn("delta", F.col("a") - F.col("b"))
+    counts = split.groupBy("contrast", level).agg(F.count("a").alias("n_poor"), F.count("b").alias("n_rich"))
+    stable = sign_stability(split, ["contrast", level], "delta")
+    j = counts.join(stable.drop("n_splits", "n_scored"), ["contrast", level])
+    scored = (F.col("n_poor") == F.col("n_rich")) & (F.col("n_poor") > 0)
+    return j.select("contrast", level, "n_poor", "n_rich", *[F.when(scored, F.col(c)).alias(c) for c in ("mean", "sd", "consistent")])
+
+
 STRATA = ("task_type", "quartile", "error_quartile", "oracle_action", "tau_sign")
 
 

@@ -272,6 +272,26 @@ def cohort_sizes(df: DataFrame, cohort: str, min_cohort: int = 25) -> DataFrame:
     return s.join(one, cohort, "left").withColumn("is_reference", F.coalesce("is_reference", F.lit(False)))
 
 
+def compared(df: DataFrame, cohort: str, min_cohort: int = 25) -> tuple[DataFrame, str | None]:
+    """Rows of the cohorts large enough to compare, and the reference: the largest one, the first by name among equals.
+
+    There are few cohorts, and one name comes to the driver. Rows without a cohort are not compared.
+    """
+    sizes = cohort_sizes(df.where(F.col(cohort).isNotNull()), cohort, min_cohort).where("compared")
+    ref = sizes.where("is_reference").first()
+    return df.join(sizes.select(cohort), cohort, "left_semi"), ref[cohort] if ref else None
+
+
+def shared_strata(df: DataFrame, cohort: str, stratum: str, reference: str | None) -> DataFrame:
+    """Per other cohort: strata it has in common with the reference, and strata of either."""
+    cells = df.select(cohort, stratum).distinct()
+    mine = cells.where(F.col(cohort) == F.lit(reference)).select(stratum, F.lit(1).alias("ref"))
+    other = cells.where(F.col(cohort) != F.lit(reference)).join(mine, stratum, "left")
+    per = other.groupBy(F.col(cohort).alias("other")).agg(F.count("ref").alias("n_shared"), F.count(F.lit(1)).alias("n_own"))
+    total = mine.agg(F.count(F.lit(1)).alias("n_ref"))  # one row
+    return per.join(F.broadcast(total)).select("other", "n_shared", (F.col("n_own") + F.col("n_ref") - F.col("n_shared")).alias("n_strata"))
+
+
 def composition(df: DataFrame, cohort: str, stratum: str) -> DataFrame:
     """Share of each stratum inside each cohort."""
     per = df.groupBy(cohort, stratum).agg(F.count(F.lit(1)).alias("n"))

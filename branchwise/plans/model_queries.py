@@ -58,22 +58,36 @@ def _cohorts(spark, sf):
     return stored(v.select("checkpoint_id", "cohort", "task_type", "task_id", "t", *METRICS), "cohorts")
 
 
+def _drift(v):
+    """(rows of the compared cohorts, reference, stratified differences of all metrics)."""
+    v, ref = R.compared(v, "cohort")
+    return v, ref, R.stratified_difference(v, "checkpoint_id", "cohort", "task_type", METRICS, ref, N_BOOT, 0)
+
+
 def cohort_drift(spark, sf):
-    """Raw and stratified cohort differences for five metrics."""
-    v = _cohorts(spark, sf)
-    strat = R.stratified_difference(v, "checkpoint_id", "cohort", "task_type", METRICS, "original", N_BOOT, 0)
+    """Raw and stratified differences of each compared cohort to the largest one, for five metrics."""
+    v, ref, strat = _drift(_cohorts(spark, sf))
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS])
     means = v.select("cohort", F.explode(rows).alias("r")).groupBy("cohort", "r.metric").agg(F.avg("r.x").alias("m"))
-    a = means.where("cohort = 'original'").select("metric", F.col("m").alias("ref_mean"))
-    b = means.where("cohort <> 'original'").select("metric", F.col("cohort").alias("other"), F.col("m").alias("other_mean"))
+    a = means.where(F.col("cohort") == F.lit(ref)).select("metric", F.col("m").alias("ref_mean"))
+    b = means.where(F.col("cohort") != F.lit(ref)).select("metric", F.col("cohort").alias("other"), F.col("m").alias("other_mean"))
     raw = a.join(b, "metric").withColumn("raw_diff", F.col("ref_mean") - F.col("other_mean"))
     return tidy(strat.join(raw, ["other", "metric"]))
 
 
+def cohort_verdict(spark, sf):
+    """Per compared cohort: the reference, strata in common, how many metrics still differ after stratifying, and whether
+    pooling the two is sound."""
+    v, ref, strat = _drift(_cohorts(spark, sf))
+    per = strat.groupBy("other").agg(F.count(F.lit(1)).alias("n_metrics"), F.count_if("differs").alias("n_differ"))
+    j = R.shared_strata(v, "cohort", "task_type", ref).join(per, "other", "left").fillna(0, ["n_metrics", "n_differ"])
+    return j.select("other", F.lit(ref).alias("reference"), "n_shared", "n_strata", "n_metrics", "n_differ", (F.col("n_differ") == 0).alias("poolable"))
+
+
 def cohort_drift_by_game(spark, sf):
     """The stricter form: strata are games. Work is strata x replicates."""
-    v = _cohorts(spark, sf)
-    return tidy(R.stratified_difference(v, "checkpoint_id", "cohort", "task_id", ["tau"], "original", N_BOOT, 0))
+    v, ref = R.compared(_cohorts(spark, sf), "cohort")
+    return tidy(R.stratified_difference(v, "checkpoint_id", "cohort", "task_id", ["tau"], ref, N_BOOT, 0))
 
 
 def cohort_sizes(spark, sf):
@@ -382,6 +396,7 @@ QUERIES = {
         cluster_bootstrap_tau,
         rank_bootstrap,
         cohort_drift,
+        cohort_verdict,
         cohort_drift_by_game,
         cohort_sizes,
         cohort_composition,
@@ -441,16 +456,21 @@ ab AS (
   FROM vals a JOIN vals b USING (checkpoint_id) WHERE a.arm = 'A_replication' AND b.arm = 'B_montecarlo')"""
 
 
+_COMPARED = """
+cmp AS (SELECT * FROM cpvals WHERE arm = 'B_montecarlo' QUALIFY count(*) OVER (PARTITION BY cohort) >= 25),
+ref AS (SELECT cohort FROM cmp GROUP BY cohort ORDER BY count(*) DESC, cohort LIMIT 1),"""
+
+
 def _strat_sql(stratum: str, metrics: list[str], n: int) -> str:
     cols = ", ".join(metrics)
     sums = ", ".join(f"sum(wt * {m}) AS {m}" for m in metrics)
-    rows = boot_sql(f"SELECT cohort, {stratum} AS st, {cols}, {h_sql('checkpoint_id')} AS h FROM cpvals WHERE arm = 'B_montecarlo'", 0, n)
+    rows = boot_sql(f"SELECT cohort, {stratum} AS st, {cols}, {h_sql('checkpoint_id')} AS h FROM cmp", 0, n)
     per = " UNION ALL ".join(
         f"SELECT b.cohort AS other, '{m}' AS metric, rep, sum((a.w + b.w) * (a.{m} / a.w - b.{m} / b.w)) / sum(a.w + b.w) AS s "
-        f"FROM ss a JOIN ss b USING (st, rep) WHERE a.cohort = 'original' AND b.cohort <> 'original' AND a.w >= 2 AND b.w >= 2 GROUP BY ALL"
+        f"FROM ss a JOIN ss b USING (st, rep) WHERE a.cohort = (FROM ref) AND b.cohort <> (FROM ref) AND a.w >= 2 AND b.w >= 2 GROUP BY ALL"
         for m in metrics
     )
-    return rows + f""",
+    return _COMPARED + rows + f""",
 ss AS (SELECT cohort, st, rep, sum(wt)::DOUBLE AS w, {sums} FROM bw GROUP BY ALL),
 dd AS ({per}),
 ci AS (SELECT other, metric, {_CI}, quantile_cont(s, 0.025) > 0 OR quantile_cont(s, 0.975) < 0 AS differs FROM dd GROUP BY ALL)"""
@@ -527,10 +547,19 @@ ORACLE = {
         "cpvals",
         "SELECT ci.*, round(ref_mean, 6) + 0e0 AS ref_mean, round(other_mean, 6) + 0e0 AS other_mean, round(ref_mean - other_mean, 6) + 0e0 AS raw_diff FROM ci JOIN ("
         + " UNION ALL ".join(
-            f"SELECT '{m}' AS metric, avg({m}) FILTER (cohort = 'original') AS ref_mean, avg({m}) FILTER (cohort <> 'original') AS other_mean FROM cpvals WHERE arm = 'B_montecarlo'"
+            f"SELECT cohort AS other, '{m}' AS metric, (SELECT avg({m}) FROM cmp WHERE cohort = (FROM ref)) AS ref_mean, avg({m}) AS other_mean FROM cmp WHERE cohort <> (FROM ref) GROUP BY cohort"
             for m in METRICS
         )
-        + ") USING (metric)",
+        + ") USING (other, metric)",
+        _strat_sql("task_type", METRICS, N_BOOT),
+    ),
+    "cohort_verdict": with_views(
+        "cpvals",
+        """SELECT o.other, (FROM ref) AS reference, o.n_shared, o.n_strata, coalesce(c.k, 0) AS n_metrics, coalesce(c.d, 0) AS n_differ, coalesce(c.d, 0) = 0 AS poolable
+        FROM (SELECT cohort AS other, count(DISTINCT task_type) FILTER (task_type IN (SELECT task_type FROM cmp WHERE cohort = (FROM ref))) AS n_shared,
+            (SELECT count(DISTINCT task_type) FROM cmp x WHERE x.cohort IN (cmp.cohort, (FROM ref))) AS n_strata
+          FROM cmp WHERE cohort <> (FROM ref) GROUP BY cohort) o
+        LEFT JOIN (SELECT other, count(*) AS k, count(*) FILTER (differs) AS d FROM ci GROUP BY other) c USING (other)""",
         _strat_sql("task_type", METRICS, N_BOOT),
     ),
     "cohort_drift_by_game": with_views("cpvals", "SELECT * FROM ci", _strat_sql("task_id", ["tau"], N_BOOT)),

@@ -19,6 +19,17 @@ from branchwise.session import stored
 
 SIMPLE = ["floor_continue", "floor_intervene", "floor_quit", "risk_only", "type_mean", "draw", "ceiling"]
 CONTRASTS = [("risk_only", "type_mean"), ("type_mean", "draw"), ("floor_intervene", "draw")]
+# What each contrast per risk level asks: of a policy that cannot intervene, of the risk level alone, of less knowledge.
+LEVEL_CONTRASTS = {
+    "no_intervene": ("floor_continue", "type_mean"),
+    "risk_level": ("risk_only", "type_mean"),
+    "knowledge": ("type_mean", "draw"),
+}
+LADDER_CONTRASTS = {
+    "no_intervene": ("no_intervene", "stacked"),
+    "risk_level": ("risk_only", "stacked"),
+    "knowledge": ("stacked", "with_vectors"),
+}
 
 
 # -------------------------------------------------------------------- pairs
@@ -204,13 +215,27 @@ def _ladder_rows(spark, sf):
     return full.withColumnRenamed("seed_ix", "seed").withColumn("is_test", F.col("fold") < 0)
 
 
-def policy_ladder(spark, sf):
-    """The whole ladder, from constant actions to the true-value ceiling."""
+def _ladder_scored(spark, sf):
     rows = stored(_ladder_rows(spark, sf), "predictions")
     mean_qi = rows.where(~F.col("is_test")).groupBy("seed").agg(F.avg("qi").alias("mean_qi"))
     test = PO.with_risk_choice(rows).join(F.broadcast(mean_qi), "seed")
     d = PO.choices(test, PO.ladder(F.col("mean_qi")), ["seed", "checkpoint_id", "s_continue", "qc", "qi"])
-    return tidy(PO.evaluate(stored(PO.scored(d), "ladder-decisions"), ["seed", "policy"]))
+    return stored(PO.scored(d), "ladder-decisions")
+
+
+def policy_ladder(spark, sf):
+    return tidy(PO.evaluate(_ladder_scored(spark, sf), ["seed", "policy"]))
+
+
+def ladder_level_contrasts(spark, sf):
+    """The three contrasts per risk level between fitted policies."""
+    return tidy(PO.level_contrasts(_ladder_scored(spark, sf), LADDER_CONTRASTS))
+
+
+def level_contrasts(spark, sf):
+    """Three contrasts per risk level: one against a policy that cannot intervene, one for knowing more than the risk
+    level, one for the richer knowledge itself."""
+    return tidy(PO.level_contrasts(_decisions(spark, sf), LEVEL_CONTRASTS))
 
 
 QUERIES = {
@@ -225,12 +250,14 @@ QUERIES = {
         policy_contrasts,
         regret_by_level,
         marginal_value_by_level,
+        level_contrasts,
         decision_transitions,
         margin_deciles,
         error_reduction_subsets,
         paired_endpoint,
         error_strata,
         policy_ladder,
+        ladder_level_contrasts,
     )
 }
 
@@ -368,6 +395,18 @@ ORACLE = {
         ),
         _POLICY,
     ),
+    "level_contrasts": with_views(
+        "cpvals",
+        """SELECT contrast, s_continue::BIGINT AS s_continue, count(a) AS n_poor, count(b) AS n_rich,
+          CASE WHEN count(a) = count(b) AND count(a) > 0 THEN round(avg(a - b), 6) + 0e0 END AS mean,
+          CASE WHEN count(a) = count(b) AND count(a) > 0 THEN round(coalesce(stddev_samp(a - b), 0e0), 6) + 0e0 END AS sd,
+          CASE WHEN count(a) = count(b) AND count(a) > 0 THEN coalesce(bool_and(a - b > 0) OR bool_and(a - b < 0), false) END AS consistent
+        FROM (SELECT contrast, seed, s_continue, avg(regret) FILTER (policy = poor) AS a, avg(regret) FILTER (policy = rich) AS b
+          FROM dec, (VALUES """
+        + ", ".join(f"('{n}', '{a}', '{b}')" for n, (a, b) in LEVEL_CONTRASTS.items())
+        + """) w(contrast, poor, rich) WHERE policy IN (poor, rich) GROUP BY ALL) GROUP BY contrast, s_continue""",
+        _POLICY,
+    ),
     "marginal_value_by_level": with_views(
         "cpvals",
         f"""SELECT s_continue::BIGINT AS s_continue, {_STAB} FROM (

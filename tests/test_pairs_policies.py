@@ -150,3 +150,13 @@ def test_transition_contributions_add_up(spark):
     assert sum(r["regret_contribution"] for r in table) == pytest.approx(t.agg(F.avg("dregret")).first()[0])
     assert sum(r["sse_share"] for r in table) == pytest.approx(1.0)
     assert {r["category"] for r in table} == {"unchanged", "fixed", "broken", "wrong_to_wrong"}
+
+
+def test_level_contrasts_need_equal_splits(spark):
+    rows = [(s, p, lv, r) for s in (0, 1) for p, r in (("poor", 1.0 + s), ("rich", 0.5)) for lv in (0, 1)]
+    rows = [x for x in rows if x[:3] != (1, "rich", 1)] + [(0, "poor", 2, 1.0)]
+    got = PO.level_contrasts(spark.createDataFrame(rows, "seed int, policy string, s_continue int, regret double"), {"k": ("poor", "rich")})
+    by = {r["s_continue"]: r for r in got.collect()}
+    assert (by[0]["n_poor"], by[0]["mean"], by[0]["consistent"]) == (2, 1.0, True) and by[0]["sd"] == pytest.approx(0.5**0.5)
+    assert (by[1]["n_poor"], by[1]["n_rich"], by[1]["mean"]) == (2, 1, None)
+    assert (by[2]["n_rich"], by[2]["mean"]) == (0, None)

@@ -110,3 +110,14 @@ def test_rank_bootstrap_equals_plain_resampling(spark, size):
         got = R.rank_bootstrap(df, "id", "x", label, 50, 4, size).first()
         assert got.n_reps == 50 and got.boot_mean == pytest.approx(np.mean(want))
         assert (got.lo, got.hi) == pytest.approx(tuple(np.percentile(want, [2.5, 97.5])))
+
+
+def test_reference_is_the_largest_cohort_and_tiny_ones_stay_out(spark):
+    rows = [("a", "x")] * 30 + [("b", "x")] * 20 + [("b", "y")] * 20 + [("c", "z")] * 5 + [(None, "x")] * 60
+    df = spark.createDataFrame(rows, "cohort string, kind string")
+    kept, ref = R.compared(df, "cohort")
+    assert ref == "b" and kept.count() == 70
+    got = [tuple(r) for r in R.shared_strata(kept, "cohort", "kind", ref).collect()]
+    assert got == [("a", 1, 2)]
+    none, ref = R.compared(df.where("cohort = 'c'"), "cohort")
+    assert ref is None and none.count() == 0 and R.shared_strata(none, "cohort", "kind", ref).count() == 0

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,16 @@ def test_many_levels_use_quantile_edges(spark):
     data = np.repeat(vals, [1 + i % 3 for i in range(60)])
     edges = np.quantile(data, np.linspace(0, 1, 11)[1:-1])
     assert got == {v: int(np.searchsorted(edges, v)) for v in vals}
+
+
+def test_spread_keeps_its_digits_far_from_zero(spark):
+    rng = np.random.default_rng(0)
+    rows = [("B", 40, int(k), 0.0, 1e6 + float(x), 1e6, 1e6 + float(x), "intervene") for k, x in zip(rng.integers(0, 30, 400), rng.normal(0, 1e-3, 400))]
+    df = spark.createDataFrame(rows, "arm string, n_continue long, s_continue long, value_continue double, value_intervene double, oracle_value double, tau double, oracle_action string")
+    bands = B.band_stats(df, ["arm"])
+    levels = {r["risk"]: r["bin"] for r in B.binned(B.risk_levels(df, ["arm"]), ["arm"]).collect()}
+    by = {}
+    for r in rows:
+        by.setdefault(levels[1.0 - r[2] / r[1]], []).append(r[6])
+    got = {r["bin"]: r["tau_sd"] for r in B.tau_spread(bands).collect()}
+    assert len(got) == 10 and got == {b: pytest.approx(np.std(x, ddof=1), rel=1e-5) for b, x in by.items()}
