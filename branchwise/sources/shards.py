@@ -86,8 +86,8 @@ def header_line(run_id: str, arm: str, config_hash: str, **extra) -> Column:
 
 
 def write_shards(lines: DataFrame, root: str) -> None:
-    """Append (src, line) rows: one folder per shard, committed per task."""
-    lines.select("line", F.col("src").alias("shard")).write.mode("append").partitionBy("shard").text(root)
+    """Append (src, line) rows: one folder per shard, committed per task; JSON lines repeat their names, so files are gzipped."""
+    lines.select("line", F.col("src").alias("shard")).write.mode("append").partitionBy("shard").text(root, compression="gzip")
 
 
 def to_lines(df: DataFrame, src: str = "src") -> DataFrame:

@@ -82,3 +82,14 @@ def test_hash_blocks_follow_the_row_count(spark):
     for keys in ([], ["k"]):
         whole = {tuple(r) for r in hash_numbered(df, keys, 5, "id", "at").select("id", "at").collect()}
         assert whole == {tuple(r) for r in hash_numbered(df, keys, 5, "id", "at", block_rows=20).select("id", "at").collect()}
+
+
+def test_numbering_cuts_only_large_keys_and_keeps_null_ones(spark):
+    """Keys of few rows are met whole in one exchange; cut keys and null keys are numbered alike."""
+    key = F.when(F.col("id") % 7 == 0, None).when(F.col("id") < 300, 1).otherwise(F.col("id"))
+    df = spark.range(500).select(key.alias("k"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("v"), "id")
+    w = Window.partitionBy("k").orderBy("v", "id")
+    want = {tuple(r) for r in df.select("id", F.row_number().over(w), F.count("id").over(Window.partitionBy("k"))).collect()}
+    for rows in (10, 10_000):
+        got = numbered(df, ["k"], F.floor(F.col("v") / 50), ["v", "id"], "pos", "total", task_rows=rows)
+        assert {tuple(r) for r in got.select("id", "pos", "total").collect()} == want

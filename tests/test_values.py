@@ -189,3 +189,25 @@ def test_spread_keeps_its_digits_far_from_zero(spark):
         by.setdefault(levels[1.0 - r[2] / r[1]], []).append(r[6])
     got = {r["bin"]: r["tau_sd"] for r in B.tau_spread(bands).collect()}
     assert len(got) == 10 and got == {b: pytest.approx(np.std(x, ddof=1), rel=1e-5) for b, x in by.items()}
+
+
+def test_attempt_statistics_move_rows_once(spark):
+    """Repeated ids, sums and the chosen attempt follow in the task that a checkpoint was dealt to; odd ids stay apart."""
+    rows = full_group("a", "branches.s000.jsonl") + full_group("a", "branches.s001.r1.jsonl", 4)
+    odd = [(i, "a", ARM, "continue", "branches.s000.jsonl", 9, True, 1, True) for i in ("=::x", "a=::x", "::x", "!a", "a", "a")]
+    chosen = V.select_attempts(V.attempt_stats(frame(spark, rows + odd)))
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    r = chosen.first()
+    assert (r["src"], r["n_records"], r["n_kept"], r["n_continue"]) == ("branches.s000.jsonl", 17, 16, 10)
+
+
+def test_shards_are_written_compressed(spark, tmp_path):
+    from branchwise.sources import shards
+    from branchwise.sources.schemas import BRANCH_CORE
+
+    root = str(tmp_path / "shards")
+    shards.write_shards(shards.to_lines(frame(spark, full_group("a", "branches.s000.jsonl"))), root)
+    files = [f.name for f in (tmp_path / "shards").rglob("part-*")]
+    assert files and all(f.endswith(".gz") for f in files)
+    assert shards.read_records(spark, root, "branches", BRANCH_CORE).count() == 11
