@@ -5,6 +5,8 @@ labels. One scan adds up losses and gradients of all models that are still movin
 The Hessian needs no scan: p(1 - p) <= 1/4 (two classes) and diag(p) - pp' <= 1/2 (more) bound it by a multiple of
 the fold cross products (``linear.fold_grams``), which are made once. Newton steps with that bound always descend, and a
 short history of steps (L-BFGS with the bound as its start) makes them few; a step that does not descend is taken back.
+With many rows the first steps are taken on a small sample, which only says where to begin: every model then moves on all
+rows until its gradient there is as small as without that start.
 
 Coefficients and their history are models x features numbers whatever the rows, so they stay with the driver.
 The objective is 0.5 |w|^2 + C * sum of losses on features scaled by the split's train rows, intercepts free.
@@ -20,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from branchwise.operators.linear import class_metrics_of_counts, fold_grams, scaler
+from branchwise.session import stored
 
 # The inverse-penalty grid of the reference results.
 CS = (1e-4, 1e-3, 1e-2, 1e-1, 1e0)
 NONE = -9  # the mask that leaves no fold out
-TOLERANCE, MAX_STEPS, HISTORY, CHUNK = 1e-10, 200, 6, 512
+TOLERANCE, MAX_STEPS, HISTORY, CHUNK = 1e-10, 200, 6, 128
+#: Rows that the first steps are taken on where there are many more; all rows decide where a model ends.
+START_ROWS = 20_000
 
 
 @dataclass
@@ -51,6 +56,12 @@ class Models:
         self.steps: list[tuple[np.ndarray, ...]] = []
         self.moving, self.plain = np.ones(m, bool), np.zeros(m, bool)
 
+    def again(self) -> None:
+        """Begin anew at the present point, with the curvature of the steps so far."""
+        m = len(self.split)
+        self.trial, self.f = self.w.copy(), np.full(m, np.inf)
+        self.moving, self.plain = np.ones(m, bool), np.zeros(m, bool)
+
     def raw(self, w: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.scale[at] @ w[at]
 
@@ -117,6 +128,42 @@ def _scores(z: np.ndarray, cols: list[int], w: np.ndarray, absent: np.ndarray) -
     return s if w.shape[2] == 1 else s + absent[None]
 
 
+def _two(x: np.ndarray, w: np.ndarray, used: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Gradients and losses of two-class models, one after the other; passes are in place over a small chunk."""
+    s = x @ w[:, :, 0].T
+    e = np.exp(-np.abs(s))
+    d, up = e + 1, (s > 0).astype(float)
+    p = np.maximum(e, up)
+    p /= d
+    p -= y
+    p *= used
+    loss = np.log(d)
+    loss += s * (up - y)
+    loss *= used
+    return np.concatenate([(x.T @ p).ravel(), loss.sum(axis=0)])
+
+
+def _more(x: np.ndarray, w: np.ndarray, used: np.ndarray, y: np.ndarray, absent: np.ndarray) -> np.ndarray:
+    """The same with one score per class; an absent class has probability 0."""
+    classes = range(w.shape[2])
+    s = [x @ w[:, :, k].T + absent[None, :, k] for k in classes]
+    top = np.maximum.reduce(s)
+    own, total = -top, np.zeros_like(top)
+    for k in classes:
+        hit = y == k
+        own[hit] += s[k][hit]
+        s[k] -= top
+        np.exp(s[k], out=s[k])
+        total += s[k]
+    inverse, g = used / total, []
+    for k in classes:
+        s[k] *= inverse
+        s[k] -= used * (y == k)[:, None]
+        g.append(x.T @ s[k])
+    loss = np.where(used > 0, np.log(total) - own, 0)
+    return np.concatenate([np.stack(g, axis=2).ravel(), loss.sum(axis=0)])
+
+
 def _slopes(rows: DataFrame, targets: list[str], models: list[Models]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Losses and raw gradients at the trial points of the moving models, one scan for all."""
     import pyarrow as pa
@@ -126,34 +173,24 @@ def _slopes(rows: DataFrame, targets: list[str], models: list[Models]) -> dict[i
         at = np.flatnonzero(m.moving)
         if len(at):
             tasks.append((key, targets.index(m.target), m.cols, m.raw(m.trial, at), m.split[at], m.out[at], m.absent[at]))
+    # Rows that a model sees depend on its split and left-out fold only.
+    masks = sorted({(int(s), int(o)) for t in tasks for s, o in zip(t[4], t[5])})
+    place = {x: i for i, x in enumerate(masks)}
+    seen = [np.array([place[(int(s), int(o))] for s, o in zip(t[4], t[5])]) for t in tasks]
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
+        split, out = (np.array(x) for x in zip(*masks))
         for b in batches:
             if not b.num_rows:
                 continue
             z, folds, labels = _arrays(b)
             for i in range(0, len(z), CHUNK):
-                zi, fi = z[i : i + CHUNK], folds[i : i + CHUNK]
-                for key, t, cols, w, split, out, absent in tasks:
-                    fold = fi[:, split]
-                    used = (fold >= 0) & (fold != out[None, :])
-                    y, s = labels[t][i : i + CHUNK], _scores(zi, cols, w, absent)
-                    if w.shape[2] == 1:
-                        s = s[:, :, 0]
-                        loss = np.logaddexp(0, s) - y[:, None] * s
-                        r = (1 / (1 + np.exp(-np.clip(s, -500, 500))) - y[:, None])[:, :, None]
-                    else:
-                        s = s - s.max(axis=2, keepdims=True)
-                        e = np.exp(s)
-                        sums = e.sum(axis=2, keepdims=True)
-                        r, at = e / sums, np.arange(len(y))
-                        own = s[at, :, y]
-                        loss = np.log(sums[:, :, 0]) - np.where(used, own, 0)
-                        r[at, :, y] -= 1
-                    r *= used[:, :, None]
-                    g = zi[:, cols].T @ r.reshape(len(zi), -1)
-                    both = np.concatenate([g.ravel(), np.where(used, loss, 0).sum(axis=0)])
+                zi, fold = z[i : i + CHUNK], folds[i : i + CHUNK][:, split]
+                used = ((fold >= 0) & (fold != out[None, :])).astype(float)
+                for (key, t, cols, w, _, _, absent), mine in zip(tasks, seen):
+                    x, y, u = zi[:, cols], labels[t][i : i + CHUNK], used[:, mine]
+                    both = _two(x, w, u, y.astype(float)[:, None]) if w.shape[2] == 1 else _more(x, w, u, y, absent)
                     total[key] = total[key] + both if key in total else both
         if total:
             cols = [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())]
@@ -256,11 +293,23 @@ def fit_all(rows: DataFrame, blocks: dict, targets: dict[str, int], cs=CS, masks
     """Every model at its best. ``rows`` is a written table, scanned once per step; ``masks`` gives the folds to leave out
     in turn, and ``scale_by`` the folds that features are scaled by (all, if none)."""
     models = _set_up(rows, blocks, targets, cs, masks or (lambda folds: [*(folds if len(folds) > 1 else []), NONE]), scale_by)
+    share = START_ROWS / max((m.rows.max() for m in models), default=1)
+    if share < 0.25:
+        part = stored(rows.sample(share, seed=0), "class-start")
+        _descend(part, list(targets), models, 1 / share)
+        for m in models:
+            m.again()
+    _descend(rows, list(targets), models)
+    return models
+
+
+def _descend(rows: DataFrame, targets: list[str], models: list[Models], weight: float = 1.0) -> None:
+    """Move every model to its best on these rows, each of which counts ``weight`` times."""
     for _ in range(MAX_STEPS):
         if not any(m.moving.any() for m in models):
-            return models
-        for key, (loss, slope) in _slopes(rows, list(targets), models).items():
-            models[key].move(loss, slope)
+            return
+        for key, (loss, slope) in _slopes(rows, targets, models).items():
+            models[key].move(weight * loss, weight * slope)
     raise RuntimeError("the classifiers did not converge")
 
 
