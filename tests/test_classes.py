@@ -112,3 +112,21 @@ def test_one_class_in_a_part(spark):
     assert two.out.tolist() == [0, C.NONE]
     counts = C._counts(df, ["two", "three"], models).where("target = 'three'").collect()
     assert {r.pred for r in counts} <= {0, 1} and {r.label for r in counts if r.fold == -1} == {1, 2}
+
+
+def test_sample_only_says_where_to_begin(spark, table, monkeypatch):
+    """Models begun on a sample end where models begun at zero end: all rows decide."""
+    ship_package(spark)
+    x, y2, y3, folds = table
+    rows = [([1.0, *a], [int(v) for v in f], int(p), int(q)) for a, p, q, f in zip(x.tolist(), y2, y3, folds.tolist())]
+    df = stored(spark.createDataFrame(rows, "z array<double>, folds array<int>, two int, three int").repartition(3), "class-rows")
+    used, slopes = [], C._slopes
+    monkeypatch.setattr(C, "_slopes", lambda r, *a: used.append(r.count()) or slopes(r, *a))
+    whole = C.fit_all(df, {"all": (1, 2, 3)}, {"two": 2, "three": 3}, (1.0,))
+    assert set(used) == {600}
+    monkeypatch.setattr(C, "START_ROWS", 80)
+    begun = C.fit_all(df, {"all": (1, 2, 3)}, {"two": 2, "three": 3}, (1.0,))
+    assert min(used) < 600 and used[-1] == 600
+    for a, b in zip(whole, begun):
+        centred = [m.w - (m.w.mean(axis=2, keepdims=True) if m.classes > 2 else 0) for m in (a, b)]
+        assert np.abs(centred[0] - centred[1]).max() < 5e-4 and np.abs(a.f - b.f).max() < 1e-5
