@@ -121,3 +121,21 @@ def test_reference_is_the_largest_cohort_and_tiny_ones_stay_out(spark):
     assert got == [("a", 1, 2)]
     none, ref = R.compared(df.where("cohort = 'c'"), "cohort")
     assert ref is None and none.count() == 0 and R.shared_strata(none, "cohort", "kind", ref).count() == 0
+
+
+def test_many_strata_in_few_rows(spark, monkeypatch):
+    """Strata dealt whole to tasks give what joined replicate sums give, and no task emits strata x replicates rows."""
+    rng = np.random.default_rng(8)
+    rows = [(f"i{i}", str(rng.choice(["a", "b", "c"], p=[0.5, 0.3, 0.2])), int(rng.integers(0, 200) if i > 400 else 7), float(rng.normal()), float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, cohort string, st int, v double, u double").repartition(4)
+    run = lambda: {(r["other"], r["metric"]): r for r in R.stratified_difference(df, "id", "cohort", "st", ["v", "u"], "a", 60).collect()}
+    got = {}
+    for size in (0, 300, 10_000):
+        monkeypatch.setattr(R, "STRATUM_ROWS", size)
+        got[size] = run()
+    assert set(got[0]) == {(c, m) for c in "bc" for m in "vu"}
+    for size in (300, 10_000):
+        for k, r in got[0].items():
+            assert [r[c] for c in ("n_reps", "boot_mean", "lo", "hi")] == pytest.approx([got[size][k][c] for c in ("n_reps", "boot_mean", "lo", "hi")])
+    args = (df, "id", "cohort", "st", ["v"], "a", 60, 0)
+    assert R._small_strata(*args).count() <= 60 * 2 * df.repartition("st").rdd.getNumPartitions()
