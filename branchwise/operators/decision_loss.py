@@ -1,19 +1,18 @@
 """Linear value models trained on the decision-focused surrogate loss (``outcomes.spo_plus_loss``).
 
-One Spark job trains a whole stack of models: every task of a barrier stage holds its share of the rows, and in each
-step the tasks exchange one d x 2 gradient per model and make the same update. Nothing returns to the driver before the
-last step, and a step is one matrix product over all models.
+A whole stack of models, the one of every penalty on all of train included, is trained side by side. Rows are packed once
+into blocks of numbers that stay with the executors; a step is one small Spark job whose tasks add up one d x 2 gradient per
+model over their blocks, and the driver, which holds nothing but the weights, makes the update.
 """
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import BarrierTaskContext
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +24,8 @@ from branchwise.session import stored
 LAMBDAS = (1e-4, 1e-3, 1e-2, 1e-1, 1e0, 1e1, 1e2)
 RATE, STEPS = 0.01, 2000
 BETA1, BETA2, EPS = 0.9, 0.999, 1e-8
-#: A barrier costs about a second, so a task gets as many rows as a step can pass over in that time.
-ROWS_PER_TASK = 200_000
+#: A task of fewer rows costs more to start than to run; a task of more does not use the cores there are.
+ROWS_PER_TASK, BLOCK_ROWS, CHUNK = 8_192, 4_096, 256
 
 
 @dataclass(frozen=True)
@@ -64,12 +63,13 @@ def pull(predicted: np.ndarray, true: np.ndarray) -> np.ndarray:
     is worth 0; earlier actions win ties.
     """
 
-    def best(values: np.ndarray) -> np.ndarray:
-        first, second = values[..., 0], values[..., 1]
-        take_first = (first >= second) & (first >= 0)
-        return np.stack([take_first, ~take_first & (second >= 0)], axis=-1).astype(float)
+    return 2.0 * (_best(2 * predicted - true[:, None, :]) - _best(true)[:, None, :])
 
-    return 2.0 * (best(2 * predicted - true[:, None, :]) - best(true)[:, None, :])
+
+def _best(values: np.ndarray) -> np.ndarray:
+    first, second = values[..., 0], values[..., 1]
+    take_first = (first >= second) & (first >= 0)
+    return np.stack([take_first, ~take_first & (second >= 0)], axis=-1).astype(float)
 
 
 class Averaged:
@@ -91,12 +91,46 @@ class Averaged:
             self.mean += (self.weights - self.mean) / late
 
 
-def _everyone(ctx: BarrierTaskContext, part: np.ndarray) -> np.ndarray:
-    """Sum of an array over the tasks of the stage, in task order; a stage of one task has nothing to wait for."""
-    if len(ctx.getTaskInfos()) == 1:
-        return part
-    texts = ctx.allGather(base64.b64encode(part.tobytes()).decode())
-    return np.sum([np.frombuffer(base64.b64decode(t)) for t in texts], axis=0).reshape(part.shape)
+def _gradients(x: np.ndarray, truth: np.ndarray, fold: np.ndarray, out: np.ndarray, coef: np.ndarray) -> np.ndarray:
+    """(d, jobs, 2) summed raw gradients of a block; ``truth`` holds both values and where each action is truly best."""
+    d, n = coef.shape[0], coef.shape[1]
+    flat, total = np.concatenate([coef[:, :, 0], coef[:, :, 1]], axis=1), np.zeros((d, 2 * n))
+    for i in range(0, len(x), CHUNK):
+        xi, q = x[i : i + CHUNK], truth[i : i + CHUNK]
+        used = ((fold[i : i + CHUNK, None] >= 0) & (fold[i : i + CHUNK, None] != out[None, :])).astype(float)
+        v = 2 * (xi @ flat)
+        first, second = v[:, :n] - q[:, :1], v[:, n:] - q[:, 1:2]
+        lead = (first >= second) & (first >= 0)
+        slope = np.empty_like(v)
+        slope[:, :n] = lead
+        slope[:, n:] = ~lead & (second >= 0)
+        slope[:, :n] -= q[:, 2:3]
+        slope[:, n:] -= q[:, 3:4]
+        slope[:, :n] *= used
+        slope[:, n:] *= used
+        total += xi.T @ slope
+    return 2.0 * np.stack([total[:, :n], total[:, n:]], axis=2)
+
+
+def _blocks(rows: DataFrame, d: int, targets: tuple[int, int], rows_per_task: int):
+    """The rows as an RDD of (features, truth, folds) blocks that stays with the executors."""
+
+    def pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), BLOCK_ROWS):
+                part = pdf.iloc[i : i + BLOCK_ROWS]
+                z = np.stack(part["z"].to_numpy()).astype(float)
+                true = z[:, list(targets)]
+                arrays = [z[:, :d], np.concatenate([true, _best(true)], axis=1), part["fold"].to_numpy().astype(np.int32)]
+                yield pd.DataFrame([[np.ascontiguousarray(a).tobytes() for a in arrays]], columns=["x", "truth", "fold"])
+
+    def read(r) -> tuple[np.ndarray, ...]:
+        fold = np.frombuffer(r["fold"], np.int32)
+        return np.frombuffer(r["x"]).reshape(len(fold), d), np.frombuffer(r["truth"]).reshape(len(fold), 4), fold
+
+    tasks = max(1, min(-(-rows.count() // rows_per_task), rows.sparkSession.sparkContext.defaultParallelism))
+    packed = rows.select("z", "fold").repartition(tasks).mapInPandas(pack, "x binary, truth binary, fold binary")
+    return packed.rdd.map(read).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def train_stack(
@@ -104,28 +138,23 @@ def train_stack(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> np.ndarray:
     """(jobs, d, 2) raw coefficients of all jobs, from (z, fold) rows."""
+    blocks = _blocks(rows, d, targets, rows_per_task)
+    out = np.array([-1 if j.held_out is None else j.held_out for j in jobs])
+    fit = Averaged((len(jobs), d, 2), rate, steps)
+    shrink = np.array([j.lam for j in jobs])[:, None, None] * (np.arange(d) > 0)[None, :, None]
+    for _ in range(steps):
+        coef = np.stack([s.to_raw(w) for s, w in zip(scales, fit.weights)], axis=1)  # (d, jobs, 2)
+
+        def add(part, coef=coef) -> list[np.ndarray]:
+            total = np.zeros_like(coef)
+            for x, truth, fold in part:
+                total += _gradients(x, truth, fold, out, coef)
+            return [total]
 
-    def train(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ctx = BarrierTaskContext.get()
-        parts = [b for b in batches if len(b)]
-        z = np.concatenate([np.stack(b["z"].to_numpy()) for b in parts]).astype(float) if parts else np.zeros((0, max(targets) + 1))
-        fold = np.concatenate([b["fold"].to_numpy() for b in parts]) if parts else np.zeros(0, int)
-        x, true = z[:, :d], z[:, list(targets)]
-        used = np.stack([(fold >= 0) & (fold != (-1 if j.held_out is None else j.held_out)) for j in jobs], axis=1)
-        fit = Averaged((len(jobs), d, 2), rate, steps)
-        shrink = np.array([j.lam for j in jobs])[:, None, None] * (np.arange(d) > 0)[None, :, None]
-        for _ in range(steps):
-            coef = np.stack([s.to_raw(w) for s, w in zip(scales, fit.weights)], axis=1)  # (d, jobs, 2)
-            slope = pull(np.tensordot(x, coef, 1), true) * used[:, :, None]
-            total = _everyone(ctx, np.tensordot(x.T, slope, 1))
-            fit.update(np.stack([s.gradient(total[:, i]) for i, s in enumerate(scales)]) + shrink * fit.weights)
-        if ctx.partitionId() == 0:
-            yield pd.DataFrame({"coef": [np.stack([s.to_raw(w) for s, w in zip(scales, fit.mean)]).ravel()]})
-
-    # A barrier stage starts when all its tasks have a slot.
-    tasks = max(1, -(-rows.count() // rows_per_task))
-    (got,) = rows.select("z", "fold").repartition(tasks).mapInPandas(train, "coef array<double>", barrier=True).collect()
-    return np.asarray(got["coef"]).reshape(len(jobs), d, 2)
+        total = np.sum(blocks.mapPartitions(add).collect(), axis=0)
+        fit.update(np.stack([s.gradient(total[:, i]) for i, s in enumerate(scales)]) + shrink * fit.weights)
+    blocks.unpersist()
+    return np.stack([s.to_raw(w) for s, w in zip(scales, fit.mean)])
 
 
 def with_predictions(rows: DataFrame, coef: np.ndarray, d: int, names: tuple[str, str]) -> DataFrame:
@@ -172,10 +201,12 @@ def fit_cv(
 
     data = stored(rows.select("z", "fold"), "decision-rows")
     pick, scores = lambdas[len(lambdas) // 2], {}
-    if len(folds) > 1 and len(lambdas) > 1:
-        jobs = [Job(lam, f) for lam in lambdas for f in folds]
-        coef = train_stack(data, d, targets, jobs, [scale(j.held_out) for j in jobs], steps)
+    choose = len(folds) > 1 and len(lambdas) > 1
+    # The fits on all of train go along with those that choose among them, so rows are passed over once.
+    jobs = [Job(lam, f) for lam in lambdas for f in folds] if choose else []
+    final = [Job(lam, None) for lam in (lambdas if choose else [pick])]
+    coef = train_stack(data, d, targets, jobs + final, [scale(j.held_out) for j in jobs + final], steps)
+    if choose:
         scores = held_out_losses(data, d, targets, jobs, coef)
         pick = min(scores, key=scores.get)
-    final = train_stack(data, d, targets, [Job(pick, None)], [scale(None)], steps)
-    return final[0], pick, scores
+    return coef[len(jobs) + [j.lam for j in final].index(pick)], pick, scores

@@ -217,3 +217,17 @@ def test_decision_fit_equals_plain_optimiser(spark, monkeypatch, rows_per_task,
     assert coef[0] == pytest.approx(b - mu @ (w / sd[:, None]), abs=1e-9)
     hat = np.column_stack([np.column_stack([np.ones(n), x]) @ coef, np.zeros(n)])
     assert surrogate(hat, full)[tr].mean() < (0.7 if steps >= 60 else 1.0) * surrogate(np.zeros_like(full), full)[tr].mean()
+
+
+def test_decision_steps_equal_the_slope_and_need_no_barrier(spark, monkeypatch):
+    """A block's gradient is the sum of the rows' slopes, and all fits, the final ones too, share their passes."""
+    x, q, fold = RNG.normal(size=(700, 4)), RNG.normal(size=(700, 2)), RNG.integers(-1, 3, 700)
+    coef, out = RNG.normal(size=(4, 3, 2)), np.array([0, 2, -1])
+    used = (fold[:, None] >= 0) & (fold[:, None] != out[None, :])
+    want = np.tensordot(x.T, D.pull(np.tensordot(x, coef, 1), q) * used[:, :, None], 1)
+    assert D._gradients(x, np.concatenate([q, D._best(q)], axis=1), fold, out, coef) == pytest.approx(want, abs=1e-9)
+    seen, stack = [], D.train_stack
+    monkeypatch.setattr(D, "train_stack", lambda *a: seen.append(a[3]) or stack(*a))
+    rows = [([1.0, *map(float, a[:2]), *map(float, b)], int(f)) for a, b, f in zip(x, q, fold)]
+    D.fit_cv(spark.createDataFrame(rows, "z array<double>, fold int"), 3, (3, 4), lambdas=(1e-2, 1.0), steps=3)
+    assert len(seen) == 1 and sum(j.held_out is None for j in seen[0]) == 2
