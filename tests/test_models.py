@@ -231,3 +231,15 @@ def test_decision_steps_equal_the_slope_and_need_no_barrier(spark, monkeypatch):
     rows = [([1.0, *map(float, a[:2]), *map(float, b)], int(f)) for a, b, f in zip(x, q, fold)]
     D.fit_cv(spark.createDataFrame(rows, "z array<double>, fold int"), 3, (3, 4), lambdas=(1e-2, 1.0), steps=3)
     assert len(seen) == 1 and sum(j.held_out is None for j in seen[0]) == 2
+
+
+def test_terms_move_as_texts(spark):
+    """Repeated ids merge, and weights follow from one exchange of the texts."""
+    docs = spark.createDataFrame([(1, "a1 b2 a1"), (1, "b2 c3"), (2, None), (3, "a1")], "id int, text string").repartition(3)
+    tf = M.terms(docs, "id", "text")
+    assert {tuple(r) for r in tf.collect()} == {(1, "a1", 2), (1, "b2", 2), (1, "c3", 1), (1, "a1 b2", 1), (1, "b2 a1", 1), (1, "b2 c3", 1), (3, "a1", 1)}
+    vocab = spark.createDataFrame([("a1", 0, 1.0), ("b2", 1, 2.0)], "term string, ix int, idf double")
+    w = M.tfidf(tf, vocab, "id")
+    assert w._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got, x = {(r["id"], r["term"]): r["w"] for r in w.collect()}, 1 + np.log(2)
+    assert got == pytest.approx({(1, "a1"): x / np.hypot(x, 2 * x), (1, "b2"): 2 * x / np.hypot(x, 2 * x), (3, "a1"): 1.0})
