@@ -259,6 +259,18 @@ def seeded_grams(seeded: DataFrame) -> DataFrame:
 # ------------------------------------------------------- one-hot group block
 
 
+#: Means of R2 this close differ by the order in which their sums were added up, not by the penalty.
+SAME_SCORE = 1e-12
+
+
+def best_alpha(cv: DataFrame) -> DataFrame:
+    """(seed_ix, alpha): the smallest penalty whose ``cv`` is the best one; scores equal but for rounding are equal."""
+    scores = F.collect_list(F.struct("alpha", "cv"))
+    top = cv.groupBy("seed_ix").agg(F.max("cv").alias("top"), scores.alias("s"))
+    close = F.filter("s", lambda x: F.col("top").isNull() | (x["cv"] >= F.col("top") - SAME_SCORE))
+    return top.select("seed_ix", F.array_min(F.transform(close, lambda x: x["alpha"])).alias("alpha"))
+
+
 def group_ceiling(rows: DataFrame, game: str, y: str, alphas=ALPHAS) -> DataFrame:
     """R2 of a one-hot block over games, without building the wide matrix.
 
@@ -313,9 +325,7 @@ def group_ceiling(rows: DataFrame, game: str, y: str, alphas=ALPHAS) -> DataFram
     )
     per = per.withColumn("r2", 1 - F.col("sse") / F.when(F.col("sst") > 0, F.col("sst")))
     cv = per.where("h >= 0").groupBy("seed_ix", "alpha").agg(F.avg("r2").alias("cv"))
-    pick = cv.groupBy("seed_ix").agg(F.max(F.struct(F.col("cv"), (-F.col("alpha")).alias("na"))).alias("b")).select(
-        "seed_ix", (-F.col("b.na")).alias("alpha")
-    )
+    pick = best_alpha(cv)
     return per.where("h = -1").join(F.broadcast(pick), ["seed_ix", "alpha"]).select("seed_ix", "alpha", "n", "r2")
 
 

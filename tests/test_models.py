@@ -243,3 +243,10 @@ def test_terms_move_as_texts(spark):
     assert w._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     got, x = {(r["id"], r["term"]): r["w"] for r in w.collect()}, 1 + np.log(2)
     assert got == pytest.approx({(1, "a1"): x / np.hypot(x, 2 * x), (1, "b2"): 2 * x / np.hypot(x, 2 * x), (3, "a1"): 1.0})
+
+
+def test_rounding_does_not_choose_the_penalty(spark):
+    """Scores that differ by the order of their sums only are equal, and the smaller penalty of equals is taken."""
+    rows = [(0, 1.0, 0.1), (0, 10.0, 0.1 + 3e-16), (0, 1e6, 0.1 + 1e-14), (1, 1.0, 0.1), (1, 10.0, 0.1 + 1e-9), (2, 1.0, None), (2, 10.0, -0.5), (3, 1.0, None), (3, 10.0, None)]
+    got = L.best_alpha(spark.createDataFrame(rows, "seed_ix int, alpha double, cv double")).collect()
+    assert {r["seed_ix"]: r["alpha"] for r in got} == {0: 1.0, 1: 10.0, 2: 10.0, 3: 1.0}
