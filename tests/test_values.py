@@ -211,3 +211,33 @@ def test_shards_are_written_compressed(spark, tmp_path):
     files = [f.name for f in (tmp_path / "shards").rglob("part-*")]
     assert files and all(f.endswith(".gz") for f in files)
     assert shards.read_records(spark, root, "branches", BRANCH_CORE).count() == 11
+
+
+def test_selected_branches_read_their_records_once(spark, tmp_path):
+    rows = full_group("a", "branches.s000.jsonl") + full_group("a", "branches.s001.r1.jsonl", 4)
+    frame(spark, rows).write.parquet(str(tmp_path / "rows"))
+    kept = V.selected_branches(spark.read.parquet(str(tmp_path / "rows")))
+    assert kept._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {r["src"] for r in kept.collect()} == {"branches.s000.jsonl"} and kept.count() == 11
+
+
+def test_order_lines_are_dealt_once_for_values(spark, monkeypatch):
+    """Numbering, attempts and values follow in the task that a part was dealt to; a hot part gives the same values."""
+    from branchwise.plans import common, views
+
+    sf = "/root/testdata/sf0.001"
+    cols = ["checkpoint_id", "arm", "src", "tau", "n_records", "task_id", "progress"]
+    plain = common.plain_values(spark, sf)
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    whole = sorted(map(str, common.full_values(spark, sf).select(cols).collect()))
+    monkeypatch.setattr(views, "full_buckets", lambda *a: [1])
+    assert whole and whole == sorted(map(str, common.full_values(spark, sf).select(cols).collect()))
+
+
+def test_policies_and_pairs_derive_values_once(spark, monkeypatch):
+    from branchwise.plans import policy_queries as Q
+
+    calls, real = [], Q.full_values
+    monkeypatch.setattr(Q, "full_values", lambda *a: calls.append(1) or real(*a))
+    Q.pair_ranking(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
