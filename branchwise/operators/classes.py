@@ -5,8 +5,8 @@ labels. One scan adds up losses and gradients of all models that are still movin
 The Hessian needs no scan: p(1 - p) <= 1/4 (two classes) and diag(p) - pp' <= 1/2 (more) bound it by a multiple of
 the fold cross products (``linear.fold_grams``), which are made once. Newton steps with that bound always descend, and a
 short history of steps (L-BFGS with the bound as its start) makes them few; a step that does not descend is taken back.
-With many rows the first steps are taken on a small sample, which only says where to begin: every model then moves on all
-rows until its gradient there is as small as without that start.
+With many rows the first steps are taken on a small sample, which only says where to begin and, by its Hessian there, how
+far to step: every model then moves on all rows until its gradient there is as small as without that start.
 
 Coefficients and their history are models x features numbers whatever the rows, so they stay with the driver.
 The objective is 0.5 |w|^2 + C * sum of losses on features scaled by the split's train rows, intercepts free.
@@ -27,9 +27,10 @@ from branchwise.session import stored
 # The inverse-penalty grid of the reference results.
 CS = (1e-4, 1e-3, 1e-2, 1e-1, 1e0)
 NONE = -9  # the mask that leaves no fold out
-TOLERANCE, MAX_STEPS, HISTORY, CHUNK = 1e-10, 200, 6, 128
-#: Rows that the first steps are taken on where there are many more; all rows decide where a model ends.
-START_ROWS = 20_000
+TOLERANCE, MAX_STEPS, HISTORY, CHUNK = 1e-10, 200, 6, 512
+#: Rows that the first steps are taken on where there are many more; all rows decide where a model ends. A sample's best
+#: point is no nearer to that of all rows than its own noise, so it need not be met closely.
+START_ROWS, START_TOLERANCE = 20_000, 1e-6
 
 
 @dataclass
@@ -56,16 +57,37 @@ class Models:
         self.steps: list[tuple[np.ndarray, ...]] = []
         self.moving, self.plain = np.ones(m, bool), np.zeros(m, bool)
 
-    def again(self) -> None:
-        """Begin anew at the present point, with the curvature of the steps so far."""
-        m = len(self.split)
+        self.near: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def again(self, hessians: dict[float, np.ndarray]) -> None:
+        """Begin anew at the present point. ``hessians``: by penalty, the mean Hessian of a row's loss near there (raw).
+
+        Models of one penalty and about as many rows share one inverse, in the scale of the first of them. It only shapes
+        steps: a step that does not descend is taken back and followed by one of the bound.
+        """
+        m, d, k = self.w.shape
         self.trial, self.f = self.w.copy(), np.full(m, np.inf)
-        self.moving, self.plain = np.ones(m, bool), np.zeros(m, bool)
+        self.moving, self.plain, self.steps, self.near = np.ones(m, bool), np.zeros(m, bool), [], []
+        size = np.round(np.log(np.maximum(self.rows, 1)) / 0.1).astype(int)
+        for c, n in sorted({*zip(self.c.tolist(), size.tolist())}):
+            at = np.flatnonzero((self.c == c) & (size == n))
+            t, weight = np.kron(self.scale[at[0]], np.eye(k)), c * self.rows[at].mean()
+            free = np.repeat(np.array([1e-9 * weight, *[1.0] * (d - 1)]), k)
+            self.near.append((at, np.linalg.inv(weight * (t.T @ hessians[c] @ t) + np.diag(free))))
+
+    def bent(self, v: np.ndarray, newton: np.ndarray | None = None) -> np.ndarray:
+        """The inverse Hessian that steps start from, times ``v``: the bound's, or the one near the sample's best point."""
+        if not self.near:
+            return np.matmul(self.inverse, v) if newton is None else newton.copy()
+        out = np.zeros_like(v)
+        for at, inverse in self.near:
+            out[at] = (v[at].reshape(len(at), -1) @ inverse).reshape(len(at), *v.shape[1:])
+        return out
 
     def raw(self, w: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.scale[at] @ w[at]
 
-    def move(self, loss: np.ndarray, slope: np.ndarray) -> None:
+    def move(self, loss: np.ndarray, slope: np.ndarray, tolerance: float = TOLERANCE) -> None:
         """Take in the losses and raw gradients at ``trial`` of the moving models and set the next trial."""
         at, live = np.flatnonzero(self.moving), self.moving.copy()
         full = np.zeros_like(self.w)
@@ -84,7 +106,7 @@ class Models:
         sy = (s * y).sum(axis=(1, 2))
         if not first:
             rho = np.where(sy > 1e-14, 1 / np.where(sy > 1e-14, sy, 1), 0)
-            self.steps = [*self.steps, (s, y, rho, np.matmul(self.inverse, y))][-HISTORY:]
+            self.steps = [*self.steps, (s, y, rho, self.bent(y))][-HISTORY:]
         self.w, self.g, self.f = np.where(mask, t, self.w), np.where(mask, g, self.g), np.where(ok, f, self.f)
         # A plain step cannot ascend but for rounding: such a model stands at its best.
         self.moving &= ~(bad & self.plain)
@@ -92,13 +114,13 @@ class Models:
         for step in self.steps:
             step[2][bad] = 0
         newton = np.matmul(self.inverse, self.g)
-        self.moving &= (self.g * newton).sum(axis=(1, 2)) > TOLERANCE * self.c * self.rows
+        self.moving &= (self.g * newton).sum(axis=(1, 2)) > tolerance * self.c * self.rows
         self.trial = np.where(self.moving[:, None, None], self.w - self._direction(newton), self.trial)
 
     def _direction(self, newton: np.ndarray) -> np.ndarray:
         dot = lambda a, b: (a * b).sum(axis=(1, 2))
         # inverse @ (g - sum of a * y) needs no further product: inverse @ y is kept with each step.
-        q, r, back = self.g.copy(), newton.copy(), []
+        q, r, back = self.g.copy(), self.bent(self.g, newton), []
         for s, y, rho, iy in reversed(self.steps):
             a = rho * dot(s, q)
             q -= a[:, None, None] * y
@@ -128,7 +150,7 @@ def _scores(z: np.ndarray, cols: list[int], w: np.ndarray, absent: np.ndarray) -
     return s if w.shape[2] == 1 else s + absent[None]
 
 
-def _two(x: np.ndarray, w: np.ndarray, used: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _two(x: np.ndarray, w: np.ndarray, used: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients and losses of two-class models, one after the other; passes are in place over a small chunk."""
     s = x @ w[:, :, 0].T
     e = np.exp(-np.abs(s))
@@ -140,10 +162,10 @@ def _two(x: np.ndarray, w: np.ndarray, used: np.ndarray, y: np.ndarray) -> np.nd
     loss = np.log(d)
     loss += s * (up - y)
     loss *= used
-    return np.concatenate([(x.T @ p).ravel(), loss.sum(axis=0)])
+    return (x.T @ p)[:, :, None], loss.sum(axis=0)
 
 
-def _more(x: np.ndarray, w: np.ndarray, used: np.ndarray, y: np.ndarray, absent: np.ndarray) -> np.ndarray:
+def _more(x: np.ndarray, w: np.ndarray, used: np.ndarray, y: np.ndarray, absent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same with one score per class; an absent class has probability 0."""
     classes = range(w.shape[2])
     s = [x @ w[:, :, k].T + absent[None, :, k] for k in classes]
@@ -161,7 +183,7 @@ def _more(x: np.ndarray, w: np.ndarray, used: np.ndarray, y: np.ndarray, absent:
         s[k] -= used * (y == k)[:, None]
         g.append(x.T @ s[k])
     loss = np.where(used > 0, np.log(total) - own, 0)
-    return np.concatenate([np.stack(g, axis=2).ravel(), loss.sum(axis=0)])
+    return np.stack(g, axis=2), loss.sum(axis=0)
 
 
 def _slopes(rows: DataFrame, targets: list[str], models: list[Models]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -173,40 +195,37 @@ def _slopes(rows: DataFrame, targets: list[str], models: list[Models]) -> dict[i
         at = np.flatnonzero(m.moving)
         if len(at):
             tasks.append((key, targets.index(m.target), m.cols, m.raw(m.trial, at), m.split[at], m.out[at], m.absent[at]))
-    # Rows that a model sees depend on its split and left-out fold only.
-    masks = sorted({(int(s), int(o)) for t in tasks for s, o in zip(t[4], t[5])})
-    place = {x: i for i, x in enumerate(masks)}
-    seen = [np.array([place[(int(s), int(o))] for s, o in zip(t[4], t[5])]) for t in tasks]
+    # The models of a split, which stand together, see its train rows only, so they go through those alone.
+    by_split: dict[int, list[tuple]] = {}
+    for i, (_, t, cols, w, split, out, absent) in enumerate(tasks):
+        for s in np.unique(split):
+            a, b = np.searchsorted(split, [s, s + 1])
+            by_split.setdefault(int(s), []).append((i, t, cols, np.ascontiguousarray(w[a:b]), out[a:b], absent[a:b]))
 
     def run(batches):
-        total: dict[int, np.ndarray] = {}
-        split, out = (np.array(x) for x in zip(*masks))
+        total: dict[int, dict[int, tuple]] = {}
         for b in batches:
             if not b.num_rows:
                 continue
             z, folds, labels = _arrays(b)
             for i in range(0, len(z), CHUNK):
-                zi, fold = z[i : i + CHUNK], folds[i : i + CHUNK][:, split]
-                used = ((fold >= 0) & (fold != out[None, :])).astype(float)
-                for (key, t, cols, w, _, _, absent), mine in zip(tasks, seen):
-                    x, y, u = zi[:, cols], labels[t][i : i + CHUNK], used[:, mine]
-                    both = _two(x, w, u, y.astype(float)[:, None]) if w.shape[2] == 1 else _more(x, w, u, y, absent)
-                    total[key] = total[key] + both if key in total else both
+                for split, mine in by_split.items():
+                    train = i + np.flatnonzero(folds[i : i + CHUNK, split] >= 0)
+                    zi, fold = z[train], folds[train, split][:, None]
+                    for key, t, cols, w, out, absent in mine:
+                        x, y, u = zi[:, cols], labels[t][train], (fold != out[None, :]).astype(float)
+                        got = _two(x, w, u, y.astype(float)[:, None]) if w.shape[2] == 1 else _more(x, w, u, y, absent)
+                        sums = total.setdefault(key, {}).setdefault(split, got)
+                        if sums is not got:
+                            for whole, more in zip(sums, got):
+                                whole += more
         if total:
-            cols = [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "part"])
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for key, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                v = np.frombuffer(part)
-                total[key] = total[key] + v if key in total else v
-        cols = [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["key", "part"])
+            parts = [[np.concatenate(x, axis=axis) for axis, x in zip((1, 0), zip(*map(t.get, sorted(t))))] for t in total.values()]
+            parts = [np.concatenate([g.ravel(), loss]).tobytes() for g, loss in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([tasks[i][0] for i in total], pa.int32()), pa.array(parts, pa.binary())], ["key", "part"])
 
     parts = rows.select("z", "folds", *targets).mapInArrow(run, "key int, part binary")
-    got = {r["key"]: np.frombuffer(r["part"]) for r in parts.repartition("key").mapInArrow(add, "key int, part binary").collect()}
+    got = {r["key"]: np.frombuffer(r["part"]) for r in parts.repartition("key").mapInArrow(_add, "key int, part binary").collect()}
     out = {}
     for key, _, cols, w, *_ in tasks:
         m, d, k = w.shape
@@ -215,6 +234,64 @@ def _slopes(rows: DataFrame, targets: list[str], models: list[Models]) -> dict[i
     return out
 
 
+def _hessians(rows: DataFrame, targets: list[str], models: list[Models]) -> list[dict[float, np.ndarray]]:
+    """Per block and target, by penalty: the mean Hessian of a row's loss at the point of one model of that penalty, in raw
+    coefficients. Numbers by models of one split, features squared; ``rows`` are the sample."""
+    import pyarrow as pa
+
+    tasks = []
+    for key, m in enumerate(models):
+        for c in sorted({*m.c.tolist()}):
+            at = np.flatnonzero(m.c == c)[-1:]  # the last mask leaves no fold out
+            tasks.append((key, c, m.cols, m.raw(m.w, at), m.absent[at]))
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            z = _arrays(b)[0]
+            for i, (_, _, cols, w, absent) in enumerate(tasks):
+                x, s = z[:, cols], _scores(z, cols, w, absent)[:, 0]
+                d, k = len(cols), w.shape[2]
+                if k == 1:
+                    p = 1 / (1 + np.exp(-s))
+                else:
+                    p = np.exp(s - s.max(axis=1, keepdims=True))
+                    p /= p.sum(axis=1, keepdims=True)
+                h = np.empty((d, k, d, k))
+                for u in range(k):
+                    for v in range(u, k):
+                        h[:, u, :, v] = h[:, v, :, u] = (x * (p[:, u] * ((u == v) - p[:, v]))[:, None]).T @ x
+                both = np.append(h.ravel(), len(x))
+                total[i] = total[i] + both if i in total else both
+        if total:
+            cols = [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "part"])
+
+    parts = rows.select("z", "folds", *targets).mapInArrow(run, "key int, part binary")
+    out: list[dict[float, np.ndarray]] = [{} for _ in models]
+    for r in parts.repartition("key").mapInArrow(_add, "key int, part binary").collect():
+        key, c, cols, w, _ = tasks[r["key"]]
+        v = np.frombuffer(r["part"])
+        size = len(cols) * w.shape[2]
+        out[key][c] = v[:-1].reshape(size, size) / v[-1]
+    return out
+
+
+def _add(batches):
+    """Sums of the (key, part) arrays of a task."""
+    import pyarrow as pa
+
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for key, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            v = np.frombuffer(part)
+            total[key] = total[key] + v if key in total else v
+    cols = [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())]
+    yield pa.RecordBatch.from_arrays(cols, ["key", "part"])
+
+
 def _set_up(rows: DataFrame, blocks: dict, targets: dict[str, int], cs, masks, scale_by) -> list[Models]:
     grams: dict[int, dict[int, np.ndarray]] = {}
     for r in fold_grams(rows.withColumn("folds", F.transform("folds", lambda f: F.coalesce(f, F.lit(-2))))).collect():
@@ -259,6 +336,7 @@ def _counts(rows: DataFrame, targets: list[str], models: list[Models]) -> DataFr
     import pyarrow as pa
 
     tasks = [(m.block, m.target, targets.index(m.target), m.cols, m.raw(m.w, np.arange(len(m.w))), m.split, m.out, m.c, m.absent, m.classes) for m in models]
+    masks = sorted({(int(s), int(o)) for m in models for s, o in zip(m.split, m.out)})
 
     def run(batches) -> Iterator:
         total: dict[tuple, int] = {}
@@ -266,18 +344,21 @@ def _counts(rows: DataFrame, targets: list[str], models: list[Models]) -> DataFr
             if not b.num_rows:
                 continue
             z, folds, labels = _arrays(b)
-            for i in range(0, len(z), CHUNK):
-                zi, fi = z[i : i + CHUNK], folds[i : i + CHUNK]
-                for block, target, t, cols, w, split, out, c, absent, classes in tasks:
-                    s = _scores(zi, cols, w, absent)
+            for split, left in masks:
+                # A row is scored by the models that left its fold out only.
+                mine = np.flatnonzero(folds[:, split] == (-1 if left == NONE else left))
+                zi = z[mine]
+                for block, target, t, cols, w, splits, out, c, absent, classes in tasks:
+                    at = np.flatnonzero((splits == split) & (out == left))
+                    if not len(at) or not len(mine):
+                        continue
+                    s = _scores(zi, cols, w[at], absent[at])
                     pred = (s[:, :, 0] > 0).astype(int) if w.shape[2] == 1 else s.argmax(axis=2)
-                    fold = fi[:, split]
-                    mine = np.where(out[None, :] == NONE, fold == -1, fold == out[None, :])
-                    cell = (np.arange(len(split))[None, :] * classes + labels[t][i : i + CHUNK][:, None]) * classes + pred
-                    n = np.bincount(cell[mine], minlength=len(split) * classes * classes)
+                    cell = (np.arange(len(at))[None, :] * classes + labels[t][mine][:, None]) * classes + pred
+                    n = np.bincount(cell.ravel(), minlength=len(at) * classes * classes)
                     for k in np.flatnonzero(n).tolist():
-                        j, y, p = k // classes**2, k // classes % classes, k % classes
-                        key = (block, target, int(split[j]), -1 if out[j] == NONE else int(out[j]), float(c[j]), y, p)
+                        j, y, p = at[k // classes**2], k // classes % classes, k % classes
+                        key = (block, target, split, -1 if left == NONE else left, float(c[j]), y, p)
                         total[key] = total.get(key, 0) + int(n[k])
         if total:
             types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int64()]
@@ -293,23 +374,24 @@ def fit_all(rows: DataFrame, blocks: dict, targets: dict[str, int], cs=CS, masks
     """Every model at its best. ``rows`` is a written table, scanned once per step; ``masks`` gives the folds to leave out
     in turn, and ``scale_by`` the folds that features are scaled by (all, if none)."""
     models = _set_up(rows, blocks, targets, cs, masks or (lambda folds: [*(folds if len(folds) > 1 else []), NONE]), scale_by)
-    share = START_ROWS / max((m.rows.max() for m in models), default=1)
-    if share < 0.25:
-        part = stored(rows.sample(share, seed=0), "class-start")
-        _descend(part, list(targets), models, 1 / share)
-        for m in models:
-            m.again()
+    most, size = max((m.rows.max() for m in models), default=1), START_ROWS
+    while size < 0.25 * most:  # each sample begins where a smaller one ended
+        share = size / most
+        part, size = stored(rows.sample(share, seed=0), "class-start"), 8 * size
+        _descend(part, list(targets), models, 1 / share, START_TOLERANCE)
+        for m, h in zip(models, _hessians(part, list(targets), models)):
+            m.again(h)
     _descend(rows, list(targets), models)
     return models
 
 
-def _descend(rows: DataFrame, targets: list[str], models: list[Models], weight: float = 1.0) -> None:
+def _descend(rows: DataFrame, targets: list[str], models: list[Models], weight: float = 1.0, tolerance: float = TOLERANCE) -> None:
     """Move every model to its best on these rows, each of which counts ``weight`` times."""
     for _ in range(MAX_STEPS):
         if not any(m.moving.any() for m in models):
             return
         for key, (loss, slope) in _slopes(rows, targets, models).items():
-            models[key].move(weight * loss, weight * slope)
+            models[key].move(weight * loss, weight * slope, tolerance)
     raise RuntimeError("the classifiers did not converge")
 
 

@@ -130,3 +130,22 @@ def test_sample_only_says_where_to_begin(spark, table, monkeypatch):
     for a, b in zip(whole, begun):
         centred = [m.w - (m.w.mean(axis=2, keepdims=True) if m.classes > 2 else 0) for m in (a, b)]
         assert np.abs(centred[0] - centred[1]).max() < 5e-4 and np.abs(a.f - b.f).max() < 1e-5
+
+
+def test_few_passes_over_all_rows(spark, monkeypatch):
+    """The Hessian near a sample's best point shapes the steps on all rows, so few are needed, and the end is the same."""
+    ship_package(spark)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(16_000, 8)) @ (np.eye(8) + 0.5)
+    y = (x @ rng.normal(size=(8, 3)) + rng.gumbel(size=(16_000, 3))).argmax(axis=1)
+    rows = [([1.0, *a], [int(f)], int(b > 0), int(b)) for a, f, b in zip(x.tolist(), rng.integers(-1, 3, 16_000), y)]
+    df = stored(spark.createDataFrame(rows, "z array<double>, folds array<int>, two int, three int").repartition(4), "class-rows")
+    monkeypatch.setattr(C, "START_ROWS", 2000)
+    passes, slopes = [], C._slopes
+    monkeypatch.setattr(C, "_slopes", lambda r, *a: passes.append(r.count() == len(x)) or slopes(r, *a))
+    begun = C.fit_all(df, {"all": tuple(range(1, 9))}, {"two": 2, "three": 3}, (1e-2, 1.0))
+    assert sum(passes) <= 7
+    monkeypatch.setattr(C, "START_ROWS", len(x))
+    whole = C.fit_all(df, {"all": tuple(range(1, 9))}, {"two": 2, "three": 3}, (1e-2, 1.0))
+    for a, b in zip(whole, begun):
+        assert (np.abs(a.f - b.f) <= 1e-7 * np.abs(a.f)).all()
