@@ -23,13 +23,14 @@ SEEDS = [0, 1, 2, 3, 4]
 # ----------------------------------------------------------------- sources
 
 
-def shard_lines(spark, sf):
-    """(src, line) of two shards: data lines, a header per shard and one cut line."""
+def shard_lines(spark, sf, src=None):
+    """(src, line) of two shards, or of one: data lines, a header per shard and one cut line."""
     b = views.branches(spark, sf)
     named = spark.createDataFrame([("branches.s000.jsonl",), ("branches.s001.r1.jsonl",)], "src string")
     header = named.select("src", shards.header_line("run0", ARM_B, "cafe", n_replicates=3).alias("line"))
     cut = named.where("src = 'branches.s001.r1.jsonl'").select("src", F.lit('{"checkpoint_id": "cp_x", "action": "cont').alias("line"))
-    return shards.to_lines(b).unionByName(header).unionByName(cut)
+    lines = shards.to_lines(b).unionByName(header).unionByName(cut)
+    return lines if src is None else lines.where(F.col("src") == src)
 
 
 def _root(spark, sf) -> str:

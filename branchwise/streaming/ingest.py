@@ -47,21 +47,53 @@ def ingest(records: DataFrame, out: str, checkpoint: str) -> int:
     """Append every new record and the counts it adds, and stop. Returns how many records were read.
 
     Below ``out``, ``records`` is the table of records and ``counts`` holds the counts that each batch adds, one folder per
-    batch id, written over if the batch is repeated. Branch ids met before are known to the stream's partitioned state, so a
-    later run reads new files only, and neither records nor older counts are read again.
+    batch id, written over if the batch is repeated. A branch id repeats itself only in its own shard, so ids are looked up
+    among earlier batches' records of the same shards, in the table itself: no state grows in memory, and new shards look up
+    nothing. Older counts and the other columns of older records are not read again.
     """
-    once = records.dropDuplicates([*KEY, "branch_id"])
+    ids = [*KEY, "branch_id"]
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/records/batch={number}")
-        done = batch.sparkSession.read.parquet(f"{out}/records/batch={number}")
+        spark, path = batch.sparkSession, f"{out}/records/batch={number}"
+        # Rows move once: copies and counts are of one checkpoint.
+        batch.repartition("checkpoint_id").dropDuplicates(ids).write.mode("overwrite").partitionBy("src").parquet(path)
+        done = read_batch(spark, path, batch)
+        shards = [r["src"] for r in done.select("src").distinct().collect()]
+        before = spark.read.schema(done.schema.add("batch", "long")).option("basePath", f"{out}/records").parquet(f"{out}/records")
+        again = repeats(done, before.where((F.col("batch") < number) & F.col("src").isin(shards)), ids)
+        if again is not None:
+            fresh = f"{out}/fresh/batch={number}"
+            same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ids]
+            done.alias("a").join(again.alias("b"), same, "left_anti").write.mode("overwrite").partitionBy("src").parquet(fresh)
+            read_batch(spark, fresh, batch).write.mode("overwrite").partitionBy("src").parquet(path)
+            done = read_batch(spark, path, batch)
         batch_counts(done).write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
 
-    q = once.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = records.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return sum(p["numInputRows"] for p in q.recentProgress)
 
 
+def read_batch(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """A written batch with the columns of the batch itself, also where it holds no row."""
+    return spark.read.schema(like.schema).parquet(path)
+
+
+def repeats(rows: DataFrame, before: DataFrame, ids: list[str]) -> DataFrame | None:
+    """The ids of ``rows`` that occur in ``before``, or none. Hashes meet first, so that ids move only where some may repeat."""
+    mark = F.xxhash64(*ids).alias("mark")
+    if before.isEmpty():
+        return None
+    marks = rows.select(mark).join(before.select(mark), "mark", "left_semi").distinct()
+    if marks.isEmpty():
+        return None
+    # Ids with nulls are ids too.
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ids]
+    maybe = rows.select(*ids, mark).join(marks, "mark", "left_semi").alias("a")
+    old = before.select(*ids, mark).join(marks, "mark", "left_semi").alias("b")
+    return maybe.join(old, [F.col("a.mark") == F.col("b.mark"), *same], "left_semi").drop("mark")
+
+
 def current_counts(spark: SparkSession, out: str) -> DataFrame:
     """Counts per key over all records ingested so far: the batches' counts added up."""
     counts = spark.read.parquet(f"{out}/counts")

@@ -97,3 +97,19 @@ def test_stream_equals_batch_and_resumes(spark, root, tmp_path_factory):
     assert sorted(map(tuple, G.current_counts(spark, out).select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
     planned = spark.createDataFrame([(c,) for c in ("cp_a", "cp_b", "cp_c", "cp_d")], "checkpoint_id string")
     assert [r[0] for r in G.missing_units(planned, G.current_counts(spark, out), 5).collect()] == ["cp_d"]
+
+
+def test_stream_looks_ids_up_in_its_records(spark, tmp_path):
+    """An id met in an earlier batch of its shard counts once, in another shard again, and no state is kept for it."""
+    out, state, root = (str(tmp_path / n) for n in ("out", "state", "root"))
+    group = lines([full_group("cp_a", "")], header=False)
+    for shard, name, text in (("s000", "a", group), ("s000", "b", [*group[:2], *lines([full_group("cp_b", "")], header=False)]), ("s001", "a", group)):
+        folder = tmp_path / "root" / f"shard=branches.{shard}.jsonl"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"part-{name}.json").write_text("\n".join(text) + "\n")
+        assert G.ingest(G.shard_stream(spark, root, "branches", BRANCH_CORE, 1), out, state) == len(text)
+    batch = G.running_counts(shards.read_records(spark, root, "branches", BRANCH_CORE))
+    cols = sorted(batch.columns)
+    assert sorted(map(tuple, G.current_counts(spark, out).select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
+    assert spark.read.parquet(f"{out}/records").count() == 3 * len(group)
+    assert not (tmp_path / "state" / "state").exists()
