@@ -140,6 +140,12 @@ def test_packing_prefers_related_documents():
     assert index.scores(0).argsort()[::-1][:2].tolist() == [0, 2] and index.scores(1)[3] > index.scores(1)[2]
 
 
+def test_every_byte_has_a_letter():
+    """Showing a word must not raise and catch an error for each of its plain characters."""
+    words = Encoder(default_vocabulary()).words
+    assert set(words.letters) == set(range(256)) and words.shown(" día") == "\u0120dÃŃa"
+
+
 def test_tokens_equal_a_direct_call(rows):
     enc = Encoder(default_vocabulary())
     texts = [r[1] for r in rows] + ["a  b\n\n c 's \x1c x　y  ", " <|endoftext|> x", "don't\tgo 12ab  ", "a\x85b", "\x1d \x1e", " x" * 100]
