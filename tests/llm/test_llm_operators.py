@@ -536,3 +536,13 @@ def brute_repeats(rows, length):
 def test_repeats(docs, rows, length, most):
     got = repeats.removed(docs, length=length, most=most).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, length)
+
+
+def test_cut_levels_are_plain_scans(spark):
+    """What reads the levels of a hot gram joins nothing again: a join per level would keep every level's sizes in memory."""
+    rows = [("g", i, i, b"ab" * 4, (b"x" if i % 2 else b"y") * 8, -8, 0) for i in range(8)]
+    hot = spark.createDataFrame(rows, "grp string, c1 long, c2 long, left binary, right binary, lo int, hi int")
+    small, covers = repeats._cut(hot, 16, 2)
+    assert len(covers) > 1
+    for df in [*covers, *([small] if small is not None else [])]:
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
