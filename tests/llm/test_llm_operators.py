@@ -6,8 +6,10 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +154,22 @@ def test_tokens_equal_a_direct_call(rows):
     assert enc.encode(texts) == enc.direct([t or "" for t in texts])
 
 
+def test_texts_are_looked_up_together():
+    """Each different part of many texts is looked up once, new words go to the library in rows, and ids stay those of each text alone."""
+    rng = np.random.default_rng(5)
+    bits = ["the", "Wörter", "día", "ab's", "x,", "q.\nNew", "12", "don't", "\n", "", "\t", "a\u00a0b", "\u4e2d\u6587", "<|endoftext|>", "e\u0301", "z!!", "\u00aa"]
+    texts = ["".join(str(rng.choice(bits)) + str(rng.choice(["", " ", " ", "\n"])) for _ in range(rng.integers(0, 12))) for _ in range(2000)]
+    texts += [" ".join("".join(rng.choice(list("aeioußéthrs"), 9)) for _ in range(300)) for _ in range(20)]
+    enc = Encoder(default_vocabulary())
+    model, calls = enc.words.model, []
+    enc.words.model = SimpleNamespace(tokenize=lambda word: calls.append(word) or model.tokenize(word))
+    want = enc.direct(texts)
+    assert enc.words.apart and enc.encode(texts) == want and enc.encode(pa.array(texts).slice(3)) == want[3:]
+    assert len(calls) < 600 and enc.encode([]) == [] and enc.encode([None, ""]) == [b"", b""]
+    enc.words.apart = False
+    assert enc.encode(texts[::-1]) == want[::-1]
+
+
 def brute_secrets(text):
     words = "password|passwd|secret|token|apikey|api_key"
     any_case = "|".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in w) for w in words.split("|"))
