@@ -250,3 +250,20 @@ def test_rounding_does_not_choose_the_penalty(spark):
     rows = [(0, 1.0, 0.1), (0, 10.0, 0.1 + 3e-16), (0, 1e6, 0.1 + 1e-14), (1, 1.0, 0.1), (1, 10.0, 0.1 + 1e-9), (2, 1.0, None), (2, 10.0, -0.5), (3, 1.0, None), (3, 10.0, None)]
     got = L.best_alpha(spark.createDataFrame(rows, "seed_ix int, alpha double, cv double")).collect()
     assert {r["seed_ix"]: r["alpha"] for r in got} == {0: 1.0, 1: 10.0, 2: 10.0, 3: 1.0}
+
+
+def test_terms_are_counted_in_one_piece_a_text(spark):
+    """Where ids differ, a text's terms come counted, with no aggregation after; known terms leave alone; letters are Java's."""
+    texts = ["Ab ab AB cd ab", "x é1 É1 _ 一二 𝒜 𝒜𝒜", "ab\ncd\tab", "", None, "a b c"]
+    docs = spark.createDataFrame([(None if i == 2 else i, t) for i, t in enumerate(texts)], "id int, text string").repartition(2)
+    tf = M.terms(docs, "id", "text")
+    plan = tf._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("ArrowEvalPython") == 1
+    want = {(0, "ab", 4), (0, "cd", 1), (0, "ab ab", 2), (0, "ab cd", 1), (0, "cd ab", 1), (1, "é1", 2), (1, "é1 é1", 1), (1, "一二", 1), (1, "一二 𝒜𝒜", 1), (1, "é1 一二", 1), (1, "𝒜𝒜", 1)}
+    want |= {(None, "ab", 2), (None, "cd", 1), (None, "ab cd", 1), (None, "cd ab", 1)}
+    assert {tuple(r) for r in tf.collect()} == want and tf.count() == len(want) and tf.dtypes[1:] == [("term", "string"), ("tf", "bigint")]
+    some = ["ab", "ab cd", "𝒜𝒜", "zz"]
+    assert {tuple(r) for r in M.terms(docs, "id", "text", some).collect()} == {r for r in want if r[1] in some}
+    twice = M.terms(docs.unionByName(docs), "id", "text", some)
+    assert {tuple(r) for r in twice.collect()} == {(i, t, 2 * n) for i, t, n in want if t in some}
+    assert {tuple(r) for r in M.terms(docs.where("false"), "id", "text").collect()} == set()
