@@ -92,33 +92,55 @@ class Averaged:
 
 
 def _gradients(x: np.ndarray, truth: np.ndarray, fold: np.ndarray, out: np.ndarray, coef: np.ndarray) -> np.ndarray:
-    """(d, jobs, 2) summed raw gradients of a block; ``truth`` holds both values and where each action is truly best."""
-    d, n = coef.shape[0], coef.shape[1]
-    flat, total = np.concatenate([coef[:, :, 0], coef[:, :, 1]], axis=1), np.zeros((d, 2 * n))
+    """(d, jobs, 2) summed raw gradients of a block; ``truth`` holds both values and where each action is truly best.
+
+    Rows of a fold meet only the jobs that train on it, so a block of one fold has no rows to mask.
+    """
+    total = np.zeros_like(coef)
+    for f in np.unique(fold[fold >= 0]):
+        mine, used = fold == f, np.flatnonzero(out != f)
+        part, k = (x, truth) if mine.all() else (x[mine], truth[mine]), len(used)
+        sums = _leading(*part, np.concatenate([2 * coef[:, used, 0].T, 2 * coef[:, used, 1].T]))
+        best = part[0].T @ part[1][:, 2:]
+        total[:, used] += 2.0 * (np.stack([sums[:k].T, sums[k:].T], axis=2) - best[:, None, :])
+    return total
+
+
+def _leading(x: np.ndarray, truth: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """(2 jobs, d) sums of the rows at which the first, then the second action is best under ``twice`` the predictions."""
+    k, total = len(twice) // 2, np.zeros_like(twice)
+    # Rows lie along the last axis: a job's numbers are then next to each other.
+    values, slopes = np.empty((2, 2 * k, min(CHUNK, len(x))))
+    q = np.ascontiguousarray(truth[:, :2].T)
     for i in range(0, len(x), CHUNK):
-        xi, q = x[i : i + CHUNK], truth[i : i + CHUNK]
-        used = ((fold[i : i + CHUNK, None] >= 0) & (fold[i : i + CHUNK, None] != out[None, :])).astype(float)
-        v = 2 * (xi @ flat)
-        first, second = v[:, :n] - q[:, :1], v[:, n:] - q[:, 1:2]
-        lead = (first >= second) & (first >= 0)
-        slope = np.empty_like(v)
-        slope[:, :n] = lead
-        slope[:, n:] = ~lead & (second >= 0)
-        slope[:, :n] -= q[:, 2:3]
-        slope[:, n:] -= q[:, 3:4]
-        slope[:, :n] *= used
-        slope[:, n:] *= used
-        total += xi.T @ slope
-    return 2.0 * np.stack([total[:, :n], total[:, n:]], axis=2)
+        xi, qi = x[i : i + CHUNK], q[:, i : i + CHUNK]
+        v, slope = np.matmul(twice, xi.T, out=values[:, : len(xi)]), slopes[:, : len(xi)]
+        first, second = v[:k], v[k:]
+        first -= qi[0]
+        second -= qi[1]
+        lead = first >= np.maximum(second, 0)
+        slope[:k] = lead
+        slope[k:] = (second >= 0) > lead
+        total += slope @ xi
+    return total
+
+
+def _spans(edges: list[int]) -> Iterator[tuple[int, int]]:
+    for a, b in zip(edges, edges[1:]):
+        yield from ((i, min(i + BLOCK_ROWS, b)) for i in range(a, b, BLOCK_ROWS))
 
 
 def _blocks(rows: DataFrame, d: int, targets: tuple[int, int], rows_per_task: int):
-    """The rows as an RDD of (features, truth, folds) blocks that stays with the executors."""
+    """The train rows as an RDD of (features, truth, folds) blocks, by fold, that stays with the executors."""
+    rows = rows.where("fold >= 0")
 
     def pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), BLOCK_ROWS):
-                part = pdf.iloc[i : i + BLOCK_ROWS]
+            pdf = pdf.sort_values("fold", kind="stable")
+            # Blocks end where a fold ends.
+            cuts = np.flatnonzero(np.diff(pdf["fold"].to_numpy())) + 1
+            for i, j in _spans([0, *cuts, len(pdf)]):
+                part = pdf.iloc[i:j]
                 z = np.stack(part["z"].to_numpy()).astype(float)
                 true = z[:, list(targets)]
                 arrays = [z[:, :d], np.concatenate([true, _best(true)], axis=1), part["fold"].to_numpy().astype(np.int32)]

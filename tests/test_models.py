@@ -267,3 +267,18 @@ def test_terms_are_counted_in_one_piece_a_text(spark):
     twice = M.terms(docs.unionByName(docs), "id", "text", some)
     assert {tuple(r) for r in twice.collect()} == {(i, t, 2 * n) for i, t, n in want if t in some}
     assert {tuple(r) for r in M.terms(docs.where("false"), "id", "text").collect()} == set()
+
+
+def test_decision_blocks_hold_train_rows_of_one_fold(spark):
+    """Test rows are not carried through the steps, and a fold's rows meet only the jobs that train on it."""
+    x, q, fold = RNG.normal(size=(900, 3)), RNG.normal(size=(900, 2)), RNG.integers(-1, 3, 900)
+    q[:5], q[5:9], fold[:9] = np.nan, [[1.0, 1.0], [0.0, 0.0], [np.nan, 1.0], [-1.0, 0.0]], 1
+    df = spark.createDataFrame([([1.0, *map(float, a), *map(float, b)], int(f)) for a, b, f in zip(x, q, fold)], "z array<double>, fold int").repartition(3)
+    blocks = D._blocks(df.unionByName(df.limit(1).selectExpr("z", "cast(null AS int) AS fold")), 4, (4, 5), 400)
+    found = blocks.collect()
+    assert all(len(set(f)) == 1 and f[0] >= 0 for _, _, f in found) and sum(len(f) for _, _, f in found) == (fold >= 0).sum()
+    out, coef = np.array([0, 1, 2, -1]), RNG.normal(size=(4, 4, 2))
+    coef[:, 0] = 0  # ties
+    z, used = np.column_stack([np.ones(900), x]), (fold[:, None] >= 0) & (fold[:, None] != out[None, :])
+    want = np.tensordot(z.T, D.pull(np.tensordot(z, coef, 1), q) * used[:, :, None], 1)
+    assert sum(D._gradients(*b, out, coef) for b in found) == pytest.approx(want, abs=1e-9)
